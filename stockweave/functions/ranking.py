@@ -27,21 +27,20 @@ def positions(
         .withColumn("_place", F.monotonically_increasing_id()),
         "positions",
     ).withColumn("_part", F.shiftright("_place", 33))
-    parts = placed.groupBy(*by, "_part").agg(
+    marks = [F.col(k).alias(f"_key{i}") for i, k in enumerate(by)]
+    names = [f"_key{i}" for i in range(len(marks))]
+    parts = placed.groupBy(*marks, F.col("_part").alias("_key")).agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(
+    earlier = Window.partitionBy(*names).orderBy("_key").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = parts.withColumn(
         "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     ).drop("_n")
-    matched = [placed[k].eqNullSafe(offsets[k]) for k in by]
-    joined = placed.join(
-        offsets, [*matched, placed["_part"] == offsets["_part"]], "inner"
-    )
-    return joined.select(
-        *[placed[c] for c in df.columns],
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names, strict=True)]
+    return placed.join(offsets, [*same, F.col("_part") == F.col("_key")]).select(
+        *df.columns,
         (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias(name),
     )
 

@@ -115,7 +115,7 @@ def merge_status(configs: DataFrame, updates: DataFrame) -> DataFrame:
     rest = [c for c in configs.columns if c not in STATE_FIELDS]
     return configs.join(new, "config_id", "left").select(
         *rest,
-        *[F.when("_new", F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in STATE_FIELDS],
+        *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in STATE_FIELDS],
     )
 
 

@@ -80,7 +80,7 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
     linked = (
         nodes.where(F.col("_base").isNotNull())
         .join(known, "_base", "left")
-        .select("config_id", F.when("_known", F.col("_base")).alias("_base"), "n_rows")
+        .select("config_id", F.when(F.col("_known"), F.col("_base")).alias("_base"), "n_rows")
     )
     start = linked.unionByName(nodes.where(F.col("_base").isNull()))
     state = written(
