@@ -301,8 +301,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return (
         found.select("query_id", "id", "score")
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
+        .withColumn("_n", F.row_number().over(best))
+        .where(F.col("_n") <= k)
+        .select("query_id", "id", "score", F.col("_n").cast("bigint").alias("rank"))
     )
 
 

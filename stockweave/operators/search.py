@@ -182,7 +182,7 @@ def search_page(
             & F.col("rank").between((page - 1) * size + 1, page * size)
         )
         .select(
-            "query_id", "id", "score", "rank", "total",
+            "query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"), "total",
             F.ceil(F.col("total") / size).cast("bigint").alias("total_pages"),
             F.lit(page).alias("page"),
         )

@@ -96,7 +96,7 @@ def s1_read_quoted_csv(spark, d):
     path = fresh_folder(spark, "documents-csv")
     export_catalog_csv(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
     read = read_catalog_csv(spark, path, ["doc_id", "text", "lang"])
-    return read.select("doc_id", "lang", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+    return read.select("doc_id", "lang", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_md5"))
 
 
 ORACLE["s1_read_quoted_csv"] = """
@@ -512,7 +512,7 @@ FROM configs WHERE status = 'completed'"""
 def v6_join_vectors(spark, d):
     products = apply_schema_mapping(table(spark, d, "part"), PART)
     return join_vectors(products, part_vectors(spark, d)).select(
-        "id", "name", "category", F.size("embedding").alias("dim"),
+        "id", "name", "category", F.size("embedding").cast("bigint").alias("dim"),
         F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"),
     )
 
