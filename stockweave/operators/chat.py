@@ -20,6 +20,7 @@ from stockweave.functions.text import is_blank, strip
 from stockweave.mapping import SchemaMapping
 from stockweave.operators.search import search
 from stockweave.operators.textprep import result_card_column
+from stockweave.session import written
 
 Rules = Sequence[tuple[str, str]]
 
@@ -128,7 +129,8 @@ def chat_to_search(
         .where(F.col("utterance_class") == "search")
         .select(key_text(*keys).alias("query_id"), F.col("text").alias("query"))
     )
-    requests = embed(asked, "query").select("query_id", "embedding")
+    # Written once: the vectors are needed twice and the encoder is the costly part.
+    requests = written(embed(asked, "query").select("query_id", "embedding"), "requests")
     results = search(catalog, vectors, requests, mapping, k, floor, **sizes)
     answers = render_results(asked, results)
     failed = requests.where(F.col("embedding").isNull()).select(

@@ -15,9 +15,7 @@ Scores are double precision, rounded to ``DIGITS``, and ranks are by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +39,19 @@ _CANDIDATE_SCHEMA = pa.schema(
 )
 
 
-@dataclass
-class RequestMatrix:
-    """Request ids and vectors; with ``groups``, one matrix per partition value."""
+# Partition value (None without one) to the ids and vectors of its requests.
+RequestMatrix = dict[str | None, tuple[np.ndarray, np.ndarray]]
 
-    groups: dict[str | None, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
-    @classmethod
-    def from_arrow(cls, table: pa.Table, group: str | None) -> RequestMatrix:
-        ids = table.column("query_id").to_numpy(zero_copy_only=False).astype(object)
-        matrix = dense(table.column("embedding"))
-        if group is None:
-            return cls({None: (ids, matrix)})
-        keys = np.asarray(table.column(group).to_pylist(), dtype=object)
-        return cls({k: (ids[keys == k], matrix[keys == k]) for k in dict.fromkeys(keys)})
+def request_matrix(table: pa.Table, group: str | None) -> RequestMatrix:
+    if not table.num_rows:
+        return {}
+    ids = table.column("query_id").to_numpy(zero_copy_only=False).astype(object)
+    matrix = dense(table.column("embedding"))
+    if group is None:
+        return {None: (ids, matrix)}
+    keys = np.asarray(table.column(group).to_pylist(), dtype=object)
+    return {k: (ids[keys == k], matrix[keys == k]) for k in dict.fromkeys(keys)}
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -169,7 +166,7 @@ def _scan(
 ) -> Iterator[pa.RecordBatch]:
     matrix: RequestMatrix = requests.value
     best: dict[str | None, _Best] = {}
-    for batch in batches:
+    for batch in map(with_vectors, batches):
         if not batch.num_rows:
             continue
         ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -179,21 +176,30 @@ def _scan(
             batch.column(group).to_pylist(), dtype=object
         )
         for key in keys:
-            if key not in matrix.groups:
+            if key not in matrix:
                 continue
-            query_ids, queries = matrix.groups[key]
+            query_ids, queries = matrix[key]
             rows = slice(None) if named is None else named == key
             if key not in best:
                 best[key] = _Best(len(query_ids), k, floor)
             best[key].add(ids[rows], vectors[rows], queries)
     for key, state in best.items():
-        yield state.batch(matrix.groups[key][0], counts)
+        yield state.batch(matrix[key][0], counts)
 
 
 def _only(df: DataFrame, key: str, group: str | None) -> DataFrame:
-    cols = [key, "embedding"] + ([group] if group else [])
-    wanted = [F.col(c).isNotNull() for c in ["embedding"] + ([group] if group else [])]
-    return df.select(*cols).where(reduce(and_, wanted))
+    """The columns of a scan. Null vectors are skipped inside the tasks: a filter
+    on a column that an encoder makes would run the encoder once more."""
+    if group is None:
+        return df.select(key, "embedding")
+    return df.select(key, "embedding", group).where(F.col(group).isNotNull())
+
+
+def with_vectors(rows):
+    """The rows of a table or batch that have a vector."""
+    if rows.column("embedding").null_count:
+        return rows.filter(rows.column("embedding").is_valid())
+    return rows
 
 
 @dataclass
@@ -207,21 +213,24 @@ class Candidates:
 def gather_requests(
     requests: DataFrame, group: str | None, max_bytes: int
 ) -> tuple[RequestMatrix | None, int]:
-    """The request matrix if it fits ``max_bytes``, else None and the count so far.
+    """The request matrix and its size, or None and the vector length if the
+    requests do not fit ``max_bytes``.
 
     A first look shows the vector length and so how many rows fit; at most one
     row more than that is ever asked for, never the whole table.
     """
     table = requests.limit(PROBE_ROWS + 1).toArrow()
+    known = with_vectors(table)
     if not table.num_rows:
-        return RequestMatrix(), 0
-    dim = max(1, len(table.column("embedding")[0]))
-    fits = max(1, max_bytes // (8 * dim))
+        return {}, 0
+    dim = len(known.column("embedding")[0]) if known.num_rows else 0
+    fits = max(1, max_bytes // (8 * max(1, dim)))
     if table.num_rows > PROBE_ROWS and fits > PROBE_ROWS:
         table = requests.limit(fits + 1).toArrow()
     if table.num_rows > fits:
-        return None, fits
-    return RequestMatrix.from_arrow(table, group), table.num_rows
+        return None, dim
+    table = with_vectors(table)
+    return request_matrix(table, group), table.num_rows
 
 
 def candidates(
@@ -240,12 +249,13 @@ def candidates(
     requests = _only(requests, "query_id", group)
     matrix, n = gather_requests(requests, group, broadcast_bytes)
     if matrix is None:
-        grid = _grid_candidates(vectors, requests, k, floor, group, counts, block_bytes)
+        rows = max(1, block_bytes // (8 * max(1, n)))
+        grid = _grid_candidates(vectors, requests, k, floor, group, counts, rows)
         return Candidates(grid, None)
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
     if group is not None:
         # Only partitions some request asks for are read.
-        vectors = vectors.where(F.col(group).isin(list(matrix.groups)))
+        vectors = vectors.where(F.col(group).isin(list(matrix)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scan(batches, shipped, k, floor, group, counts)
@@ -260,15 +270,13 @@ def _grid_candidates(
     floor: float | None,
     group: str | None,
     counts: bool,
-    block_bytes: int,
+    rows: int,
 ) -> DataFrame:
-    """Blocks of vectors meet blocks of requests, one task group per pair.
+    """Blocks of ``rows`` vectors meet blocks of ``rows`` requests.
 
     Rows are dealt to blocks in turn, so blocks have equal size whatever the
     keys look like. Each side is sent once per block of the other side.
     """
-    dim = requests.select(F.size("embedding").alias("dim")).head(1)[0]["dim"]
-    rows = max(1, block_bytes // (8 * max(1, dim)))
     n_vector_blocks = max(1, -(-vectors.count() // rows))
     n_request_blocks = max(1, -(-requests.count() // rows))
 
@@ -283,6 +291,7 @@ def _grid_candidates(
     right = dealt(requests, "_r", n_request_blocks, "_v", n_vector_blocks).groupBy(*blocks)
 
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
+        block, asked = with_vectors(block), with_vectors(asked)
         if not block.num_rows or not asked.num_rows:
             return _CANDIDATE_SCHEMA.empty_table()
         query_ids = asked.column("query_id").to_numpy(zero_copy_only=False).astype(object)
@@ -340,11 +349,11 @@ def dot_scores(vectors: DataFrame, requests: DataFrame, **sizes: int) -> DataFra
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query_ids, queries in shipped.value.groups.values():
+        for query_ids, queries in shipped.value.values():
             break
         else:
             return
-        for batch in batches:
+        for batch in map(with_vectors, batches):
             if not batch.num_rows:
                 continue
             ids = batch.column("id")

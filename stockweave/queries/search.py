@@ -20,7 +20,6 @@ from stockweave.operators.search import (
     search_summary,
     vector_checks,
 )
-from stockweave.operators.textprep import embedding_text
 from stockweave.queries.views import (
     DOCS,
     PART,
@@ -31,6 +30,7 @@ from stockweave.queries.views import (
     SQL_TURN_SCORES,
     SQL_TURN_VECTORS,
     configs,
+    document_texts,
     document_vectors,
     label_requests,
     part_vectors,
@@ -68,8 +68,7 @@ def nonzero(df, key):
 @query
 def e1_embed_column(spark, d):
     """The encoder interface over whole documents; every non-zero component."""
-    texts = embedding_text(table(spark, d, "documents"), DOCS)
-    return nonzero(embed_column(texts, "text", HashEncoder), "id")
+    return nonzero(embed_column(document_texts(spark, d), "text", HashEncoder), "id")
 
 
 ORACLE["e1_embed_column"] = f"""
@@ -90,9 +89,7 @@ SELECT k AS query_id, cast(bucket AS integer) AS bucket, round(v, 6) AS v FROM q
 
 @query
 def e2_hash_bucket_counts(spark, d):
-    return hash_bucket_counts(
-        embedding_text(table(spark, d, "documents"), DOCS), "id", "text"
-    )
+    return hash_bucket_counts(document_texts(spark, d), "id", "text")
 
 
 ORACLE["e2_hash_bucket_counts"] = f"""

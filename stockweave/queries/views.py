@@ -14,6 +14,7 @@ from stockweave.mapping import CustomColumn, SchemaMapping
 from stockweave.operators.embed import hash_embed
 from stockweave.operators.tables import latest_status, merge_status
 from stockweave.operators.textprep import embedding_text
+from stockweave.session import spread
 from stockweave.sources.records import job_messages
 
 PART = SchemaMapping(
@@ -137,9 +138,12 @@ SQL_PART_RECORDS = """records AS (
   FROM part)"""
 
 
+def document_texts(spark, d):
+    return spread(embedding_text(table(spark, d, "documents"), DOCS), "id")
+
+
 def document_vectors(spark, d):
-    texts = embedding_text(table(spark, d, "documents"), DOCS)
-    return hash_embed(texts, "text").select("id", "embedding")
+    return hash_embed(document_texts(spark, d), "text").select("id", "embedding")
 
 
 def user_turns(spark, d):

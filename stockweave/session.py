@@ -42,3 +42,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_folder(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores to all cores.
+
+    For plain scans in front of costly per-row work, such as an encoder. A
+    large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
