@@ -87,30 +87,31 @@ def present_customs(
     return [c for c in mapping.customs(roles) if c.user_column in have]
 
 
-def missing_columns(
+def missing_fields(
     df: DataFrame, mapping: SchemaMapping, fields: Iterable[str]
 ) -> list[str]:
-    """Required columns that are unmapped (given by field name) or absent.
-
-    Checks the standard ``fields``, custom columns marked required, and the
-    mapping's own ``required_columns`` list.
-    """
+    """Of the standard ``fields``, those unmapped or absent from the data."""
     have = set(df.columns)
-    missing = []
-    for f in fields:
-        user = mapping.user_column(f)
-        if user is None:
-            missing.append(f"{f}_column")
-        elif user not in have:
-            missing.append(user)
+    users = {f: mapping.user_column(f) for f in fields}
+    return [user or f"{f}_column" for f, user in users.items() if user not in have]
+
+
+def missing_columns(
+    df: DataFrame, mapping: SchemaMapping, fields: Iterable[str]
+) -> list[str]:
+    """All required columns that are not there: the standard ``fields``, custom
+    columns marked required, and the mapping's own ``required_columns``."""
     named = [c.user_column for c in mapping.custom_columns if c.required]
-    missing += [c for c in [*named, *mapping.required_columns] if c not in have]
-    return list(dict.fromkeys(missing))
+    named += mapping.required_columns
+    absent = [c for c in named if c not in df.columns]
+    return list(dict.fromkeys(missing_fields(df, mapping, fields) + absent))
 
 
 def require_columns(
-    df: DataFrame, mapping: SchemaMapping, fields: Iterable[str]
+    df: DataFrame, mapping: SchemaMapping, fields: Iterable[str], declared: bool = False
 ) -> None:
-    missing = missing_columns(df, mapping, fields)
+    """Raise if ``fields`` are missing, or with ``declared`` any required column."""
+    find = missing_columns if declared else missing_fields
+    missing = find(df, mapping, fields)
     if missing:
         raise ValueError(f"Missing required column: {', '.join(missing)}")

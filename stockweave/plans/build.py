@@ -104,7 +104,7 @@ def build_version(
     catalogue is written first and the vectors are made from what is stored.
     """
     catalog, bad = load_catalog(spark, location, mapping, mode, root, previous_version)
-    require_columns(catalog, mapping, TRAINING_FIELDS)
+    require_columns(catalog, mapping, TRAINING_FIELDS, declared=True)
     require_rows(catalog)
     fresh = F.concat(
         F.lit(f"{version}-"), F.monotonically_increasing_id().cast("string")
