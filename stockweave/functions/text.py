@@ -48,4 +48,4 @@ def field_label(key: str) -> str:
 
 def words(c: Column) -> Column:
     """Lower-case words of the whole text; an empty text has none."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"\s+"), "")

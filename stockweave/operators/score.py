@@ -27,10 +27,12 @@ from stockweave.constants import MAX_ITEMS, MIN_SCORE
 from stockweave.functions.vectors import round_half_up
 
 DIGITS = 6
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 BLOCK_BYTES = 64 << 20
 TILE_CELLS = 1 << 22
-PROBE_ROWS = 1024
+PROBE_ROWS = 4096
+SALTS = 64
+SALT_ABOVE = 20
 
 CANDIDATES = "query_id string, id string, score double, passing bigint"
 _CANDIDATE_SCHEMA = pa.schema(
@@ -80,7 +82,7 @@ class _Best:
         self.floor = -np.inf if floor is None else floor
         self.kth = np.full(n_requests, -np.inf)
         self.passing = np.zeros(n_requests, dtype=np.int64)
-        self.limit = max(4 * k * n_requests, 1 << 18)
+        self.limit = max(2 * k * n_requests, 1 << 18)
         self.size = 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -305,11 +307,30 @@ def _grid_candidates(
     return left.cogroup(right).applyInArrow(meet, CANDIDATES)
 
 
+def thinned(found: DataFrame, k: int) -> DataFrame:
+    """Cut the candidates of each request in ``SALTS`` parts to ``k`` rows each.
+
+    For large ``k``, so that the final window of a request does not have to sort
+    ``k`` rows of every task at once. Rows that only carry a count all stay.
+    """
+    if k <= SALT_ABOVE:
+        return found
+    part = Window.partitionBy("query_id", "_salt").orderBy(
+        F.col("id").isNull(), F.desc("score"), F.asc("id")
+    )
+    return (
+        found.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        .withColumn("_n", F.row_number().over(part))
+        .where((F.col("_n") <= k) | F.col("id").isNull())
+        .drop("_salt", "_n")
+    )
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """Final ranks 1..m per request out of the candidates of all tasks."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return (
-        found.select("query_id", "id", "score")
+        thinned(found.select("query_id", "id", "score"), k)
         .withColumn("_n", F.row_number().over(best))
         .where(F.col("_n") <= k)
         .select("query_id", "id", "score", F.col("_n").cast("bigint").alias("rank"))

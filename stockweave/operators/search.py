@@ -17,11 +17,9 @@ from stockweave.functions.vectors import has_bad_value, squared_norm
 from stockweave.mapping import SchemaMapping, require_columns, text_col
 from stockweave.operators.filters import apply_filters, filter_columns
 from stockweave.operators.project import product_records
-from stockweave.operators.score import candidates, ranked
+from stockweave.operators.score import candidates, ranked, thinned
 from stockweave.operators.tables import latest_completed
-
-# Ranked rows with a known bound below this are joined by broadcast.
-BROADCAST_ROWS = 200_000
+from stockweave.session import BROADCAST_ROWS
 
 
 def join_vectors(products: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
@@ -175,7 +173,8 @@ def search_page(
     )
     totals = Window.partitionBy("query_id")
     ranks = (
-        found.rows.withColumn("total", F.sum("passing").over(totals))
+        thinned(found.rows, page * size)
+        .withColumn("total", F.sum("passing").over(totals))
         .withColumn("rank", F.row_number().over(best))
         .where(
             F.col("id").isNotNull()

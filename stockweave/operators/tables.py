@@ -20,6 +20,8 @@ from stockweave.constants import (
 from stockweave.functions.ranking import positions
 from stockweave.mapping import user_col
 
+DEEP_ROWS = 10_000
+
 
 def list_page(
     df: DataFrame,
@@ -39,11 +41,21 @@ def list_page(
         raise ValueError("page and size start at 1")
     tests = [user_col(c) == F.lit(v) for c, v in (filters or {}).items() if v not in (None, "")]
     kept = df.where(reduce(and_, tests)) if tests else df
+    order = [F.asc(sort) if ascending else F.desc(sort), F.asc(key)]
+    first, last = (page - 1) * size, page * size
+    if last > DEEP_ROWS:
+        # A page this deep is cut out by position instead of sorted at the driver.
+        return (
+            positions(kept, order, total="total")
+            .where(F.col("position").between(first + 1, last))
+            .orderBy("position")
+            .drop("position")
+            .withColumn("page", F.lit(page))
+        )
     total = kept.agg(F.count(F.lit(1)).alias("total"))
-    order = F.asc(sort) if ascending else F.desc(sort)
     return (
-        kept.orderBy(order, F.asc(key))
-        .offset((page - 1) * size)
+        kept.orderBy(*order)
+        .offset(first)
         .limit(size)
         .withColumn("total", total.scalar())
         .withColumn("page", F.lit(page))
@@ -167,11 +179,10 @@ def queue_view(jobs: DataFrame, done: DataFrame | None = None, queue: str = "que
     latest arrival. Order is (timestamp, config id).
     """
     waiting = jobs if done is None else jobs.join(done, "config_id", "left_anti")
-    placed = positions(waiting, [F.asc("timestamp"), F.asc("config_id")], [queue])
-    lengths = placed.groupBy(queue).agg(F.max("position").alias("queue_length"))
-    return placed.join(lengths, queue).withColumn(
-        "newest", F.col("queue_length") - F.col("position") + 1
+    placed = positions(
+        waiting, [F.asc("timestamp"), F.asc("config_id")], [queue], total="queue_length"
     )
+    return placed.withColumn("newest", F.col("queue_length") - F.col("position") + 1)
 
 
 def job_progress(events: DataFrame) -> DataFrame:

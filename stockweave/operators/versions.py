@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockweave.constants import MODES, PREVIOUS_VERSION_ERROR
 from stockweave.mapping import user_col
-from stockweave.session import written
+from stockweave.session import written_and_counted
 
 
 def resolve_catalog(mode: str, previous: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
         .select("config_id", F.when(F.col("_known"), F.col("_base")).alias("_base"), "n_rows")
     )
     start = linked.unionByName(nodes.where(F.col("_base").isNull()))
-    state = written(
+    state, n_open = written_and_counted(
         start.select(
             "config_id",
             F.coalesce("_base", "config_id").alias("root"),
@@ -92,10 +92,11 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
             F.col("_base").isNotNull().alias("_open"),
         ),
         "lineage",
+        F.col("_open"),
     )
     reach = 1
     # An open row's total covers itself up to, not including, its `root`.
-    while not state.where("_open").isEmpty():
+    while n_open:
         if reach > max_depth:
             raise ValueError("version history is longer than max_depth or has a cycle")
         up = state.select(
@@ -116,7 +117,9 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
                 F.col("_more").alias("_open"),
             )
         )
-        state = written(state.where(~F.col("_open")).unionByName(moved), "lineage")
+        state, n_open = written_and_counted(
+            state.where(~F.col("_open")).unionByName(moved), "lineage", F.col("_open")
+        )
         reach *= 2
     return state.select("config_id", "root", "depth", "total_rows")
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# A table with at most this many rows, by count or by construction, may be
+# broadcast. The rows concerned are narrow (ids, offsets, scores).
+BROADCAST_ROWS = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
@@ -44,6 +49,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(
+    df: DataFrame, label: str, n: Column | None = None
+) -> tuple[DataFrame, int]:
+    """Like :func:`written`, with the number of rows (where ``n`` holds).
+
+    The count is observed while writing and costs no job of its own.
+    """
+    seen = Observation()
+    counted = F.count(F.lit(1)) if n is None else F.count_if(n)
+    table = written(df.observe(seen, counted.alias("n")), label)
+    return table, seen.get["n"] or 0
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a scan with fewer splits than cores to all cores.
 
