@@ -13,11 +13,23 @@ from pyspark.sql import types as T
 from stockweave.constants import PRICE_MAX
 from stockweave.mapping import SchemaMapping, user_col
 
-_ALIASES = {"price_range": "price"}
+ALIASES = {"price_range": "price"}
 
 
-def _is_empty(value: object) -> bool:
-    return value is None or (isinstance(value, str | list | tuple | dict) and not value)
+def active_filters(filters: Mapping[str, object]) -> dict[str, object]:
+    """The filters that have a value."""
+
+    def empty(value: object) -> bool:
+        return value is None or (
+            isinstance(value, str | list | tuple | dict) and not value
+        )
+
+    return {k: v for k, v in filters.items() if not empty(v)}
+
+
+def covers(known: Mapping[str, str], filters: Mapping[str, object]) -> bool:
+    """Whether the columns ``known`` are enough for all active filters."""
+    return all(k in known or ALIASES.get(k, k) in known for k in active_filters(filters))
 
 
 def _bounds(value: object) -> tuple[float, float]:
@@ -55,24 +67,30 @@ def filter_columns(df: DataFrame, mapping: SchemaMapping | None) -> dict[str, st
     return {k: u for k, u in keys.items() if u in df.columns}
 
 
-def apply_filters(
+def filter_condition(
     df: DataFrame, filters: Mapping[str, object], mapping: SchemaMapping | None = None
-) -> DataFrame:
-    """All given filters at once; empty filter values are ignored.
+) -> Column | None:
+    """All given filters as one condition on ``df``; None if none is active.
 
     Filters name standard columns. With a mapping they are applied to the raw
     user columns, so nothing stands between the predicate and the scan.
     """
     known = filter_columns(df, mapping)
     parts = []
-    for key, value in filters.items():
-        if _is_empty(value):
-            continue
-        column = known.get(key) or known.get(_ALIASES.get(key, key))
+    for key, value in active_filters(filters).items():
+        column = known.get(key) or known.get(ALIASES.get(key, key))
         if column is None:
             raise ValueError(f"unknown filter column: {key}")
         parts.append(predicate(df, column, value))
-    return df.where(reduce(and_, parts)) if parts else df
+    return reduce(and_, parts) if parts else None
+
+
+def apply_filters(
+    df: DataFrame, filters: Mapping[str, object], mapping: SchemaMapping | None = None
+) -> DataFrame:
+    """Rows that pass all given filters; empty filter values are ignored."""
+    condition = filter_condition(df, filters, mapping)
+    return df if condition is None else df.where(condition)
 
 
 def min_score(df: DataFrame, floor: float, score: str = "score") -> DataFrame:

@@ -14,13 +14,15 @@ Scores are double precision, rounded to ``DIGITS``, and ranks are by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.constants import MAX_ITEMS, MIN_SCORE
@@ -34,6 +36,7 @@ PROBE_ROWS = 4096
 SALTS = 64
 SALT_ABOVE = 20
 
+PASS = "_pass"
 CANDIDATES = "query_id string, id string, score double, passing bigint"
 _CANDIDATE_SCHEMA = pa.schema(
     [("query_id", pa.string()), ("id", pa.string()),
@@ -158,12 +161,21 @@ class _Best:
         )
 
 
+def _flags(rows, n_sets: int) -> np.ndarray:
+    """Which rows (first axis) pass which filter set (second axis)."""
+    flat = rows.column(PASS)
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, n_sets)
+
+
 def _scan(
     batches: Iterator[pa.RecordBatch],
     requests: Broadcast,
     k: int,
     floor: float | None,
     group: str | None,
+    sets: list[str] | None,
     counts: bool,
 ) -> Iterator[pa.RecordBatch]:
     matrix: RequestMatrix = requests.value
@@ -173,15 +185,18 @@ def _scan(
             continue
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         vectors = dense(batch.column("embedding"))
-        keys = [None] if group is None else batch.column(group).unique().to_pylist()
-        named = None if group is None else np.asarray(
-            batch.column(group).to_pylist(), dtype=object
-        )
-        for key in keys:
-            if key not in matrix:
+        if sets is not None:
+            flags = _flags(batch, len(sets))
+            picks = {key: flags[:, i] for i, key in enumerate(sets)}
+        elif group is not None:
+            named = np.asarray(batch.column(group).to_pylist(), dtype=object)
+            picks = {key: named == key for key in set(named)}
+        else:
+            picks = {None: slice(None)}
+        for key, rows in picks.items():
+            if key not in matrix or not len(ids[rows]):
                 continue
             query_ids, queries = matrix[key]
-            rows = slice(None) if named is None else named == key
             if key not in best:
                 best[key] = _Best(len(query_ids), k, floor)
             best[key].add(ids[rows], vectors[rows], queries)
@@ -197,6 +212,15 @@ def _only(df: DataFrame, key: str, group: str | None) -> DataFrame:
     return df.select(key, "embedding", group).where(F.col(group).isNotNull())
 
 
+def _marked(vectors: DataFrame, passes: Mapping[str, Column | None]) -> DataFrame:
+    """Vectors that pass any of the conditions, and which ones, decided in the JVM."""
+    tests = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in passes.values()]
+    kept = vectors
+    if tests and None not in passes.values():
+        kept = vectors.where(reduce(or_, passes.values()))
+    return kept.select("id", "embedding", F.array(*tests).alias(PASS))
+
+
 def with_vectors(rows):
     """The rows of a table or batch that have a vector."""
     if rows.column("embedding").null_count:
@@ -242,25 +266,33 @@ def candidates(
     floor: float | None,
     group: str | None = None,
     counts: bool = False,
+    passes: Mapping[str, Column | None] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> Candidates:
+    """Candidates for the ranks of each request, at most ``k`` per task.
+
+    Without ``passes``, ``group`` is a column of both sides that must agree.
+    With it, ``group`` is a column of the requests only, and ``passes`` gives
+    the condition on the vectors for each of its values (None: no condition).
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    vectors = _only(vectors, "id", group)
+    sets = list(passes) if passes is not None else None
+    vectors = _marked(vectors, passes) if passes is not None else _only(vectors, "id", group)
     requests = _only(requests, "query_id", group)
     matrix, n = gather_requests(requests, group, broadcast_bytes)
     if matrix is None:
         rows = max(1, block_bytes // (8 * max(1, n)))
-        grid = _grid_candidates(vectors, requests, k, floor, group, counts, rows)
+        grid = _grid_candidates(vectors, requests, k, floor, group, sets, counts, rows)
         return Candidates(grid, None)
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
-    if group is not None:
+    if group is not None and sets is None:
         # Only partitions some request asks for are read.
         vectors = vectors.where(F.col(group).isin(list(matrix)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, shipped, k, floor, group, counts)
+        return _scan(batches, shipped, k, floor, group, sets, counts)
 
     return Candidates(vectors.mapInArrow(scan, CANDIDATES), n)
 
@@ -271,6 +303,7 @@ def _grid_candidates(
     k: int,
     floor: float | None,
     group: str | None,
+    sets: list[str] | None,
     counts: bool,
     rows: int,
 ) -> DataFrame:
@@ -288,7 +321,7 @@ def _grid_candidates(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
         )
 
-    blocks = ["_v", "_r"] + ([group] if group else [])
+    blocks = ["_v", "_r"] + ([group] if group and sets is None else [])
     left = dealt(vectors, "_v", n_vector_blocks, "_r", n_request_blocks).groupBy(*blocks)
     right = dealt(requests, "_r", n_request_blocks, "_v", n_vector_blocks).groupBy(*blocks)
 
@@ -296,13 +329,19 @@ def _grid_candidates(
         block, asked = with_vectors(block), with_vectors(asked)
         if not block.num_rows or not asked.num_rows:
             return _CANDIDATE_SCHEMA.empty_table()
-        query_ids = asked.column("query_id").to_numpy(zero_copy_only=False).astype(object)
-        state = _Best(len(query_ids), k, floor)
-        queries = dense(asked.column("embedding"))
-        for part in block.select(["id", "embedding"]).to_batches(max_chunksize=1 << 14):
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            state.add(ids, dense(part.column(1)), queries)
-        return pa.Table.from_batches([state.batch(query_ids, counts)])
+        matrix = request_matrix(asked, group if sets is not None else None)
+        best = {key: _Best(len(ids), k, floor) for key, (ids, _) in matrix.items()}
+        for part in block.to_batches(max_chunksize=1 << 14):
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            part_vectors = dense(part.column("embedding"))
+            flags = None if sets is None else _flags(part, len(sets))
+            for key, state in best.items():
+                keep = slice(None) if flags is None else flags[:, sets.index(key)]
+                if len(ids[keep]):
+                    state.add(ids[keep], part_vectors[keep], matrix[key][1])
+        return pa.Table.from_batches(
+            [state.batch(matrix[key][0], counts) for key, state in best.items()]
+        )
 
     return left.cogroup(right).applyInArrow(meet, CANDIDATES)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,13 +15,22 @@ from stockweave.constants import (
     SEARCH_PAGE_SIZE,
 )
 from stockweave.functions.vectors import has_bad_value, squared_norm
-from stockweave.mapping import SchemaMapping, require_columns, text_col
-from stockweave.operators.filters import apply_filters, filter_columns
+from stockweave.mapping import SchemaMapping, require_columns, text_col, user_col
+from stockweave.operators.filters import (
+    active_filters,
+    apply_filters,
+    covers,
+    filter_columns,
+    filter_condition,
+)
 from stockweave.operators.project import product_records
 from stockweave.operators.score import candidates, ranked, thinned
 from stockweave.operators.tables import latest_completed
 from stockweave.session import BROADCAST_ROWS
 
+# Different filter texts one request table may hold.
+FILTER_SETS = 1000
+
 
 def join_vectors(products: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
     """Attach each vector to its row by id; rows without a vector drop out.
@@ -106,11 +116,10 @@ def filtered_vectors(
     A vector table published with its filter columns is filtered where it is;
     otherwise the passing ids are semi-joined.
     """
-    active = {k: v for k, v in filters.items() if v not in (None, "", [], (), {})}
+    active = active_filters(filters)
     if not active:
         return vectors
-    own = filter_columns(vectors, None)
-    if all(k in own or (k == "price_range" and "price" in own) for k in active):
+    if covers(filter_columns(vectors, None), active):
         return apply_filters(vectors, active)
     ids = apply_filters(catalog, active, mapping).select(
         text_col(row_key or mapping.id_column).alias("id")
@@ -147,6 +156,52 @@ def search(
     ).select(*RESULT_COLUMNS)
 
 
+def filterable_vectors(
+    catalog: DataFrame,
+    vectors: DataFrame,
+    mapping: SchemaMapping,
+    sets: Sequence[Mapping[str, object]],
+    row_key: str | None = None,
+) -> DataFrame:
+    """Vectors with every column the filter sets need, joined on only if absent."""
+    if all(covers(filter_columns(vectors, None), s) for s in sets):
+        return vectors
+    columns = [user_col(u).alias(key) for key, u in filter_columns(catalog, mapping).items()]
+    keyed = catalog.select(text_col(row_key or mapping.id_column).alias("id"), *columns)
+    return vectors.select("id", "embedding").join(keyed, "id")
+
+
+def search_each(
+    catalog: DataFrame,
+    vectors: DataFrame,
+    requests: DataFrame,
+    mapping: SchemaMapping,
+    k: int = MAX_ITEMS,
+    floor: float | None = MIN_SCORE,
+    row_key: str | None = None,
+    **sizes: int,
+) -> DataFrame:
+    """Like :func:`search`, for requests that bring filters of their own.
+
+    ``filters`` is JSON text per request, such as
+    ``{"category": "Ovens", "price": [0, 1000]}``. Every distinct text becomes
+    one predicate, all of them are evaluated in one scan of the vectors, and a
+    request only meets the rows that pass its own.
+    """
+    asked = requests.withColumn("filters", F.coalesce("filters", F.lit("{}")))
+    texts = [r[0] for r in asked.select("filters").distinct().limit(FILTER_SETS + 1).collect()]
+    if len(texts) > FILTER_SETS:
+        raise ValueError(f"more than {FILTER_SETS} different filters: split the requests")
+    sets = {text: json.loads(text) for text in texts}
+    pool = filterable_vectors(catalog, vectors, mapping, list(sets.values()), row_key)
+    passes = {text: filter_condition(pool, given) for text, given in sets.items()}
+    found = candidates(pool, asked, k, floor, "filters", passes=passes, **sizes)
+    n_ranks = None if found.n_requests is None else found.n_requests * k
+    return attach_records(
+        ranked(found.rows, k), catalog, mapping, n_ranks, row_key=row_key
+    ).select(*RESULT_COLUMNS)
+
+
 def search_page(
     catalog: DataFrame,
     vectors: DataFrame,

@@ -9,6 +9,8 @@ from stockweave.constants import MODES, PREVIOUS_VERSION_ERROR
 from stockweave.mapping import user_col
 from stockweave.session import written_and_counted
 
+HOPS = 3
+
 
 def resolve_catalog(mode: str, previous: DataFrame | None, new: DataFrame) -> DataFrame:
     """``replace``: the new rows. ``append``: previous rows and new rows.
@@ -61,15 +63,37 @@ def check_previous_version(requests: DataFrame, configs: DataFrame) -> DataFrame
     )
 
 
+def _hop(rows: DataFrame, up: DataFrame) -> DataFrame:
+    """Move open rows on to where their ``root`` points.
+
+    Rows that arrived keep a key of their own, so they spread evenly and match
+    nothing instead of meeting at one root.
+    """
+    key = F.when(F.col("_open"), F.concat(F.lit(">"), "root")).otherwise(
+        F.concat(F.lit("="), "config_id")
+    )
+    return (
+        rows.withColumn("_key", key)
+        .join(up, "_key", "left")
+        .select(
+            "config_id",
+            F.coalesce("_root", "root").alias("root"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            (F.col("total_rows") + F.coalesce("_rows", F.lit(0))).alias("total_rows"),
+            F.coalesce("_more", F.lit(False)).alias("_open"),
+        )
+    )
+
+
 def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
     """Root version, depth and cumulative rows of every version.
 
     Needs ``config_id, mode, previous_version, n_rows``. A version that does
     not append, or whose base is unknown, is its own root.
 
-    Pointers double each round: after round i every open row knows the sum over
-    its nearest 2^i ancestors, so a chain of length d takes log2(d) joins. Each
-    round is written out, and rows that reached their root leave the join.
+    Pointers reach four times as far each round: when every open row knows the
+    sum over its nearest n ancestors, three look-ups in that same table make it
+    4n. Each round is written out, and rows that reached their root leave it.
     """
     base = F.when(
         (F.col("mode") == "append") & (F.coalesce("previous_version", F.lit("")) != ""),
@@ -100,27 +124,19 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
         if reach > max_depth:
             raise ValueError("version history is longer than max_depth or has a cycle")
         up = state.select(
-            F.col("config_id").alias("root"),
+            F.concat(F.lit(">"), "config_id").alias("_key"),
             F.col("root").alias("_root"),
             F.col("depth").alias("_depth"),
             F.col("total_rows").alias("_rows"),
             F.col("_open").alias("_more"),
         )
-        moved = (
-            state.where("_open")
-            .join(up, "root")
-            .select(
-                "config_id",
-                F.col("_root").alias("root"),
-                (F.col("depth") + F.col("_depth")).alias("depth"),
-                (F.col("total_rows") + F.col("_rows")).alias("total_rows"),
-                F.col("_more").alias("_open"),
-            )
-        )
+        moved = state.where("_open")
+        for _ in range(HOPS):
+            moved = _hop(moved, up)
         state, n_open = written_and_counted(
             state.where(~F.col("_open")).unionByName(moved), "lineage", F.col("_open")
         )
-        reach *= 2
+        reach *= HOPS + 1
     return state.select("config_id", "root", "depth", "total_rows")
 
 

@@ -16,6 +16,7 @@ from stockweave.operators.score import dot_scores, search_vectors, top_k, top_k_
 from stockweave.operators.search import (
     route_requests,
     search,
+    search_each,
     search_page,
     search_summary,
     vector_checks,
@@ -253,6 +254,31 @@ def e8_filtered_vector_table(spark, d):
 ORACLE["e8_filtered_vector_table"] = ORACLE["e8_search_filtered"]
 
 
+@query
+def e8_search_each(spark, d):
+    """Every request brings its own filters: brand by label, price by label."""
+    label = F.col("label").cast("string")
+    filters = (
+        F.when(F.col("label") % 3 == 0, F.format_string('{"category": "Brand#%s"}', label))
+        .when(F.col("label") % 3 == 1, F.format_string('{"price": [90%s, 99%s]}', label, label))
+    )
+    asked = label_requests(spark, d).withColumn("filters", filters)
+    return flat(
+        search_each(table(spark, d, "part"), part_vectors(spark, d), asked, PART, k=5, floor=-1.0)
+    )
+
+
+ORACLE["e8_search_each"] = f"""
+WITH {SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
+ranks AS (SELECT query_id, r.id, name, description, category, score, metadata,
+            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r.id ASC) AS rank
+          FROM scores s JOIN records r ON r.id = s.id
+          WHERE CASE request_label % 3 WHEN 0 THEN category = 'Brand#' || request_label
+                  WHEN 1 THEN p_retailprice BETWEEN 900 + request_label AND 990 + request_label
+                  ELSE true END)
+SELECT * FROM ranks WHERE rank <= 5"""
+
+
 @query
 def e9_search_paged(spark, d):
     return flat(

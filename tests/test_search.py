@@ -20,6 +20,7 @@ from stockweave.operators.score import candidates, dot_scores, search_vectors, t
 from stockweave.operators.search import (
     join_vectors,
     search,
+    search_each,
     search_page,
     search_summary,
     vector_checks,
@@ -158,6 +159,29 @@ def test_filters_come_before_the_cut(shop):
     assert rows == [(1, "s5", "5.0"), (2, "s7", "7.0"), (3, "s9", "9.0")]
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 16 * 3}])
+@pytest.mark.parametrize("carried", [False, True])
+def test_each_request_has_its_own_filters(spark, shop, sizes, carried):
+    goods, vectors, _ = shop
+    if carried:
+        vectors = vectors.join(goods.selectExpr("sku AS id", "kind AS category", "price"), "id")
+    given = {
+        "all": None,
+        "red": '{"category": "red"}',
+        "cheap": '{"price_range": [null, 4], "category": ""}',
+        "both": '{"category": "blue", "price": [9, 99]}',
+        "none": '{"category": "green"}',
+    }
+    asked = spark.createDataFrame([(q, [1.0, 0.0], f) for q, f in given.items()],
+                                  REQUESTS + ", filters string")
+    got = search_each(goods, vectors, asked, SHOP, k=3, floor=0.0, **sizes)
+    rows = {q: [] for q in given}
+    for r in got.orderBy("rank").collect():
+        rows[r["query_id"]].append(r["id"])
+    assert rows == {"all": ["s0", "s1", "s2"], "red": ["s1", "s3", "s5"],
+                    "cheap": ["s0", "s1", "s2"], "both": ["s10", "s12", "s14"], "none": []}
+
+
 def test_pages_cover_the_list_once(shop):
     goods, vectors, asked = shop
     seen, total = [], None
