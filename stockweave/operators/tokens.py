@@ -41,7 +41,7 @@ def token_ids(df: DataFrame, column: str, tokenizer: Tokenizer | None = None) ->
         for texts in batches:
             yield pd.Series(tokenizer(texts.fillna("").tolist()), index=texts.index)
 
-    return encode(F.col(column))
+    return encode.asNondeterministic()(F.col(column))
 
 
 def fit_tokens(

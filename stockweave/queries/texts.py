@@ -34,6 +34,7 @@ from stockweave.queries.views import (
     previous_part,
     table,
 )
+from stockweave.session import spread
 
 QUERIES = {}
 ORACLE = {}
@@ -171,7 +172,7 @@ FROM samples"""
 
 @query
 def t7_fit_tokens(spark, d):
-    fitted = fit_tokens(table(spark, d, "documents"), "text", 64)
+    fitted = fit_tokens(spread(table(spark, d, "documents"), "doc_id"), "text", 64)
     return fitted.select(
         "doc_id", "n_tokens",
         F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
@@ -224,7 +225,8 @@ FROM part"""
 
 @query
 def t8_token_stats(spark, d):
-    return token_stats(table(spark, d, "documents"), "text", 256, by=["lang"])
+    documents = spread(table(spark, d, "documents"), "doc_id")
+    return token_stats(documents, "text", 256, by=["lang"])
 
 
 ORACLE["t8_token_stats"] = f"""

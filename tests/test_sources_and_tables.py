@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockweave.constants import MISSING_TOKENS
 from stockweave.functions.ranking import positions
 from stockweave.mapping import CustomColumn, SchemaMapping
+from stockweave.operators import tables
 from stockweave.operators.chat import canned_response, classify_utterance
 from stockweave.operators.embed import hash_embed
 from stockweave.operators.search import route_requests, search
@@ -215,6 +216,20 @@ def test_listing_and_lookup(spark):
     assert latest_completed(df.where("status = 'failed'")).count() == 0
 
 
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i), "completed" if i % 3 else "failed", at(i // 4)) for i in range(90)],
+                               "config_id string, status string, created_at timestamp")
+
+    def page(n):
+        got = list_page(df, {"status": "completed"}, page=n, size=25)
+        return [(r["config_id"], r["total"], r["page"]) for r in got.collect()]
+
+    want = [page(n) for n in (1, 2, 3)]
+    assert [len(w) for w in want] == [25, 25, 10]
+    monkeypatch.setattr(tables, "DEEP_ROWS", 0)
+    assert [page(n) for n in (1, 2, 3)] == want
+
+
 def test_queue_places_with_one_hot_queue(spark):
     rows = [(f"j{i:03}", "main" if i % 4 else "side", f"t{i // 10:03}") for i in range(200)]
     jobs = spark.createDataFrame(rows, "config_id string, queue string, timestamp string").repartition(7)
