@@ -181,24 +181,34 @@ def search_each(
     row_key: str | None = None,
     **sizes: int,
 ) -> DataFrame:
-    """Like :func:`search`, for requests that bring filters of their own.
+    """Like :func:`search`, for requests that bring their own settings.
 
     ``filters`` is JSON text per request, such as
     ``{"category": "Ovens", "price": [0, 1000]}``. Every distinct text becomes
     one predicate, all of them are evaluated in one scan of the vectors, and a
-    request only meets the rows that pass its own.
+    request only meets the rows that pass its own. ``max_items`` is the cut of
+    the request; absent or below 1 means ``k``. Either column may be left out.
     """
-    asked = requests.withColumn("filters", F.coalesce("filters", F.lit("{}")))
+    given = F.col("filters") if "filters" in requests.columns else F.lit(None)
+    asked = requests.withColumn("filters", F.coalesce(given, F.lit("{}")))
     texts = [r[0] for r in asked.select("filters").distinct().limit(FILTER_SETS + 1).collect()]
     if len(texts) > FILTER_SETS:
         raise ValueError(f"more than {FILTER_SETS} different filters: split the requests")
     sets = {text: json.loads(text) for text in texts}
     pool = filterable_vectors(catalog, vectors, mapping, list(sets.values()), row_key)
     passes = {text: filter_condition(pool, given) for text, given in sets.items()}
+    limits = None
+    if "max_items" in requests.columns:
+        own = F.when(F.col("max_items") >= 1, F.col("max_items")).otherwise(k)
+        limits = requests.select("query_id", own.alias("_items"))
+        k = limits.agg(F.max("_items")).first()[0] or k
     found = candidates(pool, asked, k, floor, "filters", passes=passes, **sizes)
+    ranks = ranked(found.rows, k)
+    if limits is not None:
+        ranks = ranks.join(limits, "query_id").where(F.col("rank") <= F.col("_items"))
     n_ranks = None if found.n_requests is None else found.n_requests * k
     return attach_records(
-        ranked(found.rows, k), catalog, mapping, n_ranks, row_key=row_key
+        ranks.drop("_items"), catalog, mapping, n_ranks, row_key=row_key
     ).select(*RESULT_COLUMNS)
 
 

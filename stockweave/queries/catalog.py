@@ -52,7 +52,7 @@ from stockweave.sources.catalog_csv import (
     normalize_missing,
     read_catalog_csv,
 )
-from stockweave.sources.records import JOB_SCHEMA, job_messages, parse_jobs
+from stockweave.sources.records import JOB_SCHEMA, job_messages, parse_jobs, parse_requests
 from stockweave.sources.store import (
     artifact_manifest,
     publish_vectors,
@@ -211,6 +211,26 @@ ORACLE["s8_malformed_records"] = """
 SELECT event_id, '{"co' AS raw FROM events WHERE event_id % 7 = 0"""
 
 
+@query
+def s8_parse_requests(spark, d):
+    """Every user turn as a JSON search request; the turn number is its cut."""
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    body = F.struct(
+        F.col("text").alias("query"), F.col("conv_id").cast("string").alias("config_id"),
+        F.col("turn").cast("int").alias("max_items"),
+        F.struct(F.col("role").alias("category")).alias("filters"),
+    )
+    sent = turns.select("conv_id", "turn", F.to_json(body).alias("message"))
+    return parse_requests(sent, keep=["conv_id", "turn"])[0].drop("model_path")
+
+
+ORACLE["s8_parse_requests"] = """
+SELECT conv_id, turn, text AS query, cast(conv_id AS varchar) AS config_id,
+       cast(CASE WHEN turn = 0 THEN 10 ELSE turn END AS integer) AS max_items,
+       '{"category":"user"}' AS filters
+FROM conversations WHERE role = 'user'"""
+
+
 @query
 def s8_job_message_round_trip(spark, d):
     """Config to job message and back gives the same job."""

@@ -279,6 +279,24 @@ ranks AS (SELECT query_id, r.id, name, description, category, score, metadata,
 SELECT * FROM ranks WHERE rank <= 5"""
 
 
+@query
+def e8_search_max_items(spark, d):
+    """The label is also the number of rows a request wants; none means ten."""
+    asked = label_requests(spark, d).withColumn("max_items", F.col("label"))
+    return flat(search_each(table(spark, d, "part"), part_vectors(spark, d), asked, PART))
+
+
+ORACLE["e8_search_max_items"] = f"""
+WITH {SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
+ranks AS (SELECT query_id, request_label, id, score,
+            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id ASC) AS rank
+          FROM scores)
+SELECT query_id, rank, r.id, name, description, category, score, metadata
+FROM ranks r JOIN records USING (id)
+WHERE NOT (score < 0.2)
+  AND rank <= CASE WHEN request_label >= 1 THEN request_label ELSE 10 END"""
+
+
 @query
 def e9_search_paged(spark, d):
     return flat(

@@ -14,6 +14,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # broadcast. The rows concerned are narrow (ids, offsets, scores).
 BROADCAST_ROWS = 200_000
 
+# Folders of local sessions that name none, by application.
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
@@ -27,9 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="stockweave-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="stockweave-")
+    return _local_folders[app]
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:

@@ -182,6 +182,15 @@ def test_each_request_has_its_own_filters(spark, shop, sizes, carried):
                     "cheap": ["s0", "s1", "s2"], "both": ["s10", "s12", "s14"], "none": []}
 
 
+def test_each_request_has_its_own_cut(spark, shop):
+    goods, vectors, _ = shop
+    asked = spark.createDataFrame(
+        [("a", [1.0, 0.0], 3), ("b", [1.0, 0.0], 0), ("c", [1.0, 0.0], None), ("d", [1.0, 0.0], 12)],
+        REQUESTS + ", max_items int")
+    got = search_each(goods, vectors, asked, SHOP, k=5).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {"a": 3, "b": 5, "c": 5, "d": 12}
+
+
 def test_pages_cover_the_list_once(shop):
     goods, vectors, asked = shop
     seen, total = [], None

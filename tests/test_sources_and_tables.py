@@ -35,7 +35,7 @@ from stockweave.sources.catalog_csv import (
     normalize_missing,
     read_catalog_csv,
 )
-from stockweave.sources.records import REQUEST_SCHEMA, parse_jobs, parse_json_records
+from stockweave.sources.records import parse_jobs, parse_requests
 from stockweave.sources.store import read_catalog_version, read_manifest, write_catalog_version
 
 MAPPING = SchemaMapping("id", "name", "description", "category",
@@ -138,9 +138,15 @@ def test_json_records_with_defaults_and_bad_rows(spark):
     assert sorted(tuple(r) for r in good.collect()) == [
         ("1", "t", "n", "m", "append"), ("2", "unknown", "Unnamed", "unknown", "replace")]
     assert good.count() + bad.count() == len(messages)
-    asked = spark.createDataFrame([('{"query":"q"}',)], "m string")
-    row = parse_json_records(asked, "m", REQUEST_SCHEMA, {"max_items": 10})[0].first()
-    assert (row["query"], row["max_items"]) == ("q", 10)
+
+
+def test_requests_keep_their_filters_as_text(spark):
+    messages = ['{"query":"q"}', '{"query":"r","max_items":0,"filters":{"price":[0,1000]}}',
+                '{"query":"s","max_items":3,"config_id":"1"}', '{"max_items":3}', "x"]
+    good, bad = parse_requests(spark.createDataFrame([(m,) for m in messages], "message string"))
+    assert {(r["query"], r["max_items"], r["filters"]) for r in good.collect()} == {
+        ("q", 10, None), ("r", 10, '{"price":[0,1000]}'), ("s", 3, None)}
+    assert bad.count() == 2
 
 
 def test_append_by_name_keeps_every_row(spark):
