@@ -6,7 +6,7 @@ request, and one window over those few candidates gives the final ranks.
 
 The request matrix is broadcast only up to ``BROADCAST_BYTES``. A larger
 request table is never gathered: vectors and requests are then cut into blocks
-that meet in a grid of tasks (`_grid_candidates`), with the same exact result.
+that meet in a grid of tasks (`_grid`), with the same exact result.
 
 Scores are double precision, rounded to ``DIGITS``, and ranks are by
 (score descending, id ascending), so ties have one order.
@@ -14,7 +14,7 @@ Scores are double precision, rounded to ``DIGITS``, and ranks are by
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -37,6 +37,12 @@ SALTS = 64
 SALT_ABOVE = 20
 
 PASS = "_pass"
+SLICE_ROWS = 1 << 14
+SCORE_ROWS = 1 << 11
+SCORES = "query_id string, id string, score double"
+_SCORE_SCHEMA = pa.schema(
+    [("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]
+)
 CANDIDATES = "query_id string, id string, score double, passing bigint"
 _CANDIDATE_SCHEMA = pa.schema(
     [("query_id", pa.string()), ("id", pa.string()),
@@ -216,7 +222,7 @@ def _marked(vectors: DataFrame, passes: Mapping[str, Column | None]) -> DataFram
     """Vectors that pass any of the conditions, and which ones, decided in the JVM."""
     tests = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in passes.values()]
     kept = vectors
-    if tests and None not in passes.values():
+    if tests and all(c is not None for c in passes.values()):
         kept = vectors.where(reduce(or_, passes.values()))
     return kept.select("id", "embedding", F.array(*tests).alias(PASS))
 
@@ -297,17 +303,15 @@ def candidates(
     return Candidates(vectors.mapInArrow(scan, CANDIDATES), n)
 
 
-def _grid_candidates(
+def _grid(
     vectors: DataFrame,
     requests: DataFrame,
-    k: int,
-    floor: float | None,
-    group: str | None,
-    sets: list[str] | None,
-    counts: bool,
     rows: int,
+    meet: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    group: str | None = None,
 ) -> DataFrame:
-    """Blocks of ``rows`` vectors meet blocks of ``rows`` requests.
+    """Blocks of ``rows`` vectors meet blocks of ``rows`` requests, each pair once.
 
     Rows are dealt to blocks in turn, so blocks have equal size whatever the
     keys look like. Each side is sent once per block of the other side.
@@ -321,9 +325,23 @@ def _grid_candidates(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
         )
 
-    blocks = ["_v", "_r"] + ([group] if group and sets is None else [])
+    blocks = ["_v", "_r"] + ([group] if group else [])
     left = dealt(vectors, "_v", n_vector_blocks, "_r", n_request_blocks).groupBy(*blocks)
     right = dealt(requests, "_r", n_request_blocks, "_v", n_vector_blocks).groupBy(*blocks)
+    return left.cogroup(right).applyInArrow(meet, schema)
+
+
+def _grid_candidates(
+    vectors: DataFrame,
+    requests: DataFrame,
+    k: int,
+    floor: float | None,
+    group: str | None,
+    sets: list[str] | None,
+    counts: bool,
+    rows: int,
+) -> DataFrame:
+    """Candidates per pair of blocks, for requests too many to broadcast."""
 
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
         block, asked = with_vectors(block), with_vectors(asked)
@@ -331,7 +349,7 @@ def _grid_candidates(
             return _CANDIDATE_SCHEMA.empty_table()
         matrix = request_matrix(asked, group if sets is not None else None)
         best = {key: _Best(len(ids), k, floor) for key, (ids, _) in matrix.items()}
-        for part in block.to_batches(max_chunksize=1 << 14):
+        for part in block.to_batches(max_chunksize=SLICE_ROWS):
             ids = part.column("id").to_numpy(zero_copy_only=False)
             part_vectors = dense(part.column("embedding"))
             flags = None if sets is None else _flags(part, len(sets))
@@ -343,7 +361,8 @@ def _grid_candidates(
             [state.batch(matrix[key][0], counts) for key, state in best.items()]
         )
 
-    return left.cogroup(right).applyInArrow(meet, CANDIDATES)
+    own = group if sets is None else None
+    return _grid(vectors, requests, rows, meet, CANDIDATES, own)
 
 
 def thinned(found: DataFrame, k: int) -> DataFrame:
@@ -394,38 +413,54 @@ def search_vectors(
     return ranked(found.rows, k)
 
 
-def dot_scores(vectors: DataFrame, requests: DataFrame, **sizes: int) -> DataFrame:
+def _all_scores(rows, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One batch of scores per request, over the given vector rows."""
+    ids = rows.column("id")
+    made = round_half_up(queries @ dense(rows.column("embedding")).T, DIGITS)
+    for query_id, scores in zip(query_ids, made, strict=True):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([query_id] * len(ids), pa.string()), ids, pa.array(scores, pa.float64())],
+            schema=_SCORE_SCHEMA,
+        )
+
+
+def dot_scores(
+    vectors: DataFrame,
+    requests: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The score of every vector for every request, unranked.
 
     The result has requests x vectors rows by definition; use
     :func:`search_vectors` when only the best are wanted.
     """
     vectors = _only(vectors, "id", None)
-    matrix, _ = gather_requests(
-        _only(requests, "query_id", None), None, sizes.get("broadcast_bytes", BROADCAST_BYTES)
-    )
+    requests = _only(requests, "query_id", None)
+    matrix, n = gather_requests(requests, None, broadcast_bytes)
     if matrix is None:
-        raise ValueError("too many requests for full scores; use search_vectors")
+        # The result of a pair of blocks is a table too, so blocks are smaller.
+        rows = max(1, min(block_bytes // (8 * max(1, n)), SCORE_ROWS))
+
+        def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
+            block, asked = with_vectors(block), with_vectors(asked)
+            if not block.num_rows or not asked.num_rows:
+                return _SCORE_SCHEMA.empty_table()
+            query_ids, queries = request_matrix(asked, None)[None]
+            return pa.Table.from_batches(
+                [b for part in block.to_batches() for b in _all_scores(part, query_ids, queries)]
+            )
+
+        return _grid(vectors, requests, rows, meet, SCORES)
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for query_ids, queries in shipped.value.values():
-            break
-        else:
-            return
-        for batch in map(with_vectors, batches):
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id")
-            made = round_half_up(queries @ dense(batch.column("embedding")).T, DIGITS)
-            for query_id, row in zip(query_ids, made, strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_id] * len(ids), pa.string()), ids,
-                     pa.array(row, pa.float64())],
-                    names=["query_id", "id", "score"],
-                )
-
-    return vectors.mapInArrow(score, "query_id string, id string, score double")
+            for batch in map(with_vectors, batches):
+                if batch.num_rows:
+                    yield from _all_scores(batch, query_ids, queries)
+
+    return vectors.mapInArrow(score, SCORES)
 
 
 def top_k(scored: DataFrame, k: int = MAX_ITEMS) -> DataFrame:

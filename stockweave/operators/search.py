@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,12 @@ from stockweave.operators.filters import (
     filter_condition,
 )
 from stockweave.operators.project import product_records
-from stockweave.operators.score import candidates, ranked, thinned
+from stockweave.operators.score import Candidates, candidates, ranked, thinned
 from stockweave.operators.tables import latest_completed
 from stockweave.session import BROADCAST_ROWS
 
-# Different filter texts one request table may hold.
-FILTER_SETS = 1000
+# Different filter texts that share one scan of the vectors.
+FILTER_SETS = 500
 
 
 def join_vectors(products: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
@@ -171,6 +172,39 @@ def filterable_vectors(
     return vectors.select("id", "embedding").join(keyed, "id")
 
 
+def _filter_texts(asked: DataFrame) -> Iterator[list[str]]:
+    """The distinct filter texts in order, at most ``FILTER_SETS`` at a time."""
+    distinct = asked.select("filters").distinct()
+    more = distinct
+    while True:
+        texts = [r[0] for r in more.orderBy("filters").limit(FILTER_SETS).collect()]
+        if texts:
+            yield texts
+        if len(texts) < FILTER_SETS:
+            return
+        more = distinct.where(F.col("filters") > texts[-1])
+
+
+def _search_sets(
+    catalog: DataFrame,
+    vectors: DataFrame,
+    asked: DataFrame,
+    mapping: SchemaMapping,
+    texts: list[str],
+    k: int,
+    floor: float | None,
+    row_key: str | None,
+    sizes: Mapping[str, int],
+) -> Candidates:
+    """Candidates of the requests with these filter texts, in one vector scan."""
+    sets = {text: json.loads(text) for text in texts}
+    pool = filterable_vectors(catalog, vectors, mapping, list(sets.values()), row_key)
+    passes = {text: filter_condition(pool, given) for text, given in sets.items()}
+    if texts:
+        asked = asked.where(F.col("filters").between(texts[0], texts[-1]))
+    return candidates(pool, asked, k, floor, "filters", passes=passes, **sizes)
+
+
 def search_each(
     catalog: DataFrame,
     vectors: DataFrame,
@@ -185,28 +219,29 @@ def search_each(
 
     ``filters`` is JSON text per request, such as
     ``{"category": "Ovens", "price": [0, 1000]}``. Every distinct text becomes
-    one predicate, all of them are evaluated in one scan of the vectors, and a
-    request only meets the rows that pass its own. ``max_items`` is the cut of
+    one predicate, up to ``FILTER_SETS`` of them are evaluated in one scan of the
+    vectors, and a request only meets the rows that pass its own. ``max_items`` is the cut of
     the request; absent or below 1 means ``k``. Either column may be left out.
     """
     given = F.col("filters") if "filters" in requests.columns else F.lit(None)
     asked = requests.withColumn("filters", F.coalesce(given, F.lit("{}")))
-    texts = [r[0] for r in asked.select("filters").distinct().limit(FILTER_SETS + 1).collect()]
-    if len(texts) > FILTER_SETS:
-        raise ValueError(f"more than {FILTER_SETS} different filters: split the requests")
-    sets = {text: json.loads(text) for text in texts}
-    pool = filterable_vectors(catalog, vectors, mapping, list(sets.values()), row_key)
-    passes = {text: filter_condition(pool, given) for text, given in sets.items()}
     limits = None
     if "max_items" in requests.columns:
         own = F.when(F.col("max_items") >= 1, F.col("max_items")).otherwise(k)
         limits = requests.select("query_id", own.alias("_items"))
         k = limits.agg(F.max("_items")).first()[0] or k
-    found = candidates(pool, asked, k, floor, "filters", passes=passes, **sizes)
-    ranks = ranked(found.rows, k)
+    parts = [
+        _search_sets(catalog, vectors, asked, mapping, texts, k, floor, row_key, sizes)
+        for texts in _filter_texts(asked)
+    ]
+    if not parts:
+        parts = [_search_sets(catalog, vectors, asked, mapping, [], k, floor, row_key, sizes)]
+    rows = reduce(DataFrame.unionByName, [p.rows for p in parts])
+    known = [p.n_requests for p in parts]
+    n_ranks = None if None in known else sum(known) * k
+    ranks = ranked(rows, k)
     if limits is not None:
         ranks = ranks.join(limits, "query_id").where(F.col("rank") <= F.col("_items"))
-    n_ranks = None if found.n_requests is None else found.n_requests * k
     return attach_records(
         ranks.drop("_items"), catalog, mapping, n_ranks, row_key=row_key
     ).select(*RESULT_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stockweave.mapping import CustomColumn, SchemaMapping
 from stockweave.operators import score as score_module
+from stockweave.operators import search as search_module
 from stockweave.operators.embed import (
     HashEncoder,
     embed_column,
@@ -116,6 +117,14 @@ def test_nan_score_is_first_and_not_under_the_floor(spark):
     assert min_score(scored, 0.2).count() == 2
 
 
+def test_full_scores_by_blocks(data):
+    _, _, v, r = data
+    whole = dot_scores(v, r)
+    blocks = dot_scores(v, r, broadcast_bytes=0, block_bytes=64 * 50)
+    assert whole.count() == 600 * 40
+    assert whole.exceptAll(blocks).count() == blocks.exceptAll(whole).count() == 0
+
+
 def test_null_vectors_are_skipped(spark):
     v = spark.createDataFrame([("a", [1.0]), ("b", None)], VECTORS)
     r = spark.createDataFrame([("q", [1.0]), ("p", None)], REQUESTS)
@@ -161,7 +170,9 @@ def test_filters_come_before_the_cut(shop):
 
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 16 * 3}])
 @pytest.mark.parametrize("carried", [False, True])
-def test_each_request_has_its_own_filters(spark, shop, sizes, carried):
+@pytest.mark.parametrize("per_scan", [2, 500])
+def test_each_request_has_its_own_filters(spark, shop, monkeypatch, sizes, carried, per_scan):
+    monkeypatch.setattr(search_module, "FILTER_SETS", per_scan)
     goods, vectors, _ = shop
     if carried:
         vectors = vectors.join(goods.selectExpr("sku AS id", "kind AS category", "price"), "id")
