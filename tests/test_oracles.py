@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as spark_entry
+from stockweave.queries import all_oracles, all_queries
 from tests.conftest import SF
 from tools.check import duck, rows
 
-QUERIES = spark_entry.queries()
-ORACLES = spark_entry.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,11 @@ def test_query_matches_oracle(spark, con, name):
     assert rows(df.columns, got) == rows(cols, cur.fetchall())
 
 
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLES) <= set(spark_entry.oracle_sql())
+
+
 def test_entry(spark):
     df = spark_entry.entry(spark)
     assert df.columns[:2] == ["query_id", "rank"]
