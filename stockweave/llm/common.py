@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The white space of the word and line contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,27 +14,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def with_types(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, cast; a column that is missing is null."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f"`{name}`") if name in have else F.lit(None)).cast(kind).alias(name)
-            for name, kind in types.items()
-        ]
-    )
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def in_workers(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` for functions from an iterator of batches to batches."""
-    return df.mapInArrow(function, schema)
-
-
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker.
 
@@ -53,11 +34,9 @@ def worker_state(name: str) -> dict:
     return sys.modules[key].state
 
 
-def tokenizer_text(name: str) -> str:
-    """Where a public tokenizer file lies, for the registered queries."""
-    try:
-        import public_tokenizers
+def tokenizer_file(name: str) -> str:
+    """The content of a public tokenizer file, which the driver reads once."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join("/opt/tokenizers", name)
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import documents
+from stockweave.llm.bpe import encode
+from stockweave.llm.common import documents, tokenizer_file
 from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
+from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,14 +17,35 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    out = encode(docs, tokenizer_file("word_bpe_49k.json"))
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Written to files in the shared folder and read back from them."""
+    files = write_token_files(
+        documents(spark, sf), fresh_token_folder(spark), tokenizer_file("byte_bpe_50k.json")
+    )
+    return read_token_files(files, digests_only=True).drop("ids")
+
+
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 # Finds the same overlaps another way: two substitutions leave four equal tokens
