@@ -9,7 +9,9 @@ from stockweave.llm.bpe import encode
 from stockweave.llm.common import documents, tokenizer_file
 from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
+from stockweave.llm.quality import score_quality
 from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
+from stockweave.llm.toxicity import score_toxicity
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,6 +19,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return score_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).drop("text")
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return score_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).drop("text")
+
+
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text")
     out = encode(docs, tokenizer_file("word_bpe_49k.json"))
@@ -43,6 +55,8 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op10_token_files": op10_token_files,
