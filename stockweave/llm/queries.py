@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from stockweave.llm.bpe import encode
 from stockweave.llm.common import documents, tokenizer_file
 from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
+from stockweave.llm.minhash import near_duplicates
 from stockweave.llm.quality import score_quality
 from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
 from stockweave.llm.toxicity import score_toxicity
@@ -29,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).drop("text")
 
 
+def op6_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf))
+
+
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text")
     out = encode(docs, tokenizer_file("word_bpe_49k.json"))
@@ -57,9 +63,11 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 # Finds the same overlaps another way: two substitutions leave four equal tokens
