@@ -12,6 +12,7 @@ from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import near_duplicates
 from stockweave.llm.quality import score_quality
+from stockweave.llm.substring_dedup import dedup_runs
 from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
 from stockweave.llm.toxicity import score_toxicity
 
@@ -51,6 +52,11 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = dedup_runs(documents(spark, sf).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Written to files in the shared folder and read back from them."""
     files = write_token_files(
@@ -66,6 +72,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
@@ -119,7 +126,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLE = {"op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+r AS (SELECT run FROM s GROUP BY run HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + k AS p FROM s JOIN r USING (run), range(35) AS t(k)),
+w AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+k AS (SELECT w.*, g.p IS NOT NULL AS gone FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.p = w.p),
+a AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+ORACLE = {
+    "op3_benchmark_decontamination": OP3_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
 
 
 def all_queries():
