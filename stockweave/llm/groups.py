@@ -25,6 +25,13 @@ from stockweave.llm.hashing import U
 GROUP_BYTES = 6_000_000
 BUCKET_KEYS = 1_000_000
 
+KINDS = {
+    "int": (T.IntegerType(), pa.int32()),
+    "bigint": (T.LongType(), pa.int64()),
+    "binary": (T.BinaryType(), pa.binary()),
+    "string": (T.StringType(), pa.string()),
+}
+
 ANSWERS = "p int, kind int, bucket int, bits binary"
 
 
@@ -52,34 +59,46 @@ class Groups:
     def buckets(self, keys: float) -> int:
         return int(max(self.tasks, keys // BUCKET_KEYS + 1))
 
-    def ask(self, keys_of: Callable, answers: DataFrame | None, kind: int, n: int) -> DataFrame:
-        """Answers of ``kind`` to the keys that each group has.
+    def ask(
+        self,
+        keys_of: Callable,
+        answers: DataFrame | None,
+        kind: int,
+        n: int,
+        wide: tuple[int, int] | None = None,
+    ) -> DataFrame:
+        """Answers of ``kind`` to the keys that each group has: does a key occur again.
+
+        With ``wide`` (a kind, a number) a second answer tells which keys more than
+        so many groups have.
 
         ``keys_of(texts, bits)`` gives an array of keys, a row of 64-bit numbers
         each, from the texts of a group and the answers so far (by kind).
         """
 
-        def send(p: int, texts: list[bytes], bits: dict[int, bytes]):
+        def send(docs, texts: list[bytes], bits):
             buckets, unique, counts = packed_keys(keys_of(texts, bits), n)
+            if not len(buckets):
+                return []
             cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
             rows = []
             for i, j in zip(cuts, [*cuts[1:], len(buckets)], strict=True):
                 twice = np.packbits(counts[i:j] > 1).tobytes()
-                rows.append((p, int(buckets[i]), unique[i:j].tobytes(), twice))
+                rows.append((int(buckets[i]), unique[i:j].tobytes(), twice))
             return rows
 
         sent = self.run(send, answers, "p int, bucket int, keys binary, twice binary")
-        return sent.groupBy("bucket").applyInArrow(_answer(kind), ANSWERS)
+        return sent.groupBy("bucket").applyInArrow(_answer(kind, wide), ANSWERS)
 
     def run(self, function: Callable, answers: DataFrame | None, schema: str) -> DataFrame:
-        """Rows from ``function(p, texts, bits)`` of each group, texts in order of ids."""
+        """Rows (after ``p``) from ``function(docs, texts, bits)``, texts in order of ids."""
         kinds = parsed(schema)
 
         def rows_of(docs: pa.Table, bits: dict[int, bytes]) -> pa.Table:
             docs = docs.sort_by([("doc", "ascending"), ("text", "ascending")])
             p = docs.column("p")[0].as_py()
-            rows = function(p, docs.column("text").to_pylist(), bits)
-            return to_table(rows, kinds)
+            rows = function(docs.column("doc"), docs.column("text").to_pylist(), bits)
+            return to_table([(p, *r) for r in rows], kinds)
 
         return self._grouped(rows_of, answers, kinds)
 
@@ -124,12 +143,13 @@ class Groups:
 
 
 def parsed(schema: str) -> T.StructType:
-    return T.StructType.fromDDL(schema)
+    """The schema of "name kind, ..." for simple kinds, without a session."""
+    pairs = [column.split() for column in schema.split(",")]
+    return T.StructType([T.StructField(n, KINDS[k][0]) for n, k in pairs])
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(),
-            "string": pa.string(), "double": pa.float64()}[kind.simpleString()]
+    return KINDS[kind.simpleString()][1]
 
 
 def to_table(rows: list[tuple], names: T.StructType) -> pa.Table:
@@ -183,7 +203,7 @@ def shared(keys: np.ndarray, n: int, bits: dict[int, bytes]) -> np.ndarray:
     return out
 
 
-def _answer(kind: int) -> Callable:
+def _answer(kind: int, wide: tuple[int, int] | None) -> Callable:
     """For a bucket: which keys of each group occur twice, there or elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -195,25 +215,27 @@ def _answer(kind: int) -> Callable:
         sizes = [len(k) for k in parts]
         keys = np.concatenate(parts)
         weight = np.concatenate(
-            [1 + np.unpackbits(np.frombuffer(t, np.uint8), count=n)
+            [1 + np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(np.int64)
              for t, n in zip(twice, sizes, strict=True)]
-        ).astype(np.int64)
+        )
         order = np.lexsort(keys.T[::-1])
         ordered = keys[order]
         new = np.ones(len(keys), bool)
         new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-        total = np.add.reduceat(weight[order], np.flatnonzero(new))
-        again = np.empty(len(keys), bool)
-        again[order] = (total > 1)[np.cumsum(new) - 1]
-        bits = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(sizes)[:-1])]
-        return pa.table(
-            [
-                table.column("p").combine_chunks().cast(pa.int32()),
-                pa.array([kind] * len(bits), pa.int32()),
-                pa.array([bucket] * len(bits), pa.int32()),
-                pa.array(bits, pa.binary()),
-            ],
-            names=["p", "kind", "bucket", "bits"],
-        )
+        heads = np.flatnonzero(new)
+        flags = {kind: np.add.reduceat(weight[order], heads) > 1}
+        if wide:
+            flags[wide[0]] = np.diff(np.append(heads, len(keys))) > wide[1]
+        p = table.column("p").to_pylist()
+        rows = []
+        for k, by_key in flags.items():
+            flag = np.empty(len(keys), bool)
+            flag[order] = by_key[np.cumsum(new) - 1]
+            cut = np.split(flag, np.cumsum(sizes)[:-1])
+            rows += [(g, k, bucket, np.packbits(x).tobytes()) for g, x in zip(p, cut, strict=True)]
+        return to_table(rows, ANSWER_KINDS)
 
     return run
+
+
+ANSWER_KINDS = parsed(ANSWERS)

@@ -13,10 +13,18 @@ from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import near_duplicates
 from stockweave.llm.quality import score_quality
 from stockweave.llm.substring_dedup import dedup_runs
+from stockweave.llm.suffix_dedup import remove_repeats
 from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
 from stockweave.llm.toxicity import score_toxicity
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = remove_repeats(documents(spark, sf).select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark item, with the items."""
     return contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
@@ -66,6 +74,7 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
