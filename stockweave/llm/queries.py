@@ -16,6 +16,11 @@ from stockweave.llm.substring_dedup import dedup_runs
 from stockweave.llm.suffix_dedup import remove_repeats
 from stockweave.llm.token_files import fresh_token_folder, read_token_files, write_token_files
 from stockweave.llm.toxicity import score_toxicity
+from stockweave.llm.vector_dedup import near_vectors
+
+
+def op1_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,6 +79,7 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality": op4_quality,
@@ -86,6 +92,25 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+# All pairs of a label, then the reach of every vector.
+OP1_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+    AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label
+    AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+  vec_id <= coalesce(c.least, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 # Finds the same overlaps another way: two substitutions leave four equal tokens
 # in a row among any eleven of thirteen, so all runs of four are joined.
 OP3_SQL = r"""
@@ -155,6 +180,7 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 ORACLE = {
+    "op1_vector_dedup": OP1_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
