@@ -68,8 +68,8 @@ def _place(cells: DataFrame, overlap: int) -> DataFrame:
     ).select("cell", "size", F.slice("drawn", F.lit(1), F.col("fan")).alias("drawn"))
     n_slices = F.ceil(F.col("size") / SLICE).cast("int")
     centres = centres.select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"),
+        F.col("cell").alias("of_cell"),
+        F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("of_slice"),
         F.col("drawn.x").alias("centres"),
     )
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("head"), n_slices).cast("int")).select(
@@ -90,7 +90,8 @@ def _place(cells: DataFrame, overlap: int) -> DataFrame:
         out = rows.select(["head", "n", "x"]).take(take)
         return out.add_column(0, "cell", pa.array(names, pa.string()))
 
-    cut = rows.groupBy("cell", "slice").cogroup(centres.groupBy("cell", "slice")).applyInArrow(
+    asked, offered = rows.groupBy("cell", "slice"), centres.groupBy("of_cell", "of_slice")
+    cut = asked.cogroup(offered).applyInArrow(
         nearest, "cell string, head long, n long, x array<double>"
     )
     return cut.union(cells.join(large.select("cell"), "cell", "left_anti").select(*cut.columns))

@@ -131,9 +131,16 @@ def range_links(x: np.ndarray, neighbours: list[np.ndarray], least: float, size:
 
     Every vector asks: a greedy search from the medoid, then all neighbours of what
     lies in range are looked at, until nothing new is in range. Each vector also
-    starts from its own place. A pair is found if either side finds it.
+    starts from its own place. Pruning leaves the copies of a vector with an edge to
+    it, but few edges back, so in range edges are followed both ways. A pair is found
+    if either side finds it.
     """
     m = len(x)
+    of = np.repeat(np.arange(m), [len(n) for n in neighbours])
+    to = np.concatenate(neighbours).astype(int) if m else np.zeros(0, int)
+    edges = np.unique(np.concatenate([of * m + to, to * m + of]))
+    ends = edges % m
+    begin = np.searchsorted(edges, np.arange(m + 1) * m)
     width = max([1, *map(len, neighbours)])
     graph = np.full((m + 1, width), -1)
     for i, n in enumerate(neighbours):
@@ -153,8 +160,11 @@ def range_links(x: np.ndarray, neighbours: list[np.ndarray], least: float, size:
             left.append(nodes[b])
             right.append(node)
             # The neighbours of what was found, each once per query.
-            bb, nn = np.repeat(b, width), graph[node].reshape(-1)
-            new = (nn >= 0) & ~known[bb, nn]
+            n_edges = begin[node + 1] - begin[node]
+            bb = np.repeat(b, n_edges)
+            skip = np.repeat(begin[node] - np.cumsum(n_edges) + n_edges, n_edges)
+            nn = ends[np.arange(n_edges.sum()) + skip]
+            new = ~known[bb, nn]
             code = np.unique(bb[new] * m + nn[new])
             b, node = code // m, code % m
             known[b, node] = True
