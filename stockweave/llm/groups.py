@@ -22,7 +22,7 @@ from stockweave.llm.hashing import U
 
 # Bytes of text in a group, and keys in a bucket, on average. The numbers of
 # groups and buckets follow the data.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 2_000_000
 BUCKET_KEYS = 1_000_000
 
 KINDS = {
