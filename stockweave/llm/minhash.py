@@ -33,8 +33,8 @@ BANDS, ROWS = 32, 4
 # with all others if that links it to nothing.
 SMALL, CENTRES = 32, 8
 
-# Shingles whose processes are followed together.
-CHUNK = 1_000_000
+# Texts read, and shingles whose processes are followed, at a time.
+SLICE, CHUNK = 250, 200_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +121,15 @@ def signed(
     docs = df.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
 
     def run(batches):
-        for batch in batches:
-            found = batch.column(1).cast(pa.string()).cast(pa.binary()).to_pylist()
+        for part in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            found = part.column(1).cast(pa.string()).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in found]
             keys = [hashlib.md5(b" ".join(t.lower().split())).digest() for t in texts]
             n, hashes = _sign(texts, words, bands, rows)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(hashes.reshape(-1)), bands)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array(keys, pa.binary()),
                     pa.array(n, pa.int64()),
                     lists.cast(pa.list_(pa.int64())),
