@@ -188,15 +188,15 @@ def _verified(
 
     def run(batches):
         last, bag = None, None
-        for batch in batches:
-            left, right = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+        for part in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            left, right = (part.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
             found = []
             for x, y in zip(left, right, strict=True):
                 if x != last:
                     last, bag = x, shingles(x or b"", words)
                 found.append(overlap(bag, shingles(y or b"", words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.float64())],
+                [part.column(0), part.column(1), pa.array(found, pa.float64())],
                 names=["a", "b", "similarity"],
             )
 
