@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,7 @@ class Groups:
         kinds = parsed(schema)
 
         def rows_of(docs: pa.Table, bits: dict[int, bytes]) -> pa.Table:
-            docs = docs.sort_by([("doc", "ascending"), ("text", "ascending")])
+            docs = in_order(docs)
             p = docs.column("p")[0].as_py()
             rows = function(docs.column("doc"), docs.column("text").to_pylist(), bits)
             return to_table([(p, *r) for r in rows], kinds)
@@ -126,7 +127,7 @@ class Groups:
         )
 
         def rows_of(docs: pa.Table, bits: dict[int, bytes]) -> pa.Table:
-            docs = docs.sort_by([("doc", "ascending"), ("text", "ascending")])
+            docs = in_order(docs)
             new = function(docs.column("doc"), docs.column("text").to_pylist(), bits)
             return pa.table(
                 [docs.column("doc"), docs.column("rest"),
@@ -142,6 +143,12 @@ class Groups:
         )
 
 
+def in_order(docs: pa.Table) -> pa.Table:
+    """By id, null first, then by text."""
+    keys = [("doc", "ascending"), ("text", "ascending")]
+    return docs.take(pc.sort_indices(docs, sort_keys=keys, null_placement="at_start"))
+
+
 def parsed(schema: str) -> T.StructType:
     """The schema of "name kind, ..." for simple kinds, without a session."""
     pairs = [column.split() for column in schema.split(",")]

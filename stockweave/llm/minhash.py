@@ -59,7 +59,7 @@ def _draw(seed: np.ndarray, step: int, kind: int) -> np.ndarray:
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """The earliest point of each component, one row per bag (inf for empty bags)."""
     out = np.full((len(bags), size), np.inf)
-    if not bags:
+    if not any(len(b[0]) for b in bags):
         return out
     doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     element = np.concatenate([b[0] for b in bags])

@@ -191,20 +191,23 @@ def audit(classes: DataFrame, links: DataFrame, least: float, sample: int = AUDI
     asked = asked.toArrow()
     if not asked.num_rows:
         return 1.0
-    q, label = _rows(asked.column("x")), np.array(asked.column("label").to_pylist())
     heads = asked.column("head").to_numpy()
+    by_label = {}
+    for value in set(asked.column("label").to_pylist()):
+        at = np.flatnonzero([v == value for v in asked.column("label").to_pylist()])
+        by_label[value] = (at, _rows(asked.column("x").take(pa.array(at))))
 
     def count(batches):
-        total = np.zeros(len(q), np.int64)
+        total = np.zeros(len(heads), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
             table = pa.Table.from_batches([batch])
-            x = _rows(table.column("x"))
-            same = np.array(table.column("label").to_pylist())[:, None] == label
-            other = table.column("head").to_numpy()[:, None] != heads
-            hit = (x @ q.T >= least) & same & other
-            total += (hit * table.column("n").to_numpy()[:, None]).sum(axis=0)
+            labels = table.column("label").to_pylist()
+            for value in by_label.keys() & set(labels):
+                at, q = by_label[value]
+                own = table.filter(pa.array([v == value for v in labels]))
+                hit = _rows(own.column("x")) @ q.T >= least
+                hit &= own.column("head").to_numpy()[:, None] != heads[at]
+                total[at] += (hit * own.column("n").to_numpy()[:, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(heads, pa.int64()), pa.array(total)], names=["head", "links"]
         )
