@@ -25,6 +25,7 @@ from stockweave.llm.hashing import U
 # groups and buckets follow the data.
 GROUP_BYTES = 2_000_000
 BUCKET_KEYS = 1_000_000
+LEAST_BUCKETS = 8
 
 KINDS = {
     "int": (T.IntegerType(), pa.int32()),
@@ -58,7 +59,7 @@ class Groups:
         ).repartition(self.tasks, "p")
 
     def buckets(self, keys: float) -> int:
-        return int(max(self.tasks, keys // BUCKET_KEYS + 1))
+        return int(max(LEAST_BUCKETS, keys // BUCKET_KEYS + 1))
 
     def ask(
         self,

@@ -18,7 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stockweave.llm.groups import ANSWER_KINDS, ANSWERS, Groups, shared, to_table
+from stockweave.llm.groups import (
+    ANSWER_KINDS,
+    ANSWERS,
+    LEAST_BUCKETS,
+    Groups,
+    shared,
+    to_table,
+)
 from stockweave.llm.hashing import LETTERS, ROLLERS, U, mix
 from stockweave.llm.suffix_array import suffix_array
 
@@ -30,14 +37,17 @@ SHORT, NAME = 8, 32
 # A cut stands where 3 bytes hash to a multiple of CUT, or where no such place is
 # among the next REACH. The bytes that settle the cut after a place, and that cut,
 # lie within REACH + 1 + REACH + 3 <= LENGTH bytes.
-CUT, REACH, TRIGGER = 16, 48, 3
+CUT, REACH, TRIGGER = 12, 48, 3
+
+# Spreads the upper bits of the 8 bytes that order anchors.
+ORDER = U(0x9E3779B97F4A7C15)
 
 # Bytes of contexts in a bucket, on average.
 BUCKET_BYTES = 4_000_000
 
 # An anchor that more groups have is hot: of its strings only those that occur
 # again are sorted, since around a common passage each document has other bytes.
-HOT_GROUPS = 16
+HOT_GROUPS = 128
 
 # Kinds of answers; an even kind has keys of two numbers.
 ANCHORS, HOT, HOT_STRINGS, STRINGS = 1, 3, 2, 5
@@ -51,20 +61,25 @@ def loads(raw: np.ndarray) -> np.ndarray:
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the place of the least, leftmost first."""
+    """For each window of ``width`` numbers, the place of the least, leftmost first.
+
+    Numbers are compared by their upper bits; the lower ones make room for places.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    bits = max(1, int(len(values)).bit_length())
-    low = U((1 << bits) - 1)
-    tagged = (values & ~low) | np.arange(len(values), dtype=U)
+    low = U((1 << len(values).bit_length()) - 1)
     blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, ~U(0))
-    padded[: len(values)] = tagged
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    tagged = np.full(blocks * width, ~U(0))
+    part = tagged[: len(values)]
+    np.bitwise_and(values, ~low, out=part)
+    part |= np.arange(len(values), dtype=U)
+    grid = tagged.reshape(blocks, width)
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
+    ahead = np.minimum.accumulate(grid, axis=1, out=grid).reshape(-1)
+    least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    least &= low
+    return least.view(np.int64)
 
 
 class Strings:
@@ -75,19 +90,19 @@ class Strings:
         raw = np.frombuffer(self.blob, np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(sizes)])
-        starts = np.maximum(sizes - length + 1, 0)
-        self.first = np.concatenate([[0], np.cumsum(starts)])
         eight = loads(raw)
-        places = least_places(mix(eight), length - NAME + 1)
-        # The strings of each text, and the anchor of each.
-        doc = np.repeat(np.arange(len(texts)), starts)
-        at = np.arange(self.first[-1]) - self.first[doc] + self.begins[doc]
-        anchor = places[at] if len(at) else at
-        new = np.ones(len(at), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        run = np.flatnonzero(new)
-        self.doc, self.low, self.anchor = doc[run], at[run], anchor[run]
-        self.count = np.diff(np.append(run, len(at)))
+        places = least_places(eight * ORDER, length - NAME + 1)
+        # A run ends where the anchor changes, and with the strings of a text.
+        change = np.flatnonzero(places[1:] != places[:-1]) + 1
+        begins = self.begins[:-1]
+        run = np.union1d(change, begins[sizes >= length])
+        doc = np.searchsorted(self.begins, run, side="right") - 1
+        stop = np.append(run[1:], len(raw))
+        stop = np.minimum(stop, self.begins[doc + 1] - length + 1)
+        some = run < stop
+        run, doc = run[some], doc[some]
+        self.doc, self.low, self.anchor = doc, run, places[run]
+        self.count = stop[some] - run
         key = np.zeros(len(run), U)
         for k in range(0, NAME, 8):
             key = mix(key * U(0x9E3779B97F4A7C15) + eight[self.anchor + k])
@@ -116,18 +131,19 @@ class Context:
     key: int
     data: bytes
     count: int
+    anchor: int
     places: list[tuple[int, int]]
 
 
-def contexts(strings: Strings, runs: list[tuple[int, int, int, int]], length: int):
-    """The distinct contexts of runs (text, start, count, key), earliest place first."""
+def contexts(strings: Strings, runs: list[tuple[int, int, int, int, int]], length: int):
+    """The distinct contexts of runs (text, start, count, key, anchor), earliest first."""
     found: dict[bytes, Context] = {}
-    for doc, low, count, key in runs:
+    for doc, low, count, key, anchor in runs:
         data = strings.blob[low : low + count + length - 1]
         if data in found:
             found[data].places.append((doc, low))
         else:
-            found[data] = Context(key, data, count, [(doc, low)])
+            found[data] = Context(key, data, count, anchor - low, [(doc, low)])
     return list(found.values())
 
 
@@ -148,6 +164,40 @@ def cuts_of(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return here | (count[stop] - count[np.minimum(at + 1, stop)] == 0)
 
 
+def shared_spans(data: list[bytes], keys, anchors, length: int):
+    """First and last (excluded) string of each context that another may repeat.
+
+    Contexts of one key agree at their anchors. How far a context agrees with any
+    other one, to the right of the anchor and to the left, is how far it agrees with
+    a neighbour in the order of these sides.
+    """
+    n = len(data)
+    sizes = np.array([len(d) for d in data])
+    reach = []
+    for sides in (
+        [d[a : a + length] for d, a in zip(data, anchors.tolist(), strict=True)],
+        [d[max(0, a - length) : a][::-1] for d, a in zip(data, anchors.tolist(), strict=True)],
+    ):
+        order = sorted(range(n), key=lambda i: (keys[i], sides[i]))  # noqa: B023
+        rows = np.frombuffer(b"".join([sides[i].ljust(length, b"\0") for i in order]), np.uint8)
+        rows = rows.reshape(n, length)
+        size = np.array([len(sides[i]) for i in order])
+        same = np.ones((n - 1, length + 1), bool)
+        same[:, :length] = rows[1:] != rows[:-1]
+        alike = np.minimum(np.argmax(same, axis=1), np.minimum(size[1:], size[:-1]))
+        alike[keys[order][1:] != keys[order][:-1]] = 0
+        best = np.zeros(n, np.int64)
+        best[1:] = alike
+        best[:-1] = np.maximum(best[:-1], alike)
+        out = np.empty(n, np.int64)
+        out[order] = best
+        reach.append(out)
+    right, left = reach
+    first = np.maximum(0, anchors - left)
+    stop = np.minimum(sizes - length + 1, anchors - length + right + 1)
+    return first, stop
+
+
 def repeated_strings(
     data: list[bytes], counts: list[int], ranks: np.ndarray, length: int
 ) -> np.ndarray:
@@ -241,7 +291,7 @@ def remove_repeats(
     groups = Groups(df, text, doc_id, ("n_bytes", "n_removed", "n_spans"))
     n_anchors = groups.buckets(groups.size / 25)
     n_strings = groups.buckets(groups.size / 10)
-    n_buckets = int(max(groups.tasks, groups.size // BUCKET_BYTES + 1))
+    n_buckets = int(max(LEAST_BUCKETS, groups.size // BUCKET_BYTES + 1))
 
     def runs_of(texts, bits):
         strings = Strings(texts, length)
@@ -260,8 +310,8 @@ def remove_repeats(
         strings, usual, hot = runs_of(texts, bits)
         keys = strings.keys[:, 0]
         runs = list(
-            zip(*[x[usual].tolist() for x in (strings.doc, strings.low, strings.count, keys)],
-                strict=True)
+            zip(*[x[usual].tolist() for x in
+                  (strings.doc, strings.low, strings.count, keys, strings.anchor)], strict=True)
         )
         if len(hot):
             # Stretches of hot runs that occur again.
@@ -272,7 +322,7 @@ def remove_repeats(
             counts = np.diff(np.append(first, len(at)))
             runs += zip(
                 strings.doc[of[first]].tolist(), at[first].tolist(), counts.tolist(),
-                keys[of[first]].tolist(), strict=True,
+                keys[of[first]].tolist(), strings.anchor[of[first]].tolist(), strict=True,
             )
             runs.sort()
         some = contexts(strings, runs, length)
@@ -286,13 +336,13 @@ def remove_repeats(
         for c in some:
             d, low = c.places[0]
             rows.setdefault(c.key % n_buckets, []).append(
-                (c.data, c.key, ids[d], low - int(strings.begins[d]))
+                (c.data, c.key, ids[d], low - int(strings.begins[d]), c.anchor)
             )
         return [
             (
                 b,
                 b"".join(r[0] for r in part),
-                np.array([len(r[0]) for r in part], "<i4").tobytes(),
+                np.array([(len(r[0]), r[4]) for r in part], "<i4").tobytes(),
                 np.array([r[1] for r in part], "<u8").tobytes(),
                 np.array([(-(1 << 63) if r[2] is None else r[2], r[3]) for r in part], "<i8")
                 .tobytes(),
@@ -357,15 +407,16 @@ def _sorted_bucket(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        data, counts, keys, places, owner = [], [], [], [], []
+        data, counts, anchors, keys, places, owner = [], [], [], [], [], []
         for row, (blob, sizes, key, place) in enumerate(
             zip(*[table.column(c).to_pylist() for c in ("data", "sizes", "keys", "places")],
                 strict=True)
         ):
             at = 0
-            for n in np.frombuffer(sizes, "<i4").tolist():
+            for n, anchor in np.frombuffer(sizes, "<i4").reshape(-1, 2).tolist():
                 data.append(blob[at : at + n])
                 counts.append(n - length + 1)
+                anchors.append(anchor)
                 at += n
             keys.append(np.frombuffer(key, "<u8"))
             places.append(np.frombuffer(place, "<i8").reshape(-1, 2))
@@ -389,18 +440,31 @@ def _sorted_bucket(length: int):
                 some.append(i)
             else:  # the only context of its anchor
                 flags[i] = np.zeros(counts[i], bool)
+        if some:
+            # Only strings inside what a context shares with another one can repeat.
+            first, stop = shared_spans(
+                [data[i] for i in some], keys[some], np.array([anchors[i] for i in some]), length
+            )
+            for i in np.array(some)[stop <= first].tolist():
+                flags[i] = np.zeros(counts[i], bool)
+            keep = np.flatnonzero(stop > first)
+            some, first, stop = np.array(some)[keep].tolist(), first[keep], stop[keep]
         if some:
             # Ranks follow (id, start) and leave room for the strings of a context.
-            by = np.lexsort([places[some, 1], places[some, 0]])
-            ids, starts = places[some, 0][by], places[some, 1][by]
-            new_doc = np.append(False, ids[1:] != ids[:-1])
-            room = max(counts) + int(starts.max()) + 1
+            ids, starts = places[some, 0], places[some, 1] + first
+            by = np.lexsort([starts, ids])
+            new_doc = np.append(False, ids[by][1:] != ids[by][:-1])
+            room = int((stop - first).max()) + int(starts.max()) + 1
             ranks = np.empty(len(some), np.int64)
-            ranks[by] = np.cumsum(new_doc) * room + starts
-            n = [counts[i] for i in some]
-            found = repeated_strings([data[i] for i in some], n, ranks, length)
-            for i, part in zip(some, np.split(found, np.cumsum(n)[:-1]), strict=True):
-                flags[i] = part
+            ranks[by] = np.cumsum(new_doc) * room + starts[by]
+            spans = list(zip(some, first.tolist(), stop.tolist(), strict=True))
+            n = [b - a for _, a, b in spans]
+            found = repeated_strings(
+                [data[i][a : b + length - 1] for i, a, b in spans], n, ranks, length
+            )
+            for (i, a, b), part in zip(spans, np.split(found, np.cumsum(n)[:-1]), strict=True):
+                flags[i] = np.zeros(counts[i], bool)
+                flags[i][a:b] = part
         for i, head in copies:
             same = (places[i] == places[head]).all()
             flags[i] = flags[head] if same else np.ones(counts[i], bool)
