@@ -22,7 +22,7 @@ from stockweave.session import written, written_and_counted
 COSINE = 0.93
 
 # A shard is cut further above twice this number of vectors, into at most FAN.
-SHARD, FAN, OVERLAP, LEVELS = 1000, 64, 2, 12
+SHARD, FAN, OVERLAP, LEVELS = 400, 64, 2, 12
 
 # Rows of a cell that one task places at a time.
 SLICE = 4000
