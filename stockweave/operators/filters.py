@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from operator import and_
 
@@ -44,7 +45,8 @@ def predicate(df: DataFrame, column: str, value: object) -> Column:
     """``[min, max]`` is an inclusive numeric range, any other value equality.
 
     A numeric column is compared as it is, so the bounds can be pushed down; a
-    text column goes through ``try_cast`` and non-numbers never match.
+    text column goes through ``try_cast`` and non-numbers never match. Equality
+    is by the type of the column.
     """
     kind = df.schema[column].dataType
     c = user_col(column)
@@ -54,7 +56,22 @@ def predicate(df: DataFrame, column: str, value: object) -> Column:
         return number.between(F.lit(low), F.lit(high))
     if isinstance(kind, T.StringType):
         return c == F.lit(str(value))
-    return c.cast("string") == F.lit(str(value))
+    return c == _typed(value, kind)
+
+
+def _typed(value: object, kind: T.DataType) -> Column:
+    """The value as a literal of the column's type, so that it can be pushed down.
+
+    A value that the type cannot hold is a null literal and equals nothing.
+    """
+    if isinstance(kind, T.IntegralType):
+        try:
+            number = Decimal(str(value).strip())
+            whole = number == number.to_integral_value()
+        except InvalidOperation:
+            whole = False
+        return F.lit(str(int(number)) if whole else None).try_cast(kind)
+    return F.lit(str(value)).try_cast(kind)
 
 
 def filter_columns(df: DataFrame, mapping: SchemaMapping | None) -> dict[str, str]:

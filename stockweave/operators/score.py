@@ -38,7 +38,6 @@ SALT_ABOVE = 20
 
 PASS = "_pass"
 SLICE_ROWS = 1 << 14
-SCORE_ROWS = 1 << 11
 SCORES = "query_id string, id string, score double"
 _SCORE_SCHEMA = pa.schema(
     [("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]
@@ -413,54 +412,26 @@ def search_vectors(
     return ranked(found.rows, k)
 
 
-def _all_scores(rows, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One batch of scores per request, over the given vector rows."""
-    ids = rows.column("id")
-    made = round_half_up(queries @ dense(rows.column("embedding")).T, DIGITS)
-    for query_id, scores in zip(query_ids, made, strict=True):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([query_id] * len(ids), pa.string()), ids, pa.array(scores, pa.float64())],
-            schema=_SCORE_SCHEMA,
-        )
-
+def pair_scores(pairs: DataFrame, vectors: DataFrame, requests: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the given pairs of a request and a vector.
 
-def dot_scores(
-    vectors: DataFrame,
-    requests: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """The score of every vector for every request, unranked.
-
-    The result has requests x vectors rows by definition; use
-    :func:`search_vectors` when only the best are wanted.
+    The result is as long as ``pairs``; pairs whose request or vector is missing or
+    null are left out. Joins only; which side is small is left to the optimiser.
     """
-    vectors = _only(vectors, "id", None)
-    requests = _only(requests, "query_id", None)
-    matrix, n = gather_requests(requests, None, broadcast_bytes)
-    if matrix is None:
-        # The result of a pair of blocks is a table too, so blocks are smaller.
-        rows = max(1, min(block_bytes // (8 * max(1, n)), SCORE_ROWS))
-
-        def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
-            block, asked = with_vectors(block), with_vectors(asked)
-            if not block.num_rows or not asked.num_rows:
-                return _SCORE_SCHEMA.empty_table()
-            query_ids, queries = request_matrix(asked, None)[None]
-            return pa.Table.from_batches(
-                [b for part in block.to_batches() for b in _all_scores(part, query_ids, queries)]
-            )
-
-        return _grid(vectors, requests, rows, meet, SCORES)
-    shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for query_ids, queries in shipped.value.values():
-            for batch in map(with_vectors, batches):
-                if batch.num_rows:
-                    yield from _all_scores(batch, query_ids, queries)
-
-    return vectors.mapInArrow(score, SCORES)
+    asked = requests.select("query_id", F.col("embedding").alias("_q"))
+    known = vectors.select("id", F.col("embedding").alias("_v"))
+    product = F.aggregate(
+        F.zip_with("_q", "_v", lambda a, b: a.cast("double") * b.cast("double")),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
+    return (
+        pairs.select("query_id", "id")
+        .join(known, "id")
+        .join(asked, "query_id")
+        .where(F.col("_q").isNotNull() & F.col("_v").isNotNull())
+        .select("query_id", "id", (F.round(product, DIGITS) + F.lit(0.0)).alias("score"))
+    )
 
 
 def top_k(scored: DataFrame, k: int = MAX_ITEMS) -> DataFrame:

@@ -15,6 +15,7 @@ from stockweave.constants import (
     NO_RESULTS_TEXT,
     SEARCH_PAGE_SIZE,
 )
+from stockweave.functions.text import is_blank
 from stockweave.functions.vectors import has_bad_value, squared_norm
 from stockweave.mapping import SchemaMapping, require_columns, text_col, user_col
 from stockweave.operators.filters import (
@@ -105,6 +106,20 @@ RESULT_COLUMNS = (
 )
 
 
+def vectors_with_rows(
+    catalog: DataFrame, vectors: DataFrame, mapping: SchemaMapping, row_key: str | None
+) -> DataFrame:
+    """Vectors that a catalogue row belongs to; others must not take ranks.
+
+    Tables with a ``row_key`` were built together, each vector from its row, and
+    are left as they are.
+    """
+    if row_key is not None:
+        return vectors
+    ids = catalog.select(text_col(mapping.id_column).alias("id"))
+    return vectors.join(ids, "id", "left_semi")
+
+
 def filtered_vectors(
     catalog: DataFrame,
     vectors: DataFrame,
@@ -119,9 +134,9 @@ def filtered_vectors(
     """
     active = active_filters(filters)
     if not active:
-        return vectors
+        return vectors_with_rows(catalog, vectors, mapping, row_key)
     if covers(filter_columns(vectors, None), active):
-        return apply_filters(vectors, active)
+        return vectors_with_rows(catalog, apply_filters(vectors, active), mapping, row_key)
     ids = apply_filters(catalog, active, mapping).select(
         text_col(row_key or mapping.id_column).alias("id")
     )
@@ -166,7 +181,7 @@ def filterable_vectors(
 ) -> DataFrame:
     """Vectors with every column the filter sets need, joined on only if absent."""
     if all(covers(filter_columns(vectors, None), s) for s in sets):
-        return vectors
+        return vectors_with_rows(catalog, vectors, mapping, row_key)
     columns = [user_col(u).alias(key) for key, u in filter_columns(catalog, mapping).items()]
     keyed = catalog.select(text_col(row_key or mapping.id_column).alias("id"), *columns)
     return vectors.select("id", "embedding").join(keyed, "id")
@@ -261,7 +276,8 @@ def search_page(
 ) -> DataFrame:
     """Page ``page`` of each request's ranked list, with totals.
 
-    ``total`` counts every row that reaches the floor. The scan that finds the
+    ``total`` counts every catalogue row that reaches the floor, so it is the
+    number of rows that all pages show. The scan that finds the
     best ``page * size`` rows counts those too, so one pass serves both.
     """
     if page < 1 or size < 1:
@@ -314,7 +330,7 @@ def route_requests(requests: DataFrame, configs: DataFrame) -> DataFrame:
     Requests with an empty query get an ``error`` instead. Only requests that
     need a config look one up, so requests without one do not meet in one task.
     """
-    blank_query = F.coalesce(F.trim("query"), F.lit("")) == ""
+    blank_query = is_blank(F.col("query"))
     own = F.nullif(F.col("model_path"), F.lit(""))
     marked = requests.withColumn("_own", own)
     latest = latest_completed(configs).select("model_path")

@@ -34,8 +34,14 @@ def resolve_catalog(mode: str, previous: DataFrame | None, new: DataFrame) -> Da
 
 
 def latest_by_id(df: DataFrame, id_column: str, order_column: str) -> DataFrame:
-    """Option for appended catalogues: the newest row of each id."""
-    newest = F.max_by(F.struct(*[user_col(c) for c in df.columns]), user_col(order_column))
+    """Option for appended catalogues: the newest row of each id.
+
+    A null order value is older than any other; rows of equal order are decided
+    by their own text, so the result does not depend on the order of reading.
+    """
+    row = F.struct(*[user_col(c) for c in df.columns])
+    order = user_col(order_column)
+    newest = F.max_by(row, F.struct(order.isNotNull(), order, F.to_json(row)))
     return df.groupBy(user_col(id_column).alias("_id")).agg(newest.alias("_row")).select("_row.*")
 
 

@@ -413,6 +413,15 @@ def f1_filter_equals(spark, d):
 ORACLE["f1_filter_equals"] = "SELECT * FROM part WHERE p_brand = 'Brand#4'"
 
 
+@query
+def f1_filter_number(spark, d):
+    """Equality on a number, given as a number of another type."""
+    return apply_filters(table(spark, d, "part"), {"size": 7.0}, PART)
+
+
+ORACLE["f1_filter_number"] = "SELECT * FROM part WHERE p_size = 7"
+
+
 @query
 def f2_filter_range(spark, d):
     return apply_filters(table(spark, d, "part"), {"price_range": [None, 950]}, PART)

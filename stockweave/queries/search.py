@@ -12,7 +12,7 @@ from stockweave.operators.embed import (
     map_prompts,
 )
 from stockweave.operators.filters import min_score
-from stockweave.operators.score import dot_scores, search_vectors, top_k, top_k_per_query
+from stockweave.operators.score import pair_scores, search_vectors, top_k
 from stockweave.operators.search import (
     route_requests,
     search,
@@ -99,10 +99,16 @@ WITH {SQL_DOC_VECTORS} SELECT k AS id, cast(bucket AS integer) AS bucket, n FROM
 
 @query
 def e4_dot_scores(spark, d):
-    return dot_scores(part_vectors(spark, d), label_requests(spark, d))
+    """Each vector with the requests of its own label and of the next one."""
+    vectors, requests = part_vectors(spark, d), label_requests(spark, d)
+    labels = F.explode(F.array("label", (F.col("label") + 1) % 10)).alias("label")
+    pairs = vectors.select("id", labels).join(requests.select("query_id", "label"), "label")
+    return pair_scores(pairs, vectors, requests)
 
 
-ORACLE["e4_dot_scores"] = f"WITH {SQL_LABEL_REQUESTS} SELECT query_id, id, score FROM scores"
+ORACLE["e4_dot_scores"] = f"""
+WITH {SQL_LABEL_REQUESTS} SELECT query_id, id, score FROM scores
+WHERE request_label IN (vector_label, (vector_label + 1) % 10)"""
 
 
 def overall_request(spark, d):
@@ -120,7 +126,8 @@ def overall_request(spark, d):
 
 @query
 def e5_top_k(spark, d):
-    return top_k(dot_scores(part_vectors(spark, d), overall_request(spark, d)), 10)
+    found = search_vectors(part_vectors(spark, d), overall_request(spark, d), 10, floor=None)
+    return top_k(found.drop("rank"), 10)
 
 
 ORACLE["e5_top_k"] = f"""
@@ -135,7 +142,7 @@ ORDER BY score DESC, id ASC LIMIT 10"""
 
 @query
 def e6_top_k_per_query(spark, d):
-    return top_k_per_query(dot_scores(part_vectors(spark, d), label_requests(spark, d)), 10)
+    return search_vectors(part_vectors(spark, d), label_requests(spark, d), 10, floor=None)
 
 
 SQL_LABEL_RANKS = f"""{SQL_LABEL_REQUESTS},
@@ -148,7 +155,7 @@ ORACLE["e6_top_k_per_query"] = f"WITH {SQL_LABEL_RANKS} SELECT * FROM ranks WHER
 @query
 def f4_min_score(spark, d):
     """The floor after the cut: fewer than k rows may be left."""
-    ranks = top_k_per_query(dot_scores(part_vectors(spark, d), label_requests(spark, d)), 50)
+    ranks = search_vectors(part_vectors(spark, d), label_requests(spark, d), 50, floor=None)
     return min_score(ranks, 0.2)
 
 
@@ -182,7 +189,11 @@ def e7_search(spark, d):
     )
 
 
-SQL_RESULTS = f"""{SQL_LABEL_RANKS}, {SQL_PART_RECORDS}"""
+# Vectors without a catalogue row take no ranks.
+SQL_RESULTS = f"""{SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
+ranks AS (SELECT query_id, request_label, id, score,
+            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id ASC) AS rank
+          FROM scores WHERE id IN (SELECT id FROM records))"""
 ORACLE["e7_search"] = f"""
 WITH {SQL_RESULTS}
 SELECT query_id, rank, r.id, name, description, category, score, metadata
@@ -287,10 +298,7 @@ def e8_search_max_items(spark, d):
 
 
 ORACLE["e8_search_max_items"] = f"""
-WITH {SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
-ranks AS (SELECT query_id, request_label, id, score,
-            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id ASC) AS rank
-          FROM scores)
+WITH {SQL_RESULTS}
 SELECT query_id, rank, r.id, name, description, category, score, metadata
 FROM ranks r JOIN records USING (id)
 WHERE NOT (score < 0.2)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,23 +31,77 @@ def read_catalog_csv(
     columns: Sequence[str] | None = None,
     multiline: bool = True,
 ) -> DataFrame:
-    """A header CSV, every column as text. Only ``.csv`` files are read.
+    """CSV files with headers, every column as text, matched by name.
+
+    Files may have other columns or another order; a column that a file lacks is
+    null there. A row with more cells than its header fails the read, one with
+    fewer ends in nulls. With ``columns``, these are returned. Only ``.csv`` files
+    are read; one named in capitals is an error.
 
     ``multiline`` keeps each file in one task, so deliver a large catalogue as
     many files; set it to false for files known to have no line breaks inside
-    quotes and they are split like any text file. With ``columns`` the header
-    is not scanned first.
+    quotes and they are split like any text file. The driver lists the files and
+    reads their headers, nothing more.
     """
-    if path.rstrip("/").rsplit("/", 1)[-1].count(".") and not path.rstrip("/").endswith(".csv"):
-        raise ValueError("invalid file type, only CSV files are allowed")
-    reader = (
-        spark.read.options(**CSV_READ)
-        .option("multiLine", str(multiline).lower())
-        .option("pathGlobFilter", "*.csv")
+    frames = []
+    for header, files in _files_by_header(spark, path).items():
+        extra = next(n for n in ("_extra", *(f"_extra{i}" for i in range(99))) if n not in header)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, extra)])
+        read = (
+            spark.read.options(**CSV_READ)
+            .option("multiLine", str(multiline).lower())
+            .schema(schema)
+            .csv(files)
+        )
+        spill = F.raise_error(F.concat(F.lit("more cells than columns, from: "), user_col(extra)))
+        frames.append(
+            read.where(F.when(user_col(extra).isNotNull(), spill).otherwise(F.lit(True))).drop(extra)
+        )
+    if not frames and columns is None:
+        raise ValueError(f"no CSV file in {path}")
+    if frames:
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    else:
+        whole = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    if columns is None:
+        return whole
+    return whole.select(
+        *[user_col(c) if c in whole.columns else F.lit(None).cast("string").alias(c)
+          for c in columns]
     )
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return reader.csv(path)
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by their header; empty files have none."""
+    # Only paths are asked for, so no content is read.
+    listed = spark.read.format("binaryFile").load(path).select("path").collect()
+    files = sorted(r.path for r in listed if r.path.endswith(".csv"))
+    # Other files may lie beside them, but not one that means to be a catalogue.
+    odd = [r.path for r in listed if r.path[-4:].lower() == ".csv" and r.path not in files]
+    if odd or (listed and not files):
+        raise ValueError(f"only CSV files named *.csv can be read, found {(odd or listed)[0]}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        at = jvm.org.apache.hadoop.fs.Path(file)
+        lines = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8")
+        )
+        head = lines.readLine()
+        # A quoted name may hold line breaks.
+        while head is not None and head.count('"') % 2:
+            more = lines.readLine()
+            if more is None:
+                break
+            head += "\n" + more
+        lines.close()
+        if head:
+            names = next(csv.reader(io.StringIO(head.removeprefix("\ufeff"), newline="")))
+            names = tuple(n or f"_c{i}" for i, n in enumerate(names))
+            if len(set(names)) < len(names):
+                raise ValueError(f"{file} names a column twice")
+            found.setdefault(names, []).append(file)
+    return found
 
 
 def normalize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:

@@ -17,7 +17,7 @@ from stockweave.operators.embed import (
     map_prompts,
 )
 from stockweave.operators.filters import min_score
-from stockweave.operators.score import candidates, dot_scores, search_vectors, top_k
+from stockweave.operators.score import candidates, pair_scores, search_vectors, top_k
 from stockweave.operators.search import (
     join_vectors,
     search,
@@ -112,17 +112,22 @@ def test_nan_score_is_first_and_not_under_the_floor(spark):
     r = spark.createDataFrame([("q", [1.0])], REQUESTS)
     got = [(x["id"], x["rank"]) for x in search_vectors(v, r, 3).orderBy("rank").collect()]
     assert got == [("b", 1), ("a", 2)]
-    scored = dot_scores(v, r)
+    scored = pair_scores(v.select("id").join(r.select("query_id")), v, r)
     assert [x["id"] for x in top_k(scored, 2).collect()] == ["b", "a"]
     assert min_score(scored, 0.2).count() == 2
 
 
-def test_full_scores_by_blocks(data):
+def test_pair_scores_are_those_of_the_search(data):
     _, _, v, r = data
-    whole = dot_scores(v, r)
-    blocks = dot_scores(v, r, broadcast_bytes=0, block_bytes=64 * 50)
-    assert whole.count() == 600 * 40
-    assert whole.exceptAll(blocks).count() == blocks.exceptAll(whole).count() == 0
+    found = search_vectors(v, r, 5, floor=None)
+    given = found.select("query_id", "id").union(
+        found.select(F.lit("no such request"), "id").limit(3)
+    )
+    scores = pair_scores(given, v, r)
+    got = {(s["query_id"], s["id"], round(s["score"], 6)) for s in scores.collect()}
+    # Ids that several vectors have give a score for each.
+    assert {w[:3] for w in as_set(found)} <= got
+    assert {g[:2] for g in got} == {w[:2] for w in as_set(found)}
 
 
 def test_null_vectors_are_skipped(spark):
@@ -135,7 +140,6 @@ def test_no_requests_and_no_vectors(spark, data):
     _, _, v, r = data
     assert search_vectors(v, r.where("false")).count() == 0
     assert search_vectors(v.where("false"), r).count() == 0
-    assert dot_scores(v, r.where("false")).count() == 0
 
 
 def test_k_starts_at_one(data):
