@@ -29,9 +29,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 
 # Up to this many texts in a bucket, all pairs are candidates; in larger ones,
-# each text is compared with so many of the bucket's best connected texts, and
-# with all others if that links it to nothing.
-SMALL, CENTRES = 32, 8
+# each text is compared with so many of the bucket's best connected texts. Texts
+# that this links to nothing are compared once more, with so many of the best
+# connected texts of buckets of two bands.
+SMALL, CENTRES, FINE_CENTRES = 32, 3, 2
 
 # Texts read, and shingles whose processes are followed, at a time.
 SLICE, CHUNK = 250, 200_000
@@ -153,18 +154,34 @@ def _candidates(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The texts that meet most others are compared with all of a large bucket. The
     # ranking cuts each task's rows before the shuffle.
     large = members.where(F.col("size") > SMALL)
+    return pairs.union(_starred(large, members, "bucket", CENTRES)).distinct(), large
+
+
+def _starred(rows: DataFrame, members: DataFrame, bucket: str, n: int) -> DataFrame:
+    """Pairs of each text with the ``n`` texts of its bucket that meet most others."""
     met = members.groupBy("doc").agg(F.sum("size").alias("met"))
-    rank = Window.partitionBy("bucket").orderBy(F.desc("met"), "doc")
+    rank = Window.partitionBy(bucket).orderBy(F.desc("met"), "doc")
     centres = (
-        large.join(met, "doc")
+        rows.join(met, "doc")
         .withColumn("rank", F.row_number().over(rank))
-        .where(F.col("rank") <= CENTRES)
-        .select("bucket", F.col("doc").alias("centre"))
+        .where(F.col("rank") <= n)
+        .select(bucket, F.col("doc").alias("centre"))
     )
-    starred = large.join(centres, "bucket").where("doc != centre").select(
+    return rows.join(centres, bucket).where("doc != centre").select(
         F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")
     )
-    return pairs.union(starred).distinct(), large
+
+
+def _finer(heads: DataFrame, alone: DataFrame) -> DataFrame:
+    """Pairs of texts that are still alone and share two bands in a row."""
+    n = F.size("bands")
+    both = F.transform(
+        F.col("bands"), lambda h, i: F.xxhash64(h, F.get(F.col("bands"), (i + 1) % n), i)
+    )
+    rows = heads.join(alone, "doc", "left_semi").select("doc", F.explode(both).alias("fine"))
+    sizes = rows.groupBy("fine").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = written(rows.join(sizes, "fine"), "fine-buckets")
+    return _starred(rows, rows, "fine", FINE_CENTRES).distinct()
 
 
 def _verified(
@@ -228,9 +245,10 @@ def near_duplicates(
     doc_id come out once for each row, with a null class, kept. An empty table gives no rows.
     Other columns are not read.
 
-    In a bucket of more than SMALL texts not all pairs are formed: each text is
-    compared with the best connected ones, and a text that finds no link is then
-    compared with all of its buckets.
+    In a bucket of more than SMALL texts not all pairs are formed, since their
+    number grows with the square: each text is compared with the best connected
+    ones, and a text that finds no link with those of finer buckets. Two such texts
+    that are near to each other and to none of these stay apart.
     """
     known = df.where(F.col(f"`{doc_id}`").isNotNull())
     docs = written(signed(known, text, doc_id, words, bands, rows), "signatures")
@@ -240,14 +258,8 @@ def near_duplicates(
     pairs, large = _candidates(heads)
     links = _verified(df, pairs, text, doc_id, words, similarity)
     linked = links.select(F.col("a").alias("doc")).union(links.select(F.col("b"))).distinct()
-    alone = large.join(linked, "doc", "left_anti").select("bucket", F.col("doc").alias("one"))
-    more = (
-        large.join(alone, "bucket")
-        .where("doc != one")
-        .select(F.least("doc", "one").alias("a"), F.greatest("doc", "one").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    alone = large.select("doc").distinct().join(linked, "doc", "left_anti")
+    more = _finer(heads, alone)
     links = links.union(_verified(df, more, text, doc_id, words, similarity))
     # Rows of one document with other words, and copies, hang together too.
     own = docs.join(copies, "key").where("doc != head").select(
