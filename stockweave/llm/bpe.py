@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from stockweave.llm.common import worker_state
 
+# Rows that are encoded and sent on at a time.
+ROWS = 1000
+
 # Bytes of text whose new words are indexed together, and fragments that a worker
 # remembers before it starts anew. Neither changes the result.
 SLICE_BYTES = 8_000_000
@@ -284,7 +287,7 @@ def encode(df: DataFrame, model_text: str, text: str = "text") -> DataFrame:
         if key not in state:
             state.clear()
             state[key] = _Encoder(model.value)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             column = batch.column(place).cast(pa.string()).cast(pa.binary())
             ids, decoded = state[key].encode([t or b"" for t in column.to_pylist()])
             yield pa.RecordBatch.from_arrays(
