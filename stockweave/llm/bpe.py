@@ -24,10 +24,10 @@ from stockweave.llm.common import worker_state
 # Rows that are encoded and sent on at a time.
 ROWS = 1000
 
-# Bytes of text whose new words are indexed together, and fragments that a worker
+# Bytes of text whose new words are indexed together, and fragments that a task
 # remembers before it starts anew. Neither changes the result.
 SLICE_BYTES = 8_000_000
-KEEP_WORDS = 500_000
+KEEP_WORDS = 300_000
 
 # ASCII form of the split pattern of the vocabulary file (fixed value).
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
@@ -210,10 +210,14 @@ class PairIndexBpe:
 
 
 class _Encoder:
-    """Texts to ids, remembering words and the fragments made of them."""
+    """Texts to ids, remembering words and the fragments made of them.
 
-    def __init__(self, model_text: str):
-        self.bpe = PairIndexBpe(model_text)
+    One serves one task, so what it remembers does not outlive the task in a worker
+    that goes on to other stages.
+    """
+
+    def __init__(self, bpe: PairIndexBpe):
+        self.bpe = bpe
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.ids: dict[bytes, bytes] = {}
         self.texts: dict[bytes, bytes] = {}
@@ -286,10 +290,11 @@ def encode(df: DataFrame, model_text: str, text: str = "text") -> DataFrame:
         key = hash(model.value)
         if key not in state:
             state.clear()
-            state[key] = _Encoder(model.value)
+            state[key] = PairIndexBpe(model.value)
+        encoder = _Encoder(state[key])
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             column = batch.column(place).cast(pa.string()).cast(pa.binary())
-            ids, decoded = state[key].encode([t or b"" for t in column.to_pylist()])
+            ids, decoded = encoder.encode([t or b"" for t in column.to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
