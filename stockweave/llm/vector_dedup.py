@@ -22,7 +22,11 @@ from stockweave.session import written, written_and_counted
 COSINE = 0.93
 
 # A shard is cut further above twice this number of vectors, into at most FAN.
-SHARD, FAN, OVERLAP, LEVELS = 400, 64, 2, 12
+SHARD, FAN, OVERLAP, LEVELS = 1000, 64, 2, 12
+
+# A vector goes to a further centre only if that is nearly as near (in cosine) as the
+# nearest: copies of a vector that lies clearly in one cell lie there too.
+MARGIN = 0.08
 
 # Rows of a cell that one task places at a time.
 SLICE = 4000
@@ -53,6 +57,7 @@ def usable(embedding) -> F.Column:
 
 def _place(cells: DataFrame, overlap: int) -> DataFrame:
     """One more level: rows of large cells go to their nearest centres."""
+    margin = MARGIN * (overlap - 1)
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") > 2 * SHARD).withColumn(
         "fan", F.least(F.lit(FAN), F.ceil(F.col("size") * overlap / SHARD).cast("int"))
@@ -84,9 +89,14 @@ def _place(cells: DataFrame, overlap: int) -> DataFrame:
         c = np.array(centres.column("centres")[0].as_py(), float)
         c /= np.linalg.norm(c, axis=1, keepdims=True)
         k = min(overlap, len(c))
-        best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k]
-        take = pa.array(np.repeat(np.arange(len(x)), k))
-        names = [f"{a}/{b}" for a, row in zip(cell, best.tolist(), strict=True) for b in row]
+        near = x @ c.T
+        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(near, best, 1)
+        row, col = np.nonzero(near >= near[:, :1] - margin)
+        take = pa.array(row)
+        names = [
+            f"{cell[a]}/{b}" for a, b in zip(row.tolist(), best[row, col].tolist(), strict=True)
+        ]
         out = rows.select(["head", "n", "x"]).take(take)
         return out.add_column(0, "cell", pa.array(names, pa.string()))
 
