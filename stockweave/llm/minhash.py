@@ -29,10 +29,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 
 # Up to this many texts in a bucket, all pairs are candidates; in larger ones,
-# each text is compared with so many of the bucket's best connected texts. Texts
-# that this links to nothing are compared once more, with so many of the best
-# connected texts of buckets of two bands.
-SMALL, CENTRES, FINE_CENTRES = 32, 3, 2
+# each text is compared with so many of the bucket's best connected texts first,
+# and then with all texts of the bucket that this has not put into its class.
+SMALL, CENTRES = 32, 3
+
+# Texts of a large bucket, and their shingles, that a task compares with as many
+# others; places in the dense rows that are multiplied at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES, WIDTH = 500, 200_000, 2048
 
 # Texts read, and shingles whose processes are followed, at a time.
 SLICE, CHUNK = 250, 200_000
@@ -53,6 +56,47 @@ def overlap(a: tuple, b: tuple) -> float:
     return float(shared / max(1, a[1].sum() + b[1].sum() - shared))
 
 
+def overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """The sum of the lesser weights of each multiset of ``left`` and each of ``right``."""
+    out = np.zeros((len(left), len(right)))
+    elements = [np.concatenate([b[0] for b in bags]) for bags in (left, right)]
+    both = np.intersect1d(*elements)
+    if not len(both):
+        return out
+    sides, most = [], []
+    for bags, element in zip((left, right), elements, strict=True):
+        row = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+        weight = np.concatenate([b[1] for b in bags])
+        at = np.minimum(np.searchsorted(both, element), len(both) - 1)
+        there = both[at] == element
+        row, at, weight = row[there], at[there], weight[there]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order], weight[order]))
+        most.append(np.maximum.reduceat(weight[order], np.flatnonzero(np.diff(at[order], prepend=-1))))
+    # Where one side has weights of 1 only, the lesser weight is 1: a product counts them.
+    heavy = (most[0] > 1) & (most[1] > 1)
+    place = np.cumsum(~heavy) - 1
+    light = []
+    for row, at, _ in sides:
+        light.append((row[~heavy[at]], place[at[~heavy[at]]]))
+    for k in range(0, int((~heavy).sum()), WIDTH):
+        dense = []
+        for bags, (row, at) in zip((left, right), light, strict=True):
+            i, j = np.searchsorted(at, [k, k + WIDTH])
+            block = np.zeros((len(bags), WIDTH), np.float32)
+            block[row[i:j], at[i:j] - k] = 1
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    for t in np.flatnonzero(heavy).tolist():
+        (i, v), (j, w) = (
+            (row[a:b], weight[a:b])
+            for row, at, weight in sides
+            for a, b in [np.searchsorted(at, [t, t + 1])]
+        )
+        out[np.ix_(i, j)] += np.minimum.outer(v, w)
+    return out
+
+
 def _draw(seed: np.ndarray, step: int, kind: int) -> np.ndarray:
     return mix(seed + U((4 * step + kind) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
@@ -144,7 +188,7 @@ def signed(
 
 def _candidates(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) of texts to compare, and the members of the large buckets."""
-    members = heads.where("n > 0").select(F.col("doc"), F.explode("bands").alias("bucket"))
+    members = heads.where("n > 0").select("doc", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(members.join(sizes, "bucket"), "buckets")
     small = members.where(F.col("size") <= SMALL)
@@ -172,31 +216,114 @@ def _starred(rows: DataFrame, members: DataFrame, bucket: str, n: int) -> DataFr
     )
 
 
-def _finer(heads: DataFrame, alone: DataFrame) -> DataFrame:
-    """Pairs of texts that are still alone and share two bands in a row."""
-    n = F.size("bands")
-    both = F.transform(
-        F.col("bands"), lambda h, i: F.xxhash64(h, F.get(F.col("bands"), (i + 1) % n), i)
+def _blocks(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Texts of large buckets, dealt into blocks that meet: bucket, q, d, asks, doc, class.
+
+    A bucket's largest class so far is not compared with itself. The texts of the
+    others ask all texts of the bucket: (q, d) is a block of those that ask and one
+    of all.
+    """
+    rows = large.join(roots, F.col("doc") == F.col("node"), "left").select(
+        "bucket", "doc", "n", F.coalesce("root", "doc").alias("class")
+    )
+    rows = written(rows, "large-buckets")
+    classes = rows.groupBy("bucket", "class").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")
+    )
+    whole = classes.groupBy("bucket").agg(
+        F.max(F.struct("texts", "class", "shingles")).alias("main"),
+        F.count(F.lit(1)).alias("classes"),
+        F.sum("texts").alias("texts"),
+        F.sum("shingles").alias("shingles"),
     )
-    rows = heads.join(alone, "doc", "left_semi").select("doc", F.explode(both).alias("fine"))
-    sizes = rows.groupBy("fine").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = written(rows.join(sizes, "fine"), "fine-buckets")
-    return _starred(rows, rows, "fine", FINE_CENTRES).distinct()
 
+    def parts(texts, shingles):
+        return F.ceil(F.greatest(texts / BLOCK_TEXTS, shingles / BLOCK_SHINGLES)).cast("int")
 
-def _verified(
-    df: DataFrame, pairs: DataFrame, text: str, doc_id: str, words: int, least: float
-) -> DataFrame:
-    """The pairs whose multisets overlap enough, with their similarity."""
-    pairs, _ = written_and_counted(pairs, "pairs")
-    ids, n = written_and_counted(
-        pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct(), "ids"
+    cut = whole.where("classes > 1").select(
+        "bucket",
+        F.col("main.class").alias("main"),
+        parts(F.col("texts") - F.col("main.texts"), F.col("shingles") - F.col("main.shingles"))
+        .alias("n_q"),
+        parts(F.col("texts"), F.col("shingles")).alias("n_d"),
     )
+    cut, n = written_and_counted(cut, "cut-buckets")
+    rows = rows.join(F.broadcast(cut) if n <= BROADCAST_ROWS else cut, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("doc", "bucket"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    offered = rows.select(
+        "bucket", each(F.col("n_q")).alias("q"), own(F.col("n_d")).alias("d"),
+        F.lit(False).alias("asks"), "doc", "class",
+    )
+    asking = rows.where(F.col("class") != F.col("main")).select(
+        "bucket", own(F.col("n_q")).alias("q"), each(F.col("n_d")).alias("d"),
+        F.lit(True).alias("asks"), "doc", "class",
+    )
+    return offered.union(asking)
+
+
+def _rest(
+    df: DataFrame, large: DataFrame, roots: DataFrame, text: str, doc_id: str, words: int,
+    least: float,
+) -> DataFrame:
+    """Links (a, b) between texts of a large bucket whose classes differ so far.
+
+    Blocks are compared inside tasks, and of the links of two blocks only as many
+    are returned as join the same texts.
+    """
+    rows, _ = written_and_counted(_blocks(large, roots), "blocks")
+    texts = _texts(df, rows.select("doc").distinct(), text, doc_id)
+    rows = rows.join(texts, "doc").select("bucket", "q", "d", "asks", "doc", "class", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("asks")
+        doc, asks = table.column("doc").combine_chunks(), table.column("asks").to_pylist()
+        kind = table.column("class").combine_chunks().dictionary_encode().indices.to_numpy()
+        bags = [shingles(t or b"", words) for t in table.column("text").cast(pa.binary()).to_pylist()]
+        n = asks.count(False)
+        if not 0 < n < len(bags):
+            return pa.table([doc[:0], doc[:0]], names=["a", "b"])
+        shared = overlaps(bags[n:], bags[:n])
+        total = np.array([b[1].sum() for b in bags])
+        every = np.maximum(1, total[n:, None] + total[None, :n] - shared)
+        i, j = np.nonzero((shared / every >= least - 1e-12) & (kind[n:, None] != kind[None, :n]))
+        i += n
+        # The least place that links reach inside the blocks.
+        root = np.arange(len(bags))
+        changed = True
+        while changed:
+            before = root.copy()
+            np.minimum.at(root, i, root[j])
+            np.minimum.at(root, j, root[i])
+            root = root[root]
+            changed = (root != before).any()
+        linked = np.flatnonzero(root != np.arange(len(bags)))
+        return pa.table(
+            [doc.take(pa.array(linked)), doc.take(pa.array(root[linked]))], names=["a", "b"]
+        )
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    found = rows.groupBy("bucket", "q", "d").applyInArrow(run, f"a {kind}, b {kind}")
+    return written(found.where("a != b"), "more-links")
+
+
+def _texts(df: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc and text of the documents of ``ids``."""
+    ids, n = written_and_counted(ids, "ids")
     texts = df.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc", "left_semi"
     )
     # Rows that share an id are one document; the least of its texts stands for it.
-    texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
+    return texts.groupBy("doc").agg(F.min("text").alias("text"))
+
+
+def _verified(
+    df: DataFrame, pairs: DataFrame, text: str, doc_id: str, words: int, least: float
+) -> DataFrame:
+    """The pairs whose multisets overlap enough, with their similarity."""
+    pairs, _ = written_and_counted(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
+    texts = _texts(df, ids, text, doc_id)
     rows = (
         pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("right")), "b")
         .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("left")), "a")
@@ -245,10 +372,10 @@ def near_duplicates(
     doc_id come out once for each row, with a null class, kept. An empty table gives no rows.
     Other columns are not read.
 
-    In a bucket of more than SMALL texts not all pairs are formed, since their
-    number grows with the square: each text is compared with the best connected
-    ones, and a text that finds no link with those of finer buckets. Two such texts
-    that are near to each other and to none of these stay apart.
+    In a bucket of more than SMALL texts, each text is compared with the best
+    connected ones first. What these links leave in different classes is compared
+    text by text, block against block inside tasks, so no link that could join two
+    classes of a bucket is missed.
     """
     known = df.where(F.col(f"`{doc_id}`").isNotNull())
     docs = written(signed(known, text, doc_id, words, bands, rows), "signatures")
@@ -257,15 +384,16 @@ def near_duplicates(
     heads = written(heads.dropDuplicates(["doc", "key"]).select("doc", "n", "bands"), "heads")
     pairs, large = _candidates(heads)
     links = _verified(df, pairs, text, doc_id, words, similarity)
-    linked = links.select(F.col("a").alias("doc")).union(links.select(F.col("b"))).distinct()
-    alone = large.select("doc").distinct().join(linked, "doc", "left_anti")
-    more = _finer(heads, alone)
-    links = links.union(_verified(df, more, text, doc_id, words, similarity))
+    links = links.select("a", "b")
+    if not large.isEmpty():
+        roots = written(components(links), "classes-so-far")
+        more = _rest(df, large, roots, text, doc_id, words, similarity)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     # Rows of one document with other words, and copies, hang together too.
     own = docs.join(copies, "key").where("doc != head").select(
         F.col("doc").alias("a"), F.col("head").alias("b")
     )
-    roots = components(links.select("a", "b").union(own))
+    roots = components(links.union(own))
     ids = docs.select("doc").distinct()
     classed = ids.join(roots, ids["doc"] == roots["node"], "left").select(
         "doc", F.coalesce("root", "doc").alias("class_id")

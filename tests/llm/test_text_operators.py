@@ -8,13 +8,14 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from stockweave.llm import queries, suffix_dedup
+from stockweave.llm import minhash, queries, suffix_dedup
 from stockweave.llm.hashing import mix
 from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import (
     drop_near_duplicates,
     near_duplicates,
     overlap,
+    overlaps,
     signatures,
 )
 from stockweave.llm.substring_dedup import COVER, PERIOD, dedup_runs, difference_cover
@@ -135,6 +136,44 @@ def test_large_bucket(spark):
     assert {r.doc_id: r.class_id for r in got} == brute.classes(docs)
 
 
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    bags = []
+    for k in range(60):
+        u, n = np.unique(rng.integers(0, 30, 5 + k).astype(np.uint64), return_counts=True)
+        bags.append((u, n if k % 2 else np.ones_like(n)))
+    bags.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    got = overlaps(bags[:20], bags[20:])
+    for i, j in itertools.product(range(20), range(41)):
+        a, b = (dict(zip(*map(np.ndarray.tolist, x), strict=True)) for x in (bags[i], bags[20 + j]))
+        assert got[i, j] == sum(min(n, b.get(e, 0)) for e, n in a.items())
+
+
+def hot_family(n=300):
+    """Texts around one base in a ring, each near (0.8) to the two beside it only."""
+    base = words(11, 200, 10**6)
+    places = [random.Random(k).sample(range(2, 198), 2) for k in range(n)]
+    docs = []
+    for k in range(n):
+        w = list(base)
+        for mark in (k, (k + 1) % n):
+            for j in places[mark]:
+                w[j] = f"mark{mark}"
+        docs.append((k * 7 % n, " ".join(w)))
+    return docs
+
+
+def test_hot_family(spark, monkeypatch):
+    # Links around a similarity of 0.8 in large buckets, most of them not to a centre.
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 5)
+    docs = hot_family()
+    bags = [brute.bag(t) for _, t in docs]
+    assert all(brute.similarity(a, b) >= 0.8 for a, b in zip(bags, bags[1:]))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(0)
     found, true = [], []
