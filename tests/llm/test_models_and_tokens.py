@@ -295,6 +295,26 @@ def test_vectors_over_many_shards(spark, monkeypatch):
     assert all(got[i] <= near[i].sum() for i in got)
 
 
+def test_vectors_of_a_large_ball(spark, monkeypatch):
+    # One ball of ten shards, at the usual fan: cells cut most of its links.
+    monkeypatch.setattr(vector_dedup, "SHARD", 40)
+    monkeypatch.setattr(vector_dedup, "EXACT", 90)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(440, 16))
+    x[:400] = x[0] + rng.normal(0, 0.12, (400, 16))
+    df = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"
+    )
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.where(near, root[None], root[:, None]).min(axis=1)
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
