@@ -279,7 +279,7 @@ def label_results(spark, d, k=5):
 SQL_LABEL_RESULTS = f"""{SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
 ranks AS (SELECT query_id, id, score,
             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id ASC) AS rank
-          FROM scores),
+          FROM scores WHERE id IN (SELECT id FROM records)),
 results AS (
   SELECT query_id, rank, r.id, name, description, category, score, metadata, p_retailprice
   FROM ranks r JOIN records USING (id)
