@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.llm.bpe import encode
+from stockweave.llm.centroids import cluster_vectors
 from stockweave.llm.common import documents, tokenizer_file
 from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import near_duplicates
+from stockweave.llm.product_codes import compress_vectors
 from stockweave.llm.quality import score_quality
 from stockweave.llm.substring_dedup import dedup_runs
 from stockweave.llm.suffix_dedup import remove_repeats
@@ -78,6 +80,16 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(files, digests_only=True).drop("ids")
 
 
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of all embeddings, with the distances to their centroids."""
+    return cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of all embeddings, with the errors by vector and by label."""
+    return compress_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,6 +101,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_centroids": op11_centroids,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -179,11 +193,90 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM d LEFT JOIN a USING (doc_id)
 """
 
+# Rows that can be used, as integers, numbered so that repeated ids stay apart.
+SQL_INTEGERS = """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))"""
+SQL_FLOOR = "CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT)"
+
+
+def _op11_sql(rounds: int = 5) -> str:
+    """Brute force, a pair of tables per round: a (assignments) and c (centroids)."""
+
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, min([list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))),
+    c])AS best FROM v, c{i} GROUP BY r)"""
+
+    def moved(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(z, y) AS y FROM c{i} LEFT JOIN (
+    SELECT c, list(m ORDER BY j) AS z FROM (
+      SELECT best[2] AS c, j, {SQL_FLOOR} AS m
+      FROM (SELECT best, unnest(v.x) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (r))
+      GROUP BY ALL) GROUP BY c) USING (c))"""
+
+    steps = [s for i in range(rounds) for s in (assigned(i), moved(i))]
+    return f"""
+WITH {SQL_INTEGERS},
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y
+  FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL
+    ORDER BY h, x LIMIT 40)),
+{", ".join(steps)}, {assigned(rounds)}
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c = best[2]
+"""
+
+
+def _op13_sql(rounds: int = 2) -> str:
+    """Brute force over the parts of all vectors (p) and the codebooks (b)."""
+
+    def assigned(i: int) -> str:
+        gap = " + ".join(f"(p.x[{j}] - b.x[{j}]) * (p.x[{j}] - b.x[{j}])" for j in range(1, 5))
+        return f"""a{i} AS MATERIALIZED (
+  SELECT r, part, min([{gap}, e]) AS best FROM p JOIN b{i} b USING (part) GROUP BY r, part)"""
+
+    def moved(i: int) -> str:
+        means = ", ".join(SQL_FLOOR.replace("x", f"p.x[{j}]") for j in range(1, 5))
+        return f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT part, best[2] AS e, [{means}] AS x FROM a{i} JOIN p USING (r, part) GROUP BY ALL) m
+    ON m.part = b.part AND m.e = b.e)"""
+
+    steps = [s for i in range(rounds) for s in (assigned(i), moved(i))]
+    return f"""
+WITH {SQL_INTEGERS},
+p AS MATERIALIZED (
+  SELECT r, part, list_slice(x, 4 * part + 1, 4 * part + 4) AS x FROM v, range(16) AS t(part)),
+b0 AS MATERIALIZED (
+  SELECT part, e, p.x AS x FROM p JOIN (
+    SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v WHERE vec_id IS NOT NULL
+    ORDER BY vec_id, x LIMIT 64) USING (r)),
+{", ".join(steps)}, {assigned(rounds)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code,
+    CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b{rounds})
+    AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+
+
 ORACLE = {
     "op1_vector_dedup": OP1_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_centroids": _op11_sql(),
+    "op13_vector_codes": _op13_sql(),
 }
 
 
