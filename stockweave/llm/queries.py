@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stockweave.llm.bpe import encode
 from stockweave.llm.centroids import cluster_vectors
 from stockweave.llm.common import documents, tokenizer_file
+from stockweave.llm.decision_list import BASE, quality_rules
 from stockweave.llm.decontaminate import contaminated
 from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import near_duplicates
@@ -85,6 +86,14 @@ def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all documents and what base rule and learnt rules make of them."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality_rules(documents(spark, sf), labels).select(
+        "doc_id", *BASE, "base_failed", "kept", "rule", "held_out"
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of all embeddings, with the errors by vector and by label."""
     return compress_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
@@ -102,6 +111,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
     "op11_centroids": op11_centroids,
+    "op12_quality_rules": op12_quality_rules,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
