@@ -33,7 +33,7 @@ def covers(known: Mapping[str, str], filters: Mapping[str, object]) -> bool:
     return all(k in known or ALIASES.get(k, k) in known for k in active_filters(filters))
 
 
-def _bounds(value: object) -> tuple[float, float]:
+def bounds(value: object) -> tuple[float, float]:
     low, high = value
     return (
         0.0 if low in (None, "") else float(low),
@@ -51,7 +51,7 @@ def predicate(df: DataFrame, column: str, value: object) -> Column:
     kind = df.schema[column].dataType
     c = user_col(column)
     if isinstance(value, list | tuple):
-        low, high = _bounds(value)
+        low, high = bounds(value)
         number = c if isinstance(kind, T.NumericType) else c.try_cast("double")
         return number.between(F.lit(low), F.lit(high))
     if isinstance(kind, T.StringType):
@@ -65,15 +65,19 @@ def _typed(value: object, kind: T.DataType) -> Column:
     A value that the type cannot hold is a null literal and equals nothing.
     """
     if isinstance(kind, T.IntegralType):
-        try:
-            number = Decimal(str(value).strip())
-            whole = number == number.to_integral_value()
-        except InvalidOperation:
-            whole = False
-        return F.lit(str(int(number)) if whole else None).try_cast(kind)
+        return F.lit(whole_number(value)).try_cast(kind)
     return F.lit(str(value)).try_cast(kind)
 
 
+def whole_number(value: object) -> str | None:
+    """The digits of a whole number, however it is written; None for anything else."""
+    try:
+        number = Decimal(str(value).strip())
+        return str(int(number)) if number == number.to_integral_value() else None
+    except (InvalidOperation, OverflowError, ValueError):
+        return None
+
+
 def filter_columns(df: DataFrame, mapping: SchemaMapping | None) -> dict[str, str]:
     """Filter key to column of ``df``: by mapping if given, else same name."""
     if mapping is None:

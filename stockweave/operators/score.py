@@ -16,17 +16,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.constants import MAX_ITEMS, MIN_SCORE
 from stockweave.functions.vectors import round_half_up
+from stockweave.operators.request_index import RequestIndex, index_columns, parsed_filters
+from stockweave.session import written
 
 DIGITS = 6
 BROADCAST_BYTES = 16 << 20
@@ -36,32 +36,41 @@ PROBE_ROWS = 4096
 SALTS = 64
 SALT_ABOVE = 20
 
-PASS = "_pass"
+# Columns of requests: filter text, and how many rows a request wants.
+FILTERS, ITEMS = "filters", "items"
 SLICE_ROWS = 1 << 14
 SCORES = "query_id string, id string, score double"
 _SCORE_SCHEMA = pa.schema(
     [("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]
 )
-CANDIDATES = "query_id string, id string, score double, passing bigint"
+CANDIDATES = "query_id string, id string, score double, passing bigint, items bigint"
 _CANDIDATE_SCHEMA = pa.schema(
     [("query_id", pa.string()), ("id", pa.string()),
-     ("score", pa.float64()), ("passing", pa.int64())]
+     ("score", pa.float64()), ("passing", pa.int64()), ("items", pa.int64())]
 )
 
 
-# Partition value (None without one) to the ids and vectors of its requests.
-RequestMatrix = dict[str | None, tuple[np.ndarray, np.ndarray]]
+# Key of requests that see the same rows (None if all do) to their ids, vectors and
+# numbers of rows wanted. The key is a group, a filter text, or both.
+RequestMatrix = dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def request_matrix(table: pa.Table, group: str | None) -> RequestMatrix:
+def request_matrix(table: pa.Table, group: str | None, k: int) -> RequestMatrix:
     if not table.num_rows:
         return {}
     ids = table.column("query_id").to_numpy(zero_copy_only=False).astype(object)
     matrix = dense(table.column("embedding"))
-    if group is None:
-        return {None: (ids, matrix)}
-    keys = np.asarray(table.column(group).to_pylist(), dtype=object)
-    return {k: (ids[keys == k], matrix[keys == k]) for k in dict.fromkeys(keys)}
+    items = np.full(len(ids), k, np.int64)
+    if ITEMS in table.column_names:
+        items = table.column(ITEMS).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = [table.column(c).to_pylist() for c in (group, FILTERS) if c in table.column_names]
+    if not named:
+        return {None: (ids, matrix, items)}
+    # By key in one pass: there may be as many keys as requests.
+    places: dict[object, list[int]] = {}
+    for i, key in enumerate(zip(*named, strict=True) if len(named) > 1 else named[0]):
+        places.setdefault(key, []).append(i)
+    return {key: (ids[at], matrix[at], items[at]) for key, at in places.items()}
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -83,14 +92,14 @@ def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The best ``k`` rows per request seen so far by one task."""
+    """The best rows per request seen so far by one task, ``k`` of each request's own."""
 
-    def __init__(self, n_requests: int, k: int, floor: float | None):
+    def __init__(self, k: np.ndarray, floor: float | None):
         self.k = k
         self.floor = -np.inf if floor is None else floor
-        self.kth = np.full(n_requests, -np.inf)
-        self.passing = np.zeros(n_requests, dtype=np.int64)
-        self.limit = max(2 * k * n_requests, 1 << 18)
+        self.kth = np.full(len(k), -np.inf)
+        self.passing = np.zeros(len(k), dtype=np.int64)
+        self.limit = max(2 * int(k.sum()), 1 << 18)
         self.size = 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -110,9 +119,10 @@ class _Best:
             self.passing[cols] += above.sum(axis=1)
             # One rounding unit of slack keeps rows that tie after rounding.
             keep = above & ~(scores < (self.kth[cols] - 2 * half)[:, None])
-            if len(vectors) > self.k and keep.sum() > 2 * self.k * len(scores):
-                nth = np.partition(scores, len(vectors) - self.k, axis=1)
-                self.kth[cols] = np.fmax(self.kth[cols], nth[:, len(vectors) - self.k])
+            k = int(self.k[cols].max())
+            if len(vectors) > k and keep.sum() > 2 * k * len(scores):
+                nth = np.partition(scores, len(vectors) - k, axis=1)
+                self.kth[cols] = np.fmax(self.kth[cols], nth[:, len(vectors) - k])
                 keep &= ~(scores < (self.kth[cols] - 2 * half)[:, None])
             which, row = np.nonzero(keep)
             if len(which):
@@ -133,11 +143,11 @@ class _Best:
         order = np.lexsort((id_rank, down, which))
         which, ids, scores = which[order], ids[order], scores[order]
         first = np.searchsorted(which, which, side="left")
-        kept = np.arange(len(which)) - first < self.k
+        kept = np.arange(len(which)) - first < self.k[which]
         which, ids, scores = which[kept], ids[kept], scores[kept]
         self.parts, self.size = [(which, ids, scores)], len(which)
         last = np.append(which[1:] != which[:-1], True)
-        full = last & (np.bincount(which, minlength=len(self.kth))[which] >= self.k)
+        full = last & (np.bincount(which, minlength=len(self.kth)) >= self.k)[which]
         self.kth[which[full]] = np.where(
             np.isnan(scores[full]), np.inf, scores[full]
         )
@@ -151,59 +161,58 @@ class _Best:
         q = query_ids[which]
         passing = np.zeros(len(q), dtype=np.int64)
         ids = list(ids)
+        items = self.k[which]
         if counts:
             # One row per request that only carries the count.
             q = np.concatenate([q, query_ids])
             ids += [None] * len(query_ids)
+            items = np.concatenate([items, self.k])
             passing = np.concatenate([passing, self.passing])
         score = pa.array(scores, pa.float64(), from_pandas=False)
         if counts:
             score = pa.concat_arrays([score, pa.nulls(len(query_ids), pa.float64())])
         return pa.RecordBatch.from_arrays(
             [pa.array(q, pa.string()), pa.array(ids, pa.string()), score,
-             pa.array(passing, pa.int64())],
+             pa.array(passing, pa.int64()), pa.array(items, pa.int64())],
             schema=_CANDIDATE_SCHEMA,
         )
 
 
-def _flags(rows, n_sets: int) -> np.ndarray:
-    """Which rows (first axis) pass which filter set (second axis)."""
-    flat = rows.column(PASS)
-    if isinstance(flat, pa.ChunkedArray):
-        flat = pa.concat_arrays(flat.chunks)
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, n_sets)
+def _visible(
+    batch: pa.RecordBatch, matrix: RequestMatrix, group: str | None, index: RequestIndex | None
+) -> Iterator[tuple[object, np.ndarray | slice]]:
+    """Request keys with the rows of a batch that their requests may see."""
+    if index is not None:
+        yield from index.rows(batch)
+    elif group is None:
+        yield None, slice(None)
+    else:
+        named = np.asarray(batch.column(group).to_pylist(), dtype=object)
+        for key in set(named) & matrix.keys():
+            yield key, named == key
 
 
 def _scan(
     batches: Iterator[pa.RecordBatch],
     requests: Broadcast,
-    k: int,
     floor: float | None,
     group: str | None,
-    sets: list[str] | None,
+    index: RequestIndex | None,
     counts: bool,
 ) -> Iterator[pa.RecordBatch]:
     matrix: RequestMatrix = requests.value
-    best: dict[str | None, _Best] = {}
+    best: dict[object, _Best] = {}
     for batch in map(with_vectors, batches):
-        if not batch.num_rows:
+        if not batch.num_rows or not matrix:
             continue
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         vectors = dense(batch.column("embedding"))
-        if sets is not None:
-            flags = _flags(batch, len(sets))
-            picks = {key: flags[:, i] for i, key in enumerate(sets)}
-        elif group is not None:
-            named = np.asarray(batch.column(group).to_pylist(), dtype=object)
-            picks = {key: named == key for key in set(named)}
-        else:
-            picks = {None: slice(None)}
-        for key, rows in picks.items():
-            if key not in matrix or not len(ids[rows]):
+        for key, rows in _visible(batch, matrix, group, index):
+            if not len(ids[rows]):
                 continue
-            query_ids, queries = matrix[key]
+            _, queries, items = matrix[key]
             if key not in best:
-                best[key] = _Best(len(query_ids), k, floor)
+                best[key] = _Best(items, floor)
             best[key].add(ids[rows], vectors[rows], queries)
     for key, state in best.items():
         yield state.batch(matrix[key][0], counts)
@@ -212,18 +221,10 @@ def _scan(
 def _only(df: DataFrame, key: str, group: str | None) -> DataFrame:
     """The columns of a scan. Null vectors are skipped inside the tasks: a filter
     on a column that an encoder makes would run the encoder once more."""
+    more = [c for c in (FILTERS, ITEMS) if key == "query_id" and c in df.columns]
     if group is None:
-        return df.select(key, "embedding")
-    return df.select(key, "embedding", group).where(F.col(group).isNotNull())
-
-
-def _marked(vectors: DataFrame, passes: Mapping[str, Column | None]) -> DataFrame:
-    """Vectors that pass any of the conditions, and which ones, decided in the JVM."""
-    tests = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in passes.values()]
-    kept = vectors
-    if tests and all(c is not None for c in passes.values()):
-        kept = vectors.where(reduce(or_, passes.values()))
-    return kept.select("id", "embedding", F.array(*tests).alias(PASS))
+        return df.select(key, "embedding", *more)
+    return df.select(key, "embedding", group, *more).where(F.col(group).isNotNull())
 
 
 def with_vectors(rows):
@@ -235,33 +236,35 @@ def with_vectors(rows):
 
 @dataclass
 class Candidates:
-    """Candidate rows, and the number of requests if it was small enough to know."""
+    """Candidate rows, and how many rows all requests want if they were few enough to know."""
 
     rows: DataFrame
-    n_requests: int | None
+    n_items: int | None
 
 
 def gather_requests(
-    requests: DataFrame, group: str | None, max_bytes: int
-) -> tuple[RequestMatrix | None, int]:
-    """The request matrix and its size, or None and the vector length if the
-    requests do not fit ``max_bytes``.
+    requests: DataFrame, group: str | None, k: int, max_bytes: int
+) -> tuple[RequestMatrix | None, int, DataFrame]:
+    """The request matrix (None if the requests do not fit ``max_bytes``), the vector
+    length, and the requests.
 
     A first look shows the vector length and so how many rows fit; at most one
-    row more than that is ever asked for, never the whole table.
+    row more than that is ever asked for, never the whole table. Requests that one
+    look does not show are written, so that an encoder in front of them runs once.
     """
     table = requests.limit(PROBE_ROWS + 1).toArrow()
     known = with_vectors(table)
     if not table.num_rows:
-        return {}, 0
+        return {}, 0, requests
     dim = len(known.column("embedding")[0]) if known.num_rows else 0
     fits = max(1, max_bytes // (8 * max(1, dim)))
-    if table.num_rows > PROBE_ROWS and fits > PROBE_ROWS:
-        table = requests.limit(fits + 1).toArrow()
+    if table.num_rows > PROBE_ROWS:
+        requests = written(requests, "requests")
+        if fits > PROBE_ROWS:
+            table = requests.limit(fits + 1).toArrow()
     if table.num_rows > fits:
-        return None, dim
-    table = with_vectors(table)
-    return request_matrix(table, group), table.num_rows
+        return None, dim, requests
+    return request_matrix(with_vectors(table), group, k), dim, requests
 
 
 def candidates(
@@ -271,35 +274,54 @@ def candidates(
     floor: float | None,
     group: str | None = None,
     counts: bool = False,
-    passes: Mapping[str, Column | None] | None = None,
+    pool: Callable[[set[str] | None], tuple[DataFrame, Mapping[str, str]]] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> Candidates:
-    """Candidates for the ranks of each request, at most ``k`` per task.
+    """Candidates for the ranks of each request, at most as many per task as it wants.
 
-    Without ``passes``, ``group`` is a column of both sides that must agree.
-    With it, ``group`` is a column of the requests only, and ``passes`` gives
-    the condition on the vectors for each of its values (None: no condition).
+    A request wants ``k`` rows, or those of its column ``items``. ``group`` is a
+    column of both sides that must agree. Requests with a column ``filters`` bring
+    JSON filters of their own; ``pool`` then gives the vectors with the columns for
+    the filter keys in use (None: any of them), and a map from keys to columns.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    sets = list(passes) if passes is not None else None
-    vectors = _marked(vectors, passes) if passes is not None else _only(vectors, "id", group)
+    filtered = FILTERS in requests.columns
     requests = _only(requests, "query_id", group)
-    matrix, n = gather_requests(requests, group, broadcast_bytes)
+    matrix, dim, requests = gather_requests(requests, group, k, broadcast_bytes)
+    index = columns = None
+    if filtered:
+        texts = [key if group is None else key[1] for key in matrix or ()]
+        keys = {name for text in set(texts) for name in parsed_filters(text)}
+        vectors, known = pool(None if matrix is None else keys) if pool else (vectors, {})
+        columns = index_columns(vectors, known)
+        if matrix is not None:
+            index = RequestIndex(list(matrix), columns, group)
+            common = index.common(vectors)
+            carried = vectors if common is None else vectors.where(common)
+            vectors = carried.select("id", "embedding", *index.expressions())
+        else:
+            carried = [e for at in columns.values() for e in at.expressions()]
+            vectors = vectors.select(
+                "id", "embedding", *([group] if group else []), *carried
+            )
+    else:
+        vectors = _only(vectors, "id", group)
     if matrix is None:
-        rows = max(1, block_bytes // (8 * max(1, n)))
-        grid = _grid_candidates(vectors, requests, k, floor, group, sets, counts, rows)
+        rows = max(1, block_bytes // (8 * max(1, dim)))
+        grid = _grid_candidates(vectors, requests, k, floor, group, columns, counts, rows)
         return Candidates(grid, None)
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
-    if group is not None and sets is None:
+    if group is not None and not filtered:
         # Only partitions some request asks for are read.
         vectors = vectors.where(F.col(group).isin(list(matrix)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scan(batches, shipped, k, floor, group, sets, counts)
+        return _scan(batches, shipped, floor, group, index, counts)
 
-    return Candidates(vectors.mapInArrow(scan, CANDIDATES), n)
+    n_items = sum(int(items.sum()) for _, _, items in matrix.values())
+    return Candidates(vectors.mapInArrow(scan, CANDIDATES), n_items)
 
 
 def _grid(
@@ -337,60 +359,69 @@ def _grid_candidates(
     k: int,
     floor: float | None,
     group: str | None,
-    sets: list[str] | None,
+    columns: Mapping | None,
     counts: bool,
     rows: int,
 ) -> DataFrame:
-    """Candidates per pair of blocks, for requests too many to broadcast."""
+    """Candidates per pair of blocks, for requests too many to broadcast.
+
+    A group that both sides must agree on is part of the block, so in a task all
+    requests and rows agree. Each block of requests has an index of its own.
+    """
 
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
         block, asked = with_vectors(block), with_vectors(asked)
         if not block.num_rows or not asked.num_rows:
             return _CANDIDATE_SCHEMA.empty_table()
-        matrix = request_matrix(asked, group if sets is not None else None)
-        best = {key: _Best(len(ids), k, floor) for key, (ids, _) in matrix.items()}
+        matrix = request_matrix(asked, None, k)
+        index = None if columns is None else RequestIndex(list(matrix), columns)
+        best = {key: _Best(items, floor) for key, (_, _, items) in matrix.items()}
         for part in block.to_batches(max_chunksize=SLICE_ROWS):
             ids = part.column("id").to_numpy(zero_copy_only=False)
             part_vectors = dense(part.column("embedding"))
-            flags = None if sets is None else _flags(part, len(sets))
-            for key, state in best.items():
-                keep = slice(None) if flags is None else flags[:, sets.index(key)]
-                if len(ids[keep]):
-                    state.add(ids[keep], part_vectors[keep], matrix[key][1])
+            for key, seen in _visible(part, matrix, None, index):
+                best[key].add(ids[seen], part_vectors[seen], matrix[key][1])
         return pa.Table.from_batches(
             [state.batch(matrix[key][0], counts) for key, state in best.items()]
         )
 
-    own = group if sets is None else None
-    return _grid(vectors, requests, rows, meet, CANDIDATES, own)
+    return _grid(vectors, requests, rows, meet, CANDIDATES, group)
+
+
+def _order():
+    return F.col("id").isNull(), F.desc("score"), F.asc("id")
 
 
-def thinned(found: DataFrame, k: int) -> DataFrame:
-    """Cut the candidates of each request in ``SALTS`` parts to ``k`` rows each.
+def thinned(found: DataFrame, k: int | None) -> DataFrame:
+    """Cut the candidates of each request in ``SALTS`` parts to what it wants.
 
-    For large ``k``, so that the final window of a request does not have to sort
-    ``k`` rows of every task at once. Rows that only carry a count all stay.
+    For requests that want many rows (``k`` at most; None if that is not known), so
+    that the final window of a request does not have to sort the rows of every task
+    at once. Rows that only carry a count all stay.
     """
-    if k <= SALT_ABOVE:
+    if k is not None and k <= SALT_ABOVE:
         return found
-    part = Window.partitionBy("query_id", "_salt").orderBy(
-        F.col("id").isNull(), F.desc("score"), F.asc("id")
-    )
+    part = Window.partitionBy("query_id", "_salt").orderBy(*_order())
     return (
         found.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
         .withColumn("_n", F.row_number().over(part))
-        .where((F.col("_n") <= k) | F.col("id").isNull())
+        .where((F.col("_n") <= F.col("items")) | F.col("id").isNull())
         .drop("_salt", "_n")
     )
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """Final ranks 1..m per request out of the candidates of all tasks."""
+def ranked(found: DataFrame, k: int | None) -> DataFrame:
+    """Final ranks 1..m per request out of the candidates of all tasks.
+
+    Without a column ``items``, every request wants ``k`` rows.
+    """
+    if ITEMS not in found.columns:
+        found = found.withColumn(ITEMS, F.lit(k).cast("bigint"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return (
-        thinned(found.select("query_id", "id", "score"), k)
+        thinned(found.select("query_id", "id", "score", "items"), k)
         .withColumn("_n", F.row_number().over(best))
-        .where(F.col("_n") <= k)
+        .where(F.col("_n") <= F.col("items"))
         .select("query_id", "id", "score", F.col("_n").cast("bigint").alias("rank"))
     )
 

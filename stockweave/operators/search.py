@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.constants import (
@@ -19,19 +17,16 @@ from stockweave.functions.text import is_blank
 from stockweave.functions.vectors import has_bad_value, squared_norm
 from stockweave.mapping import SchemaMapping, require_columns, text_col, user_col
 from stockweave.operators.filters import (
+    ALIASES,
     active_filters,
     apply_filters,
     covers,
     filter_columns,
-    filter_condition,
 )
 from stockweave.operators.project import product_records
-from stockweave.operators.score import Candidates, candidates, ranked, thinned
+from stockweave.operators.score import candidates, ranked, thinned
 from stockweave.operators.tables import latest_completed
-from stockweave.session import BROADCAST_ROWS
-
-# Different filter texts that share one scan of the vectors.
-FILTER_SETS = 500
+from stockweave.session import BROADCAST_ROWS, written, written_and_counted
 
 
 def join_vectors(products: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
@@ -106,18 +101,35 @@ RESULT_COLUMNS = (
 )
 
 
+def in_place(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vectors whose id is in ``ids``, without moving them where that can be avoided.
+
+    Only ids are looked at first. If few are wanted, or few of those that there are
+    are not, that list is broadcast to the scan; its length is counted. Only if both
+    are long, the vectors are joined, once, and written.
+    """
+    wanted, n = written_and_counted(ids.where("id IS NOT NULL").distinct(), "wanted-ids")
+    if n <= BROADCAST_ROWS:
+        return vectors.join(F.broadcast(wanted), "id", "left_semi")
+    lost, m = written_and_counted(
+        vectors.select("id").join(wanted, "id", "left_anti").distinct(), "other-ids"
+    )
+    if m > BROADCAST_ROWS:
+        return written(vectors.join(wanted, "id", "left_semi"), "wanted-vectors")
+    known = vectors.where("id IS NOT NULL")
+    return known.join(F.broadcast(lost), "id", "left_anti") if m else known
+
+
 def vectors_with_rows(
-    catalog: DataFrame, vectors: DataFrame, mapping: SchemaMapping, row_key: str | None
+    catalog: DataFrame, vectors: DataFrame, mapping: SchemaMapping, settled: bool
 ) -> DataFrame:
     """Vectors that a catalogue row belongs to; others must not take ranks.
 
-    Tables with a ``row_key`` were built together, each vector from its row, and
-    are left as they are.
+    ``settled`` says that all do, as those of a published version.
     """
-    if row_key is not None:
+    if settled:
         return vectors
-    ids = catalog.select(text_col(mapping.id_column).alias("id"))
-    return vectors.join(ids, "id", "left_semi")
+    return in_place(vectors, catalog.select(text_col(mapping.id_column).alias("id")))
 
 
 def filtered_vectors(
@@ -126,21 +138,20 @@ def filtered_vectors(
     mapping: SchemaMapping,
     filters: Mapping[str, object],
     row_key: str | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """Vectors of the rows that pass the filters, before any ranking.
 
     A vector table published with its filter columns is filtered where it is;
-    otherwise the passing ids are semi-joined.
+    otherwise the ids of the passing rows are.
     """
     active = active_filters(filters)
     if not active:
-        return vectors_with_rows(catalog, vectors, mapping, row_key)
+        return vectors_with_rows(catalog, vectors, mapping, settled)
     if covers(filter_columns(vectors, None), active):
-        return vectors_with_rows(catalog, apply_filters(vectors, active), mapping, row_key)
-    ids = apply_filters(catalog, active, mapping).select(
-        text_col(row_key or mapping.id_column).alias("id")
-    )
-    return vectors.join(ids, "id", "left_semi")
+        return vectors_with_rows(catalog, apply_filters(vectors, active), mapping, settled)
+    passing = apply_filters(catalog, active, mapping)
+    return in_place(vectors, passing.select(text_col(row_key or mapping.id_column).alias("id")))
 
 
 def search(
@@ -154,6 +165,7 @@ def search(
     group: str | None = None,
     null_text: str = "",
     row_key: str | None = None,
+    settled: bool | None = None,
     **sizes: int,
 ) -> DataFrame:
     """Result records of a table of requests ``(query_id, embedding)``.
@@ -161,14 +173,15 @@ def search(
     Filters come before ranking, so a filtered search still fills its ``k``
     rows. With ``group`` (a model path, say) each request is answered from the
     vectors of its own group only. ``row_key`` names the catalogue column that
-    the vector ids refer to, if that is not the mapped id.
+    the vector ids refer to, if that is not the mapped id. Tables with one were
+    built together; ``settled`` says so of others, and spares a look at all ids.
     """
     require_columns(catalog, mapping, ["id", "name"])
-    pool = filtered_vectors(catalog, vectors, mapping, filters or {}, row_key)
+    settled = row_key is not None if settled is None else settled
+    pool = filtered_vectors(catalog, vectors, mapping, filters or {}, row_key, settled)
     found = candidates(pool, requests, k, floor, group, **sizes)
-    n_ranks = None if found.n_requests is None else found.n_requests * k
     return attach_records(
-        ranked(found.rows, k), catalog, mapping, n_ranks, null_text, row_key
+        ranked(found.rows, k), catalog, mapping, found.n_items, null_text, row_key
     ).select(*RESULT_COLUMNS)
 
 
@@ -176,48 +189,43 @@ def filterable_vectors(
     catalog: DataFrame,
     vectors: DataFrame,
     mapping: SchemaMapping,
-    sets: Sequence[Mapping[str, object]],
+    keys: set[str] | None,
     row_key: str | None = None,
-) -> DataFrame:
-    """Vectors with every column the filter sets need, joined on only if absent."""
-    if all(covers(filter_columns(vectors, None), s) for s in sets):
-        return vectors_with_rows(catalog, vectors, mapping, row_key)
-    columns = [user_col(u).alias(key) for key, u in filter_columns(catalog, mapping).items()]
-    keyed = catalog.select(text_col(row_key or mapping.id_column).alias("id"), *columns)
-    return vectors.select("id", "embedding").join(keyed, "id")
-
-
-def _filter_texts(asked: DataFrame) -> Iterator[list[str]]:
-    """The distinct filter texts in order, at most ``FILTER_SETS`` at a time."""
-    distinct = asked.select("filters").distinct()
-    more = distinct
-    while True:
-        texts = [r[0] for r in more.orderBy("filters").limit(FILTER_SETS).collect()]
-        if texts:
-            yield texts
-        if len(texts) < FILTER_SETS:
-            return
-        more = distinct.where(F.col("filters") > texts[-1])
-
-
-def _search_sets(
-    catalog: DataFrame,
-    vectors: DataFrame,
-    asked: DataFrame,
-    mapping: SchemaMapping,
-    texts: list[str],
-    k: int,
-    floor: float | None,
-    row_key: str | None,
-    sizes: Mapping[str, int],
-) -> Candidates:
-    """Candidates of the requests with these filter texts, in one vector scan."""
-    sets = {text: json.loads(text) for text in texts}
-    pool = filterable_vectors(catalog, vectors, mapping, list(sets.values()), row_key)
-    passes = {text: filter_condition(pool, given) for text, given in sets.items()}
-    if texts:
-        asked = asked.where(F.col("filters").between(texts[0], texts[-1]))
-    return candidates(pool, asked, k, floor, "filters", passes=passes, **sizes)
+    settled: bool = False,
+) -> tuple[DataFrame, dict[str, str]]:
+    """Vectors with a column for each filter key (None: every key of the mapping).
+
+    A vector table published with its filter columns is left as it is; the catalogue
+    is joined only if a column is absent.
+    """
+    own, users = filter_columns(vectors, None), filter_columns(catalog, mapping)
+    keys = {ALIASES.get(k, k) if k not in users else k for k in keys} if keys is not None \
+        else set(users)
+    if covers(own, dict.fromkeys(keys, True)):
+        return vectors_with_rows(catalog, vectors, mapping, settled), {k: own[k] for k in keys}
+    names = {k: f"_filter{i}" for i, k in enumerate(sorted(keys & users.keys()))}
+    keyed = catalog.select(
+        text_col(row_key or mapping.id_column).alias("id"),
+        *[user_col(users[k]).alias(n) for k, n in names.items()],
+    )
+    more = [c for c in vectors.columns if c not in names.values()]
+    return vectors.select(*map(user_col, more)).join(keyed, "id"), names
+
+
+def _asked(requests: DataFrame, k: int, items: Column, group: str | None) -> DataFrame:
+    given = F.col("filters") if "filters" in requests.columns else F.lit(None)
+    return requests.select(
+        "query_id", "embedding", *([group] if group else []),
+        F.coalesce(given, F.lit("")).alias("filters"), items.alias("items"),
+    )
+
+
+def _own(requests: DataFrame, column: str, default: int) -> Column:
+    """A request's own whole number from 1, else the default."""
+    if column not in requests.columns:
+        return F.lit(default).cast("bigint")
+    value = F.col(column).cast("bigint")
+    return F.when(value >= 1, value).otherwise(default)
 
 
 def search_each(
@@ -228,40 +236,79 @@ def search_each(
     k: int = MAX_ITEMS,
     floor: float | None = MIN_SCORE,
     row_key: str | None = None,
+    settled: bool | None = None,
+    group: str | None = None,
     **sizes: int,
 ) -> DataFrame:
     """Like :func:`search`, for requests that bring their own settings.
 
     ``filters`` is JSON text per request, such as
-    ``{"category": "Ovens", "price": [0, 1000]}``. Every distinct text becomes
-    one predicate, up to ``FILTER_SETS`` of them are evaluated in one scan of the
-    vectors, and a request only meets the rows that pass its own. ``max_items`` is the cut of
-    the request; absent or below 1 means ``k``. Either column may be left out.
+    ``{"category": "Ovens", "price": [0, 1000]}``; ``max_items`` is the cut of the
+    request, absent or below 1 meaning ``k``; ``group`` names a column (a model path,
+    say) in which request and vector must agree. Any of them may be left out. All
+    requests share one scan, however many different filters they have
+    (`request_index`), and each keeps as many rows per task as it wants itself.
     """
-    given = F.col("filters") if "filters" in requests.columns else F.lit(None)
-    asked = requests.withColumn("filters", F.coalesce(given, F.lit("{}")))
-    limits = None
-    if "max_items" in requests.columns:
-        own = F.when(F.col("max_items") >= 1, F.col("max_items")).otherwise(k)
-        limits = requests.select("query_id", own.alias("_items"))
-        k = limits.agg(F.max("_items")).first()[0] or k
-    parts = [
-        _search_sets(catalog, vectors, asked, mapping, texts, k, floor, row_key, sizes)
-        for texts in _filter_texts(asked)
-    ]
-    if not parts:
-        parts = [_search_sets(catalog, vectors, asked, mapping, [], k, floor, row_key, sizes)]
-    rows = reduce(DataFrame.unionByName, [p.rows for p in parts])
-    known = [p.n_requests for p in parts]
-    n_ranks = None if None in known else sum(known) * k
-    ranks = ranked(rows, k)
-    if limits is not None:
-        ranks = ranks.join(limits, "query_id").where(F.col("rank") <= F.col("_items"))
+    settled = row_key is not None if settled is None else settled
+    asked = _asked(requests, k, _own(requests, "max_items", k), group)
+    found = candidates(
+        vectors, asked, k, floor, group, **sizes,
+        pool=lambda keys: filterable_vectors(catalog, vectors, mapping, keys, row_key, settled),
+    )
+    most = None if found.n_items is None or "max_items" in requests.columns else k
     return attach_records(
-        ranks.drop("_items"), catalog, mapping, n_ranks, row_key=row_key
+        ranked(found.rows, most), catalog, mapping, found.n_items, row_key=row_key
     ).select(*RESULT_COLUMNS)
 
 
+def search_requests(
+    catalog: DataFrame,
+    vectors: DataFrame,
+    requests: DataFrame,
+    mapping: SchemaMapping,
+    k: int = MAX_ITEMS,
+    floor: float | None = MIN_SCORE,
+    row_key: str | None = None,
+    settled: bool | None = None,
+    group: str | None = None,
+    **sizes: int,
+) -> DataFrame:
+    """The page that each request asks for, with its own filters, cut and model.
+
+    As :func:`search_each`, and a request may name its ``page`` (from 1); pages are
+    ``max_items`` rows long. ``total`` counts the rows that pass the filters and
+    reach the floor, in the same scan that finds the rows of the page.
+    """
+    settled = row_key is not None if settled is None else settled
+    size, page = _own(requests, "max_items", k), _own(requests, "page", 1)
+    asked = _asked(requests, k, size * page, group)
+    found = candidates(
+        vectors, asked, k, floor, group, counts=True, **sizes,
+        pool=lambda keys: filterable_vectors(catalog, vectors, mapping, keys, row_key, settled),
+    )
+    settings = requests.select("query_id", size.alias("_size"), page.alias("page"))
+    if found.n_items is not None:  # as few as the requests that were gathered
+        settings = F.broadcast(settings)
+    best = Window.partitionBy("query_id").orderBy(
+        F.col("id").isNull(), F.desc("score"), F.asc("id")
+    )
+    totals = Window.partitionBy("query_id")
+    size, page = F.col("_size"), F.col("page")
+    ranks = (
+        thinned(found.rows, None)
+        .withColumn("total", F.sum("passing").over(totals))
+        .withColumn("rank", F.row_number().over(best).cast("bigint"))
+        .where(F.col("id").isNotNull() & (F.col("rank") <= F.col("items")))
+        .join(settings, "query_id")
+        .where(F.col("rank") > (page - 1) * size)
+        .select("query_id", "id", "score", "rank", "total", "page",
+                F.ceil(F.col("total") / size).cast("bigint").alias("total_pages"))
+    )
+    return attach_records(ranks, catalog, mapping, found.n_items, row_key=row_key).select(
+        "query_id", "page", "total", "total_pages", *RESULT_COLUMNS[1:]
+    )
+
+
 def search_page(
     catalog: DataFrame,
     vectors: DataFrame,
@@ -272,6 +319,7 @@ def search_page(
     floor: float | None = MIN_SCORE,
     filters: Mapping[str, object] | None = None,
     row_key: str | None = None,
+    settled: bool | None = None,
     **sizes: int,
 ) -> DataFrame:
     """Page ``page`` of each request's ranked list, with totals.
@@ -282,7 +330,8 @@ def search_page(
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
-    pool = filtered_vectors(catalog, vectors, mapping, filters or {}, row_key)
+    settled = row_key is not None if settled is None else settled
+    pool = filtered_vectors(catalog, vectors, mapping, filters or {}, row_key, settled)
     found = candidates(pool, requests, page * size, floor, None, counts=True, **sizes)
     best = Window.partitionBy("query_id").orderBy(
         F.col("id").isNull(), F.desc("score"), F.asc("id")
@@ -302,8 +351,7 @@ def search_page(
             F.lit(page).alias("page"),
         )
     )
-    n_ranks = None if found.n_requests is None else found.n_requests * size
-    return attach_records(ranks, catalog, mapping, n_ranks, row_key=row_key).select(
+    return attach_records(ranks, catalog, mapping, found.n_items, row_key=row_key).select(
         "query_id", "page", "total", "total_pages", *RESULT_COLUMNS[1:]
     )
 
@@ -324,11 +372,14 @@ def search_summary(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def route_requests(requests: DataFrame, configs: DataFrame) -> DataFrame:
+def route_requests(
+    requests: DataFrame, configs: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
     """Fill in ``model_path``: own path, else that of ``config_id``, else latest.
 
     Requests with an empty query get an ``error`` instead. Only requests that
     need a config look one up, so requests without one do not meet in one task.
+    Those of the columns ``keep`` that there are stay.
     """
     blank_query = is_blank(F.col("query"))
     own = F.nullif(F.col("model_path"), F.lit(""))
@@ -348,4 +399,5 @@ def route_requests(requests: DataFrame, configs: DataFrame) -> DataFrame:
             ~blank_query, F.coalesce("_own", "_by_config", latest.scalar())
         ).alias("model_path"),
         F.when(blank_query, F.lit("query is required")).alias("error"),
+        *[c for c in keep if c in requests.columns],
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockweave.constants import MODES, PREVIOUS_VERSION_ERROR
 from stockweave.mapping import user_col
-from stockweave.session import written_and_counted
+from stockweave.session import written, written_and_counted
 
 HOPS = 3
 
@@ -91,7 +91,44 @@ def _hop(rows: DataFrame, up: DataFrame) -> DataFrame:
     )
 
 
-def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
+def _loops(rows: DataFrame, n: int) -> DataFrame:
+    """``config_id, cycle, on_cycle`` of rows whose bases never end.
+
+    ``rows`` has ``config_id, _base``, and every base is a row too. Pointers jump on,
+    with the least id they passed, until they have gone further than there are rows:
+    each is on a loop then, a row on a loop has passed all of it, and the rows that
+    pointers lead to are just those on loops.
+    """
+    state = written(
+        rows.select("config_id", F.col("_base").alias("_to"), F.col("config_id").alias("_low")),
+        "loops",
+    )
+    reach = 1
+    while reach < n:
+        up = state.select(
+            F.col("config_id").alias("_to"), F.col("_to").alias("_next"),
+            F.col("_low").alias("_lower"),
+        )
+        state = written(
+            state.join(up, "_to").select(
+                "config_id", F.col("_next").alias("_to"), F.least("_low", "_lower").alias("_low")
+            ),
+            "loops",
+        )
+        reach *= 2
+    loops = written(state.select("_to").distinct(), "on-loops")
+    lows = state.select(F.col("config_id").alias("_to"), F.col("_low").alias("cycle"))
+    on = loops.select(F.col("_to").alias("config_id"), F.lit(True).alias("_on"))
+    return (
+        state.join(lows, "_to")
+        .join(on, "config_id", "left")
+        .select("config_id", "cycle", F.coalesce("_on", F.lit(False)).alias("on_cycle"))
+    )
+
+
+def version_lineage(
+    configs: DataFrame, max_depth: int = 1 << 20, report_cycles: bool = False
+) -> DataFrame:
     """Root version, depth and cumulative rows of every version.
 
     Needs ``config_id, mode, previous_version, n_rows``. A version that does
@@ -100,6 +137,11 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
     Pointers reach four times as far each round: when every open row knows the
     sum over its nearest n ancestors, three look-ups in that same table make it
     4n. Each round is written out, and rows that reached their root leave it.
+
+    A history that runs in a circle has no root. It is an error, or with
+    ``report_cycles`` its rows get nulls and two more columns tell of it: ``cycle`` is
+    the least id on the circle, for its members and for all that build on them, and
+    ``on_cycle`` marks the members. All other rows get their answer.
     """
     base = F.when(
         (F.col("mode") == "append") & (F.coalesce("previous_version", F.lit("")) != ""),
@@ -113,7 +155,7 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
         .select("config_id", F.when(F.col("_known"), F.col("_base")).alias("_base"), "n_rows")
     )
     start = linked.unionByName(nodes.where(F.col("_base").isNull()))
-    state, n_open = written_and_counted(
+    first, n_open = written_and_counted(
         start.select(
             "config_id",
             F.coalesce("_base", "config_id").alias("root"),
@@ -124,10 +166,12 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
         "lineage",
         F.col("_open"),
     )
-    reach = 1
-    # An open row's total covers itself up to, not including, its `root`.
-    while n_open:
-        if reach > max_depth:
+    state, before, reach = first, None, 1
+    # An open row's total covers itself up to, not including, its `root`. A history
+    # that ends has rows of every depth up to its own, so a round in which none
+    # arrives leaves only those that never end.
+    while n_open and n_open != before:
+        if reach > max_depth and not report_cycles:
             raise ValueError("version history is longer than max_depth or has a cycle")
         up = state.select(
             F.concat(F.lit(">"), "config_id").alias("_key"),
@@ -139,11 +183,32 @@ def version_lineage(configs: DataFrame, max_depth: int = 1 << 20) -> DataFrame:
         moved = state.where("_open")
         for _ in range(HOPS):
             moved = _hop(moved, up)
+        before = n_open
         state, n_open = written_and_counted(
             state.where(~F.col("_open")).unionByName(moved), "lineage", F.col("_open")
         )
         reach *= HOPS + 1
-    return state.select("config_id", "root", "depth", "total_rows")
+    if n_open and not report_cycles:
+        raise ValueError("a version history has a cycle")
+    done = state.where(~F.col("_open")).select("config_id", "root", "depth", "total_rows")
+    if not report_cycles:
+        return done
+    done = done.select(
+        "*", F.lit(None).cast("string").alias("cycle"), F.lit(False).alias("on_cycle")
+    )
+    if not n_open:
+        return done
+    endless = state.where("_open").select("config_id")
+    links = first.select("config_id", F.col("root").alias("_base"))
+    found = _loops(endless.join(links, "config_id"), n_open)
+    return done.unionByName(
+        found.select(
+            "config_id",
+            *[F.lit(None).cast(t).alias(c)
+              for c, t in (("root", "string"), ("depth", "bigint"), ("total_rows", "bigint"))],
+            "cycle", "on_cycle",
+        )
+    )
 
 
 def append_summary(bases: DataFrame, new_rows: DataFrame) -> DataFrame:

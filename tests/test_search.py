@@ -90,7 +90,7 @@ def test_small_tiles_and_frequent_pruning_change_nothing(data):
     ids = np.array([v[0] for v in vectors], dtype=object)
     matrix = np.array([v[1] for v in vectors], dtype=np.float64)
     asked = np.array([r[1] for r in requests])
-    state = score_module._Best(len(asked), 4, 0.2)
+    state = score_module._Best(np.full(len(asked), 4), 0.2)
     state.limit = 10
     for start in range(0, len(ids), 17):
         state.add(ids[start : start + 17], matrix[start : start + 17], asked)
@@ -174,9 +174,7 @@ def test_filters_come_before_the_cut(shop):
 
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_bytes": 16 * 3}])
 @pytest.mark.parametrize("carried", [False, True])
-@pytest.mark.parametrize("per_scan", [2, 500])
-def test_each_request_has_its_own_filters(spark, shop, monkeypatch, sizes, carried, per_scan):
-    monkeypatch.setattr(search_module, "FILTER_SETS", per_scan)
+def test_each_request_has_its_own_filters(spark, shop, sizes, carried):
     goods, vectors, _ = shop
     if carried:
         vectors = vectors.join(goods.selectExpr("sku AS id", "kind AS category", "price"), "id")
