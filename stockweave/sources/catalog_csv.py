@@ -5,17 +5,19 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockweave.constants import MISSING_TOKENS
 from stockweave.mapping import SchemaMapping, user_col
+from stockweave.session import BROADCAST_ROWS, written_and_counted
+from stockweave.sources.csv_blocks import csv_records
 
 # Quoted commas, doubled quotes and line breaks inside quotes are all legal.
 CSV_READ = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_CELLS = {"multiLine": "true", "quote": '"', "escape": '"'}
 CSV_WRITE = {
     "header": "true",
     "quote": '"',
@@ -30,6 +32,7 @@ def read_catalog_csv(
     path: str,
     columns: Sequence[str] | None = None,
     multiline: bool = True,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """CSV files with headers, every column as text, matched by name.
 
@@ -38,70 +41,91 @@ def read_catalog_csv(
     fewer ends in nulls. With ``columns``, these are returned. Only ``.csv`` files
     are read; one named in capitals is an error.
 
-    ``multiline`` keeps each file in one task, so deliver a large catalogue as
-    many files; set it to false for files known to have no line breaks inside
-    quotes and they are split like any text file. The driver lists the files and
-    reads their headers, nothing more.
+    Large files are read by many tasks, line breaks inside quotes or not
+    (`csv_blocks`); ``multiline=False`` says that there are none and spares a look.
+    ``block_bytes`` sets the size of a block for this read. Tasks find the headers;
+    the driver gets each different one. A file whose quotes are not balanced is an
+    error; :func:`read_whole_csv` reads those.
     """
-    frames = []
-    for header, files in _files_by_header(spark, path).items():
-        extra = next(n for n in ("_extra", *(f"_extra{i}" for i in range(99))) if n not in header)
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, extra)])
-        read = (
-            spark.read.options(**CSV_READ)
-            .option("multiLine", str(multiline).lower())
-            .schema(schema)
-            .csv(files)
-        )
-        spill = F.raise_error(F.concat(F.lit("more cells than columns, from: "), user_col(extra)))
-        frames.append(
-            read.where(F.when(user_col(extra).isNotNull(), spill).otherwise(F.lit(True))).drop(extra)
-        )
-    if not frames and columns is None:
-        raise ValueError(f"no CSV file in {path}")
-    if frames:
-        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    _only_csv(spark, path, columns is None)
+    records = csv_records(spark, path, multiline, block_bytes)
+    heads, n_files = written_and_counted(
+        records.where("first").select("file", "text"), "csv-headers"
+    )
+    texts = sorted(r.text for r in heads.select("text").distinct().collect())
+    headers = [_header(t) for t in texts]
+    # Cells by place, one more than the longest header to find rows that are too long.
+    width = max(map(len, headers), default=0) + 1
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    body = records.where(~F.col("first"))
+    if len(headers) > 1:
+        kind = F.array_position(F.array(*map(F.lit, texts)), F.col("text")).alias("kind")
+        kinds = heads.select("file", kind)
+        body = body.join(F.broadcast(kinds) if n_files <= BROADCAST_ROWS else kinds, "file")
     else:
-        whole = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-    if columns is None:
-        return whole
-    return whole.select(
-        *[user_col(c) if c in whole.columns else F.lit(None).cast("string").alias(c)
-          for c in columns]
+        body = body.withColumn("kind", F.lit(1))
+    parsed = body.select("kind", F.from_csv("text", cells.toDDL(), CSV_CELLS).alias("c"))
+    over = F.coalesce(
+        *[F.when(F.col("kind") == k, F.col(f"c.c{len(h)}")) for k, h in enumerate(headers, 1)],
+        F.lit(None).cast("string"),
     )
+    spill = F.raise_error(F.concat(F.lit("more cells than columns, from: "), over))
+    parsed = parsed.where(F.when(over.isNotNull(), spill).otherwise(F.lit(True)))
+    names = list(columns) if columns is not None else list(
+        dict.fromkeys(c for h in headers for c in h))
+    return parsed.select(*[_cell(headers, name).alias(name) for name in names])
+
+
+def _cell(headers: Sequence[tuple[str, ...]], name: str) -> Column:
+    """The cell of a named column, wherever the header of the row's file has it."""
+    found = F.lit(None).cast("string")
+    for k, header in enumerate(headers, 1):
+        if name in header:
+            at = F.col(f"c.c{header.index(name)}")
+            found = F.when(F.col("kind") == k, at).otherwise(found) if len(headers) > 1 else at
+    return found
 
 
-def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files below ``path`` by their header; empty files have none."""
-    # Only paths are asked for, so no content is read.
-    listed = spark.read.format("binaryFile").load(path).select("path").collect()
-    files = sorted(r.path for r in listed if r.path.endswith(".csv"))
-    # Other files may lie beside them, but not one that means to be a catalogue.
-    odd = [r.path for r in listed if r.path[-4:].lower() == ".csv" and r.path not in files]
-    if odd or (listed and not files):
-        raise ValueError(f"only CSV files named *.csv can be read, found {(odd or listed)[0]}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        at = jvm.org.apache.hadoop.fs.Path(file)
-        lines = jvm.java.io.BufferedReader(
-            jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8")
+def _header(text: str) -> tuple[str, ...]:
+    names = next(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")))
+    names = tuple(n or f"_c{i}" for i, n in enumerate(names))
+    if len(set(names)) < len(names):
+        raise ValueError(f"a header names a column twice: {text[:200]}")
+    return names
+
+
+def _only_csv(spark: SparkSession, path: str, needed: bool) -> None:
+    """Fail if a file means to be a catalogue but is not named so, or if there is none."""
+    listed = spark.read.format("binaryFile").load(path).select("path")  # no content is read
+    named = F.endswith("path", F.lit(".csv"))
+    seen = listed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(named).alias("n_csv"),
+        F.min(F.when(~named & F.endswith(F.lower("path"), F.lit(".csv")), F.col("path"))).alias("odd"),
+        F.min(F.when(~named, F.col("path"))).alias("other"),
+    ).first()
+    if seen.odd or (seen.n and not seen.n_csv):
+        raise ValueError(
+            f"only CSV files named *.csv can be read, found {seen.odd or seen.other}"
         )
-        head = lines.readLine()
-        # A quoted name may hold line breaks.
-        while head is not None and head.count('"') % 2:
-            more = lines.readLine()
-            if more is None:
-                break
-            head += "\n" + more
-        lines.close()
-        if head:
-            names = next(csv.reader(io.StringIO(head.removeprefix("\ufeff"), newline="")))
-            names = tuple(n or f"_c{i}" for i, n in enumerate(names))
-            if len(set(names)) < len(names):
-                raise ValueError(f"{file} names a column twice")
-            found.setdefault(names, []).append(file)
-    return found
+    if not seen.n and needed:
+        raise ValueError(f"no CSV file in {path}")
+
+
+def read_whole_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Like :func:`read_catalog_csv` for files with quotes inside plain cells.
+
+    Spark's reader decides where a record ends, so a file is one task, and all files
+    have the header ``columns``.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return (
+        spark.read.options(**CSV_READ)
+        .option("pathGlobFilter", "*.csv")
+        .option("enforceSchema", "false")
+        .schema(schema)
+        .csv(path)
+    )
 
 
 def normalize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
