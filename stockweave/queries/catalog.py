@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockweave.constants import MISSING_TOKENS
 from stockweave.mapping import text_col
+from stockweave.operators.embed import hash_embed
 from stockweave.operators.filters import apply_filters
 from stockweave.operators.project import (
     apply_schema_mapping,
@@ -30,6 +31,7 @@ from stockweave.operators.versions import (
     resolve_catalog,
     version_lineage,
 )
+from stockweave.plans.build import build_version
 from stockweave.queries.views import (
     PART,
     PART_FILTERS,
@@ -43,6 +45,7 @@ from stockweave.queries.views import (
     part_vectors,
     patchy_part,
     previous_part,
+    sql_hash_vectors,
     table,
 )
 from stockweave.session import fresh_folder
@@ -52,9 +55,16 @@ from stockweave.sources.catalog_csv import (
     normalize_missing,
     read_catalog_csv,
 )
+from stockweave.sources.configs import (
+    config_jobs,
+    new_configs,
+    parse_config_jobs,
+    parse_configs,
+)
 from stockweave.sources.records import JOB_SCHEMA, job_messages, parse_jobs, parse_requests
 from stockweave.sources.store import (
     artifact_manifest,
+    open_version,
     publish_vectors,
     read_catalog_version,
     read_vectors,
@@ -99,6 +109,21 @@ def s1_read_quoted_csv(spark, d):
     return read.select("doc_id", "lang", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_md5"))
 
 
+@query
+def s1_read_split_csv(spark, d):
+    """All documents in one quoted file, cut into records by many tasks."""
+    path = fresh_folder(spark, "one-csv")
+    export_catalog_csv(table(spark, d, "documents").coalesce(1), path)
+    read = read_catalog_csv(spark, path, block_bytes=1 << 17)
+    return read.withColumn("text", F.md5("text"))
+
+
+ORACLE["s1_read_split_csv"] = """
+SELECT cast(doc_id AS varchar) AS doc_id, md5(nullif(text, '')) AS text,
+       nullif(lang, '') AS lang, nullif(source, '') AS source, cast(n_chars AS varchar) AS n_chars
+FROM documents"""
+
+
 ORACLE["s1_read_quoted_csv"] = """
 SELECT cast(doc_id AS varchar) AS doc_id, lang, length(text) AS n, md5(text) AS text_md5
 FROM (SELECT doc_id, lang, nullif(text, '') AS text FROM documents)"""
@@ -153,6 +178,53 @@ SELECT p.*, e.vec_id IS NOT NULL AS has_vector
 FROM part p LEFT JOIN embeddings e ON e.vec_id = p.p_partkey"""
 
 
+def published_part(spark, d):
+    """Part and its vectors, with their filter columns, stored by row key."""
+    root = fresh_folder(spark, "store")
+    part = table(spark, d, "part").withColumn("row_key", text_col("p_partkey"))
+    carried = part.select(
+        F.col("row_key").alias("id"), F.col("p_brand").alias("category"),
+        F.col("p_retailprice").alias("price"),
+    )
+    vectors = part_vectors(spark, d).join(carried, "id", "left")
+    write_catalog_version(part, vectors, root, "1", key="row_key", buckets=4)
+    return open_version(spark, root, "1")
+
+
+@query
+def s4_append_and_search(spark, d):
+    """Two catalogue files become a version and an appended one, which is searched."""
+    work = fresh_folder(spark, "build")
+    export_catalog_csv(previous_part(spark, d), f"{work}/old")
+    export_catalog_csv(new_part(spark, d), f"{work}/new")
+    build_version(spark, f"{work}/old", f"{work}/store", "1", PART_FILTERS)
+    build_version(spark, f"{work}/new", f"{work}/store", "2", PART_FILTERS, "append", "1")
+    version = open_version(spark, f"{work}/store", "2")
+    asked = table(spark, d, "part").select(
+        text_col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_brand").alias("q")
+    )
+    requests = hash_embed(asked, "q").select("query_id", "embedding")
+    # Equal scores are ordered by row keys, which SQL cannot know: ranks and scores only.
+    return version.search(requests, PART_FILTERS, k=3).select("query_id", "rank", "score")
+
+
+SQL_PART_TEXT = sql_hash_vectors(
+    "pv", "part", "cast(p_partkey AS varchar)", "concat_ws(' ', p_name, p_type, p_brand)"
+)
+SQL_PART_ASKED = sql_hash_vectors(
+    "pq", "part", "cast(p_partkey AS varchar)", "concat_ws(' ', p_name, p_brand)"
+)
+ORACLE["s4_append_and_search"] = f"""
+WITH {SQL_PART_TEXT}, {SQL_PART_ASKED},
+scores AS (
+  SELECT q.k AS query_id, p.k AS id, round(sum(q.v * p.v), 6) + 0.0 AS score
+  FROM pq q JOIN pv p ON q.bucket = p.bucket GROUP BY q.k, p.k),
+ranks AS (
+  SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank
+  FROM scores)
+SELECT query_id, rank, score FROM ranks WHERE rank <= 3 AND NOT (score < 0.2)"""
+
+
 @query
 def s5_read_vectors(spark, d):
     """Every component of every stored vector."""
@@ -221,7 +293,7 @@ def s8_parse_requests(spark, d):
         F.struct(F.col("role").alias("category")).alias("filters"),
     )
     sent = turns.select("conv_id", "turn", F.to_json(body).alias("message"))
-    return parse_requests(sent, keep=["conv_id", "turn"])[0].drop("model_path")
+    return parse_requests(sent, keep=["conv_id", "turn"])[0].drop("model_path", "page")
 
 
 ORACLE["s8_parse_requests"] = """
@@ -360,6 +432,130 @@ SELECT event_id, CASE
 FROM events"""
 
 
+def whole_configs(spark, d):
+    """A whole config record per event, as JSON; every seventh is cut off."""
+    event = F.col("event_id")
+
+    def custom(user, standard, role):
+        return F.struct(F.lit(user).alias("user_column"), F.lit(standard).alias("standard_column"),
+                        role.alias("role"), F.lit(False).alias("required"))
+
+    columns = F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit("string").alias("type"), F.lit("data").alias("role"),
+                 F.lit(n == "p_partkey").alias("required"))
+        for n in ("p_partkey", "p_name", "p_size")])
+    role = F.when(event % 17 == 0, F.lit("other")).otherwise("metadata")
+    record = F.struct(
+        F.when(F.col("event_type") != "error", F.concat(F.lit("cfg-"), event)).alias("name"),
+        F.struct(F.lit("csv").alias("type"), columns.alias("columns"),
+                 event.alias("total_records")).alias("data_source"),
+        F.struct(F.lit("p_partkey").alias("id_column"),
+                 F.when(event % 11 != 0, "p_name").alias("name_column"),
+                 F.array(custom("p_size", "size", role),
+                         custom("p_name", "title", F.lit("training"))).alias("custom_columns"),
+                 F.array(F.lit("p_partkey")).alias("required_columns")).alias("schema_mapping"),
+        F.struct((event % 4 * 32).cast("int").alias("batch_size"),
+                 F.create_map(F.lit("lr"), F.concat(F.lit("0."), event)).alias("training_params"),
+                 ).alias("training_config"),
+        F.when(event % 5 == 1, "append").otherwise("replace").alias("mode"),
+        F.when(event % 5 == 1, F.col("user_id").cast("string")).alias("previous_version"),
+    )
+    sent = table(spark, d, "events").select(
+        "event_id", "ts", F.to_json(record).alias("record"))
+    cut = F.when(event % 7 == 0, F.substring("record", 1, 9)).otherwise(F.col("record"))
+    return sent.withColumn("record", cut)
+
+
+@query
+def s8_config_round_trip(spark, d):
+    """JSON to nested records, to queue messages, and back to the same records."""
+    good, _ = parse_configs(whole_configs(spark, d), keep=["event_id"])
+    keyed = good.withColumn("_id", F.concat(F.lit("id-"), F.col("event_id").cast("string")))
+    sent = config_jobs(keyed, F.lit("now"), keep=["event_id"])
+    back, _ = parse_config_jobs(sent, keep=["event_id"])
+    mapping, training = F.col("config.schema_mapping"), F.col("config.training_config")
+    return back.select(
+        "event_id", "config_id", "timestamp", F.col("config.name").alias("name"),
+        F.array_join(F.col("config.data_source.columns.name"), ",").alias("columns"),
+        F.col("config.data_source.total_records").alias("total_records"),
+        mapping["name_column"].alias("name_column"),
+        F.array_join(mapping["custom_columns"]["role"], ",").alias("roles"),
+        F.array_join(mapping["required_columns"], ",").alias("required_columns"),
+        training["batch_size"].alias("batch_size"),
+        training["training_params"]["lr"].alias("lr"),
+        F.col("config.mode").alias("mode"),
+        F.col("config.previous_version").alias("previous_version"),
+    )
+
+
+ORACLE["s8_config_round_trip"] = """
+SELECT event_id, 'id-' || event_id AS config_id, 'now' AS "timestamp",
+  CASE WHEN event_type <> 'error' THEN 'cfg-' || event_id END AS name,
+  'p_partkey,p_name,p_size' AS columns, event_id AS total_records,
+  CASE WHEN event_id % 11 <> 0 THEN 'p_name' END AS name_column,
+  CASE WHEN event_id % 17 = 0 THEN 'other' ELSE 'metadata' END || ',training' AS roles,
+  'p_partkey' AS required_columns, cast(event_id % 4 * 32 AS integer) AS batch_size,
+  '0.' || event_id AS lr, CASE WHEN event_id % 5 = 1 THEN 'append' ELSE 'replace' END AS mode,
+  CASE WHEN event_id % 5 = 1 THEN cast(user_id AS varchar) END AS previous_version
+FROM events WHERE event_id % 7 <> 0"""
+
+
+def created_configs(spark, d):
+    good, _ = parse_configs(whole_configs(spark, d), keep=["event_id", "ts"])
+    key = F.concat(F.lit("id-"), F.col("event_id").cast("string"))
+    return new_configs(good, configs(spark, d), F.col("ts"), key, F.lit("a.csv"), strict=True)
+
+
+@query
+def p5_new_config(spark, d):
+    """Complete new records: the fields that creation fills in."""
+    good, _ = created_configs(spark, d)
+    training, stats = F.col("training_config"), F.col("training_stats")
+    return good.select(
+        "_id", "name", "model_path", F.col("data_source.location").alias("location"), "status",
+        "mode", "version", "created_at", stats["start_time"].alias("start_time"),
+        stats["progress"].alias("progress"), training["batch_size"].alias("batch_size"),
+        training["max_tokens"].alias("max_tokens"),
+        training["validation_split"].alias("validation_split"),
+        F.size("schema_mapping.custom_columns").alias("n_custom"),
+    )
+
+
+SQL_CREATED = f"""{SQL_CONFIGS},
+judged AS (
+  SELECT event_id, 'id-' || event_id AS _id, 'cfg-' || event_id AS name, event_type, user_id, ts,
+    CASE WHEN event_id % 5 = 1 THEN 'append' ELSE 'replace' END AS mode,
+    CASE WHEN event_type = 'error' THEN 'name is required'
+      WHEN event_id % 11 = 0 THEN 'schema_mapping.name_column is required'
+      WHEN event_id % 17 = 0
+        THEN 'schema_mapping.custom_columns roles are training, metadata, filter'
+      WHEN event_id % 5 = 1 AND cast(user_id AS varchar) NOT IN
+        (SELECT config_id FROM configs WHERE status = 'completed')
+        THEN 'previous version not found or not completed' END AS error
+  FROM events WHERE event_id % 7 <> 0)"""
+ORACLE["p5_new_config"] = f"""
+WITH {SQL_CREATED}
+SELECT _id, name, 'models/' || _id AS model_path, 'data/' || _id || '/a.csv' AS location,
+  'pending' AS status, mode, strftime(ts, '%Y%m%d%H%M%S') AS version,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start_time, 0.0::DOUBLE AS progress,
+  CASE WHEN event_id % 4 = 0 THEN 128 ELSE cast(event_id % 4 * 32 AS integer) END AS batch_size,
+  512 AS max_tokens, 0.2::DOUBLE AS validation_split, 2 AS n_custom
+FROM judged WHERE error IS NULL"""
+
+
+@query
+def p5_rejected_config(spark, d):
+    """Records that creation rejects, with the first rule that they break."""
+    return created_configs(spark, d)[1]
+
+
+ORACLE["p5_rejected_config"] = f"""
+WITH {SQL_CREATED}
+SELECT _id, CASE WHEN event_type <> 'error' THEN name END AS name, error
+FROM judged WHERE error IS NOT NULL"""
+
+
 @query
 def p6_apply_defaults(spark, d):
     return apply_defaults(config_requests(spark, d), CONFIG_DEFAULTS).select(
@@ -519,6 +715,38 @@ line AS (
 SELECT * FROM line"""
 
 
+@query
+def v4_cycles(spark, d):
+    """Four versions of each dozen build on each other in a circle, four more on those."""
+    user = F.col("config_id").cast("bigint")
+    looped = F.when(user % 12 == 1, user + 9).when(user % 3 == 1, user - 3).when(
+        user % 3 == 2, user - 1)
+    closed = bare_configs(spark, d).withColumns({
+        "mode": F.when(user % 3 > 0, "append").otherwise(F.col("mode")),
+        "previous_version": F.coalesce(looped.cast("string"), "previous_version"),
+    })
+    return version_lineage(closed, report_cycles=True)
+
+
+ORACLE["v4_cycles"] = """
+WITH RECURSIVE c AS (
+  SELECT user_id AS u, cast(user_id AS varchar) AS config_id, count(*) AS n_rows,
+    CASE WHEN user_id % 12 = 1 THEN user_id + 9 WHEN user_id % 3 = 1 THEN user_id - 3
+         WHEN user_id % 3 = 2 THEN user_id - 1 WHEN user_id >= 3 THEN user_id - 3 END AS base
+  FROM events GROUP BY user_id),
+line AS (
+  SELECT u, config_id, config_id AS root, 0::BIGINT AS depth, n_rows::BIGINT AS total_rows
+  FROM c WHERE base IS NULL OR base NOT IN (SELECT u FROM c)
+  UNION ALL
+  SELECT c.u, c.config_id, l.root, l.depth + 1, l.total_rows + c.n_rows
+  FROM c JOIN line l ON c.base = l.u)
+SELECT config_id, root, depth, total_rows, NULL::VARCHAR AS cycle, false AS on_cycle FROM line
+UNION ALL
+SELECT config_id, NULL, NULL, NULL,
+  (SELECT min(m.config_id) FROM c m WHERE m.u % 3 = 1 AND m.u // 12 = c.u // 12), u % 3 = 1
+FROM c WHERE u NOT IN (SELECT u FROM line)"""
+
+
 @query
 def v5_append_summary(spark, d):
     """Each completed config gets its user's events as new products."""
@@ -546,6 +774,24 @@ def v6_join_vectors(spark, d):
     )
 
 
+@query
+def v6_join_published(spark, d):
+    """Products and vectors stored by row key: every component of every pair."""
+    version = published_part(spark, d)
+    products = version.products.select(F.col("row_key").alias("id"), "p_name")
+    return (
+        join_vectors(products, version.vectors)
+        .select("id", "p_name", F.posexplode("embedding").alias("pos", "v"))
+        .select("id", "p_name", "pos", F.round(F.col("v").cast("double"), 6).alias("v"))
+    )
+
+
+ORACLE["v6_join_published"] = """
+SELECT id, p_name, cast(pos - 1 AS integer) AS pos, round(v, 6) AS v FROM (
+  SELECT cast(vec_id AS varchar) AS id, p_name, generate_subscripts(embedding, 1) AS pos,
+         unnest(embedding)::DOUBLE AS v FROM part JOIN embeddings ON vec_id = p_partkey)"""
+
+
 ORACLE["v6_join_vectors"] = """
 SELECT cast(p_partkey AS varchar) AS id, p_name AS name, p_brand AS category,
        len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) AS first_value

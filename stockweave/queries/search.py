@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockweave.mapping import text_col
+from stockweave.operators.answers import answer_requests
 from stockweave.operators.embed import (
     HashEncoder,
     embed_column,
@@ -18,9 +19,11 @@ from stockweave.operators.search import (
     search,
     search_each,
     search_page,
+    search_requests,
     search_summary,
     vector_checks,
 )
+from stockweave.queries.catalog import published_part
 from stockweave.queries.views import (
     DOCS,
     PART,
@@ -40,6 +43,8 @@ from stockweave.queries.views import (
     turn_vectors,
     user_turns,
 )
+from stockweave.session import fresh_folder
+from stockweave.sources.store import open_version, write_catalog_version
 
 QUERIES = {}
 ORACLE = {}
@@ -305,6 +310,57 @@ WHERE NOT (score < 0.2)
   AND rank <= CASE WHEN request_label >= 1 THEN request_label ELSE 10 END"""
 
 
+@query
+def e7_search_published(spark, d):
+    """The search over a published version: vectors are settled and stay in place."""
+    return flat(published_part(spark, d).search(label_requests(spark, d), PART))
+
+
+ORACLE["e7_search_published"] = ORACLE["e7_search"]
+
+
+@query
+def e8_search_request(spark, d):
+    """Three pages for each label, with filters, cut and model of their own."""
+    version, label = published_part(spark, d), F.col("label")
+    text = label.cast("string")
+    filters = (
+        F.when(label % 3 == 0, F.format_string('{"category": "Brand#%s"}', text))
+        .when(label % 3 == 1, F.format_string('{"price": [90%s, 99%s], "category": ""}', text, text))
+    )
+
+    def model(n):
+        return F.concat(F.lit("models/"), (n % 2).cast("string"))
+
+    asked = label_requests(spark, d).withColumns(
+        {"filters": filters, "max_items": 3 + label % 4, "model_path": model(label)}
+    ).withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    asked = asked.withColumn("query_id", F.concat_ws("/", "query_id", F.col("page").cast("string")))
+    return flat(
+        search_requests(
+            version.products, version.vectors.withColumn("model_path", model(label)), asked, PART,
+            floor=-1.0, row_key=version.row_key, group="model_path",
+        )
+    )
+
+
+ORACLE["e8_search_request"] = f"""
+WITH {SQL_LABEL_REQUESTS}, {SQL_PART_RECORDS},
+seen AS (SELECT query_id, request_label, r.id, name, description, category, score, metadata,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r.id ASC) AS rank,
+           count(*) OVER (PARTITION BY query_id) AS total
+         FROM scores s JOIN records r ON r.id = s.id
+         WHERE request_label % 2 = vector_label % 2
+           AND CASE request_label % 3 WHEN 0 THEN category = 'Brand#' || request_label
+             WHEN 1 THEN p_retailprice BETWEEN 900 + request_label AND 990 + request_label
+             ELSE true END),
+pages AS (SELECT *, 3 + request_label % 4 AS size FROM seen, range(1, 4) t(page))
+SELECT query_id || '/' || page AS query_id, page, total,
+  cast(ceil(total / size) AS bigint) AS total_pages, rank, id, name, description, category,
+  score, metadata
+FROM pages WHERE rank > (page - 1) * size AND rank <= page * size"""
+
+
 @query
 def e9_search_paged(spark, d):
     return flat(
@@ -344,6 +400,71 @@ FROM (SELECT cast(conv_id AS varchar) || '|' || cast(turn AS varchar) AS query_i
 LEFT JOIN n USING (query_id)"""
 
 
+def failing_encoder():
+    """Hashed words; texts of certain lengths cannot be encoded."""
+    encode = HashEncoder()
+
+    def run(texts):
+        if any(len(t) % 13 == 0 for t in texts):
+            raise ValueError("cannot encode")
+        return encode(texts)
+
+    return run
+
+
+def repeat_length(prompts):
+    """The prompt and its length, as a model that repeats its prompt; fails on some."""
+    if any(len(p) % 7 == 0 for p in prompts):
+        raise ValueError("cannot answer")
+    return [f"{p}{len(p)} characters" for p in prompts]
+
+
+@query
+def e10_search_answer(spark, d):
+    """Every user turn answered from whole documents; encoder and generator may fail."""
+    root = fresh_folder(spark, "store")
+    write_catalog_version(
+        table(spark, d, "documents").withColumn("row_key", text_col("doc_id")),
+        document_vectors(spark, d), root, "1", key="row_key",
+    )
+    asked = turn_requests(spark, d).withColumn("model_path", F.lit("models/1"))
+
+    def embed(df, column):
+        return embed_column(df, column, failing_encoder, keep_going=True)
+
+    version = open_version(spark, root, "1")
+    return answer_requests(version, asked, DOCS, embed, repeat_length, floor=0.6)[1]
+
+
+ORACLE["e10_search_answer"] = f"""
+WITH {SQL_TURN_SCORES},
+found AS (
+  SELECT query_id, rank, rank || '. ' || source || chr(10) || '   Description: '
+    || coalesce(text, '') || chr(10) || '   Category: ' || lang || chr(10) || '   length: '
+    || n_chars || chr(10) || chr(10) AS block
+  FROM ranks r JOIN documents ON cast(doc_id AS varchar) = r.id
+  WHERE rank <= 10 AND NOT (score < 0.6)),
+context AS (
+  SELECT query_id, count(*) AS n, string_agg(block, '' ORDER BY rank) FILTER (rank <= 3) AS blocks
+  FROM found GROUP BY query_id),
+asked AS (
+  SELECT cast(conv_id AS varchar) || '|' || cast(turn AS varchar) AS query_id, text AS original
+  FROM conversations WHERE role = 'user'),
+prompts AS (
+  SELECT query_id, original, n, length(original) % 13 = 0 AS lost,
+    length('Query: ' || original || chr(10) || 'Context: Available products:' || chr(10)
+      || chr(10) || blocks || chr(10) || 'Response: ') AS size
+  FROM asked LEFT JOIN context USING (query_id))
+SELECT query_id, original, 'models/1' AS model_path,
+  CASE WHEN lost THEN 0 ELSE coalesce(n, 0) END AS total,
+  CASE WHEN lost THEN NULL WHEN n IS NULL THEN 'No matching products found.'
+    WHEN size % 7 = 0 THEN 'I apologize, but I couldn''t process your query.'
+    ELSE size || ' characters' END AS natural_response,
+  CASE WHEN lost THEN 'query could not be encoded'
+    WHEN n IS NOT NULL AND size % 7 = 0 THEN 'cannot answer' END AS error
+FROM prompts"""
+
+
 def routed(spark, d):
     """User turns: some name a model, some a config, some neither, some no text."""
     conv = F.col("conv_id")

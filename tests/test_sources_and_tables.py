@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,10 +33,18 @@ from stockweave.operators.versions import (
 )
 from stockweave.plans.build import build_version, training_set
 from stockweave.session import shared_folder
+from stockweave.sources import csv_blocks
 from stockweave.sources.catalog_csv import (
     export_catalog_csv,
     normalize_missing,
     read_catalog_csv,
+    read_whole_csv,
+)
+from stockweave.sources.configs import (
+    config_jobs,
+    new_configs,
+    parse_config_jobs,
+    parse_configs,
 )
 from stockweave.sources.records import parse_jobs, parse_requests
 from stockweave.sources.store import read_catalog_version, read_manifest, write_catalog_version
@@ -179,6 +190,151 @@ def test_lineage_with_a_cycle_is_an_error(spark):
         version_lineage(df, max_depth=8)
 
 
+def test_lineage_reports_cycles_and_answers_the_rest(spark):
+    """Circles of many lengths, long tails into them, a self-loop, and a long chain."""
+    rows, want = [], {}
+    for n in (1, 2, 7, 40):
+        ring = [f"ring{n}-{i:03}" for i in range(n)]
+        rows += [(c, "append", ring[i - 1], 1) for i, c in enumerate(ring)]
+        want |= {c: (None, None, None, ring[0], True) for c in ring}
+        tail = [f"tail{n}-{i:03}" for i in range(25)]
+        rows += [(c, "append", tail[i - 1] if i else ring[n // 2], 1) for i, c in enumerate(tail)]
+        want |= {c: (None, None, None, ring[0], False) for c in tail}
+    chain = [f"chain{i:03}" for i in range(90)]
+    rows += [(c, "append" if i else "replace", chain[i - 1] if i else None, 2)
+             for i, c in enumerate(chain)]
+    want |= {c: (chain[0], i, 2 * i + 2, None, False) for i, c in enumerate(chain)}
+    df = spark.createDataFrame(rows, "config_id string, mode string, previous_version string, n_rows int")
+    got = {r["config_id"]: tuple(r)[1:] for r in version_lineage(df, report_cycles=True).collect()}
+    assert got == want
+    straight = df.where("config_id LIKE 'chain%'")
+    assert version_lineage(straight, report_cycles=True).where("cycle IS NOT NULL").count() == 0
+
+
+TRICKY = (
+    '\ufeffid,"the\nname",note\r\n'
+    '1,"a, ""quoted"" one\r\nover lines",x\r\n'
+    '\r\n'
+    '2,"","last ""\n\n"""\r\n'
+    '3,short\r\n'
+    '"4","' + "long text\n" * 60 + '",é日本\r\n'
+    '5,,"'
+    '"\r\n'
+    '6,"x"",""\n""y",z'
+)
+
+
+@pytest.mark.parametrize("block", [7, 16, 33, 100, 1 << 20])
+def test_a_csv_file_cut_into_blocks_reads_like_a_whole_one(spark, tmp_path, block):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(TRICKY.encode())
+    (tmp_path / "in" / "b.csv").write_text("note,id\n" + "".join(
+        f'"n {i}\n",{i}\n' for i in range(100, 140)))
+    (tmp_path / "in" / "empty.csv").write_text("")
+    got = read_catalog_csv(spark, str(tmp_path / "in"), block_bytes=block)
+    assert set(got.columns) == {"id", "the\nname", "note"}
+    rows = {tuple(r[c] for c in ("id", "the\nname", "note")) for r in got.collect()}
+    whole = csv.reader(io.StringIO(TRICKY.removeprefix("\ufeff"), newline=""))
+    cells = [[c or None for c in row] + [None] for row in whole if row][1:]
+    want = {tuple(row[:3]) for row in cells}
+    assert ("3", "short", None) in want and len(want) == 6
+    assert rows == want | {(str(i), None, f"n {i}\n") for i in range(100, 140)}
+    assert got.count() == 46
+
+
+@pytest.mark.parametrize("block", [9, 50, 1 << 20])
+def test_blocks_and_sparks_own_reader_agree(spark, tmp_path, block):
+    text = TRICKY.replace("\r\n", "\n").removeprefix("\ufeff")
+    (tmp_path / "a.csv").write_text(text)
+    got = read_catalog_csv(spark, str(tmp_path), block_bytes=block)
+    whole = read_whole_csv(spark, str(tmp_path), got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_large_csv_file_is_read_by_many_tasks(spark, folder):
+    rows = spark.range(3000).selectExpr(
+        "cast(id AS string) AS id", "concat('line ', id, '\n\"', repeat('x, ', 20), '\n') AS note")
+    export_catalog_csv(rows.coalesce(1), f"{folder}/in")
+    lines = csv_blocks._lines(spark, f"{folder}/in", 1 << 14)
+    assert lines.rdd.getNumPartitions() >= 10
+    got = read_catalog_csv(spark, f"{folder}/in", block_bytes=1 << 14)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_unbalanced_quotes_and_long_rows_are_errors(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "a.csv").write_text('id,size\n1,5" pipe\n2,x\n')
+    with pytest.raises(ValueError, match="odd number of quotes"):
+        read_catalog_csv(spark, str(tmp_path / "a"))
+    rows = read_whole_csv(spark, str(tmp_path / "a"), ["id", "size"]).collect()
+    assert [tuple(r) for r in rows] == [("1", '5" pipe'), ("2", "x")]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.csv").write_text("id,size\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells than columns"):
+        read_catalog_csv(spark, str(tmp_path / "b")).collect()
+    with pytest.raises(ValueError, match="no CSV file"):
+        (tmp_path / "c").mkdir()
+        read_catalog_csv(spark, str(tmp_path / "c"))
+
+
+def test_nested_config_rules_and_creation(spark):
+    def record(**changes):
+        base = {
+            "name": "n", "mode": "replace", "data_source": {
+                "type": "csv", "columns": [{"name": c, "type": "string"} for c in ("id", "title", "x")]},
+            "schema_mapping": {"id_column": "id", "name_column": "title", "custom_columns": [
+                {"user_column": "x", "standard_column": "size", "role": "filter"}]},
+            "training_config": {"batch_size": 0, "training_params": {"lr": "0.1"}},
+        }
+        for path, value in changes.items():
+            *heads, last = path.split("__")
+            at = base
+            for h in heads:
+                at = at[h]
+            at[last] = value
+        return json.dumps(base)
+
+    customs = "schema_mapping__custom_columns"
+    given = {
+        "fine": record(),
+        "no type": record(data_source__type=""),
+        "no id": record(schema_mapping__id_column=None),
+        "role": record(**{customs: [{"user_column": "x", "standard_column": "s", "role": "no"}]}),
+        "half": record(**{customs: [{"user_column": "x", "role": "filter"}]}),
+        "twice": record(**{customs: [
+            {"user_column": c, "standard_column": "s", "role": "filter"} for c in ("x", "id")]}),
+        "unknown": record(schema_mapping__category_column="kind"),
+        "needs": record(schema_mapping__required_columns=["price"]),
+        "append": record(mode="append", previous_version="9"),
+        "append ok": record(mode="append", previous_version="1"),
+        "broken": "{", "not a record": '{"schema_mapping": 3}',
+    }
+    df = spark.createDataFrame(list(given.items()), "case string, record string")
+    good, bad = parse_configs(df, keep=["case"])
+    assert {r["case"] for r in bad.collect()} == {"broken", "not a record"}
+    configs = spark.createDataFrame([("1", "completed")], "config_id string, status string")
+    made, refused = new_configs(good, configs, F.lit(at(5)), F.col("case"), F.lit("f.csv"), strict=True)
+    row = {r["_id"]: r for r in made.collect()}
+    assert set(row) == {"fine", "append ok"}
+    fine = row["fine"]
+    assert (fine.version, fine.created_at) == ("20240101050000", "2024-01-01T05:00:00Z")
+    assert (fine.training_config.batch_size, fine.training_config.max_tokens) == (128, 512)
+    assert fine.training_config.training_params == {"lr": "0.1"}
+    assert fine.data_source.location == "data/fine/f.csv" and len(fine.data_source.columns) == 3
+    errors = {r["_id"]: r["error"] for r in refused.collect()}
+    assert set(errors) == set(given) - {"fine", "append ok", "broken", "not a record"}
+    assert errors["no type"] == "data_source.type is required"
+    assert errors["append"] == "previous version not found or not completed"
+    assert "name a standard column twice" in errors["twice"]
+    loose, _ = new_configs(good, configs, F.lit(at(5)), F.col("case"), F.lit("f.csv"))
+    assert {"role", "half", "twice", "unknown", "needs"} <= {r["_id"] for r in loose.collect()}
+    jobs = config_jobs(made, F.lit("t"), keep=["_id"])
+    back, lost = parse_config_jobs(jobs)
+    assert lost.count() == 0
+    assert {r["config_id"]: r["config"] for r in back.collect()} == {
+        i: r for i, r in row.items()}
+
+
 def test_append_needs_a_completed_base(spark):
     configs = spark.createDataFrame([("1", "completed"), ("2", "failed")], "config_id string, status string")
     asked = spark.createDataFrame(
