@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from stockweave.constants import MISSING_TOKENS
 from stockweave.mapping import SchemaMapping, user_col
-from stockweave.session import BROADCAST_ROWS, written_and_counted
+from stockweave.session import BROADCAST_ROWS
 from stockweave.sources.csv_blocks import csv_records
 
 # Quoted commas, doubled quotes and line breaks inside quotes are all legal.
@@ -47,12 +47,11 @@ def read_catalog_csv(
     the driver gets each different one. A file whose quotes are not balanced is an
     error; :func:`read_whole_csv` reads those.
     """
-    _only_csv(spark, path, columns is None)
-    records = csv_records(spark, path, multiline, block_bytes)
-    heads, n_files = written_and_counted(
-        records.where("first").select("file", "text"), "csv-headers"
-    )
-    texts = sorted(r.text for r in heads.select("text").distinct().collect())
+    largest = _only_csv(spark, path, columns is None)
+    records = csv_records(spark, path, multiline, block_bytes, largest)
+    heads = records.where("first")
+    found = heads.groupBy("text").agg(F.count(F.lit(1)).alias("n")).orderBy("text").collect()
+    texts = [r.text for r in found]
     headers = [_header(t) for t in texts]
     # Cells by place, one more than the longest header to find rows that are too long.
     width = max(map(len, headers), default=0) + 1
@@ -61,7 +60,8 @@ def read_catalog_csv(
     if len(headers) > 1:
         kind = F.array_position(F.array(*map(F.lit, texts)), F.col("text")).alias("kind")
         kinds = heads.select("file", kind)
-        body = body.join(F.broadcast(kinds) if n_files <= BROADCAST_ROWS else kinds, "file")
+        few = sum(r.n for r in found) <= BROADCAST_ROWS
+        body = body.join(F.broadcast(kinds) if few else kinds, "file")
     else:
         body = body.withColumn("kind", F.lit(1))
     parsed = body.select("kind", F.from_csv("text", cells.toDDL(), CSV_CELLS).alias("c"))
@@ -94,13 +94,16 @@ def _header(text: str) -> tuple[str, ...]:
     return names
 
 
-def _only_csv(spark: SparkSession, path: str, needed: bool) -> None:
-    """Fail if a file means to be a catalogue but is not named so, or if there is none."""
-    listed = spark.read.format("binaryFile").load(path).select("path")  # no content is read
+def _only_csv(spark: SparkSession, path: str, needed: bool) -> int:
+    """The size of the largest file. A file that means to be a catalogue but is not named
+    so is an error, and if ``needed`` so is a folder without one."""
+    # No content is read.
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
     named = F.endswith("path", F.lit(".csv"))
     seen = listed.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(named).alias("n_csv"),
+        F.max(F.when(named, F.col("length"))).alias("largest"),
         F.min(F.when(~named & F.endswith(F.lower("path"), F.lit(".csv")), F.col("path"))).alias("odd"),
         F.min(F.when(~named, F.col("path"))).alias("other"),
     ).first()
@@ -110,6 +113,7 @@ def _only_csv(spark: SparkSession, path: str, needed: bool) -> None:
         )
     if not seen.n and needed:
         raise ValueError(f"no CSV file in {path}")
+    return seen.largest or 0
 
 
 def read_whole_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockweave.session import fresh_folder, written
@@ -57,25 +57,30 @@ def _open_blocks(lines: DataFrame) -> dict[str, np.ndarray]:
 
     Eight bytes per such block; the plan of the scan holds more than that per block.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    blocks = lines.groupBy("file", "start").agg((F.sum(quotes) % 2).alias("odd"))
+    blocks = lines.groupBy("file", "start").agg((F.sum(_quotes("value")) % 2).alias("odd"))
     file = Window.partitionBy("file")
     before = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     known = blocks.select(
-        "file", "start",
-        (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("open"),
-        (F.sum("odd").over(file) % 2 == 1).alias("broken"),
-    ).where("open OR broken")
+        "file", "start", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("open"),
+    ).where("open")
     found: dict[str, list[int]] = {}
     for r in known.collect():
-        if r.broken:
-            raise ValueError(
-                f"{r.file} has an odd number of quotes; read it with read_whole_csv, one task a file"
-            )
         found.setdefault(r.file, []).append(r.start)
     return {f: np.sort(np.array(s, np.int64)) for f, s in found.items()}
 
 
+def _quotes(text: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def _unsplit(spark: SparkSession, largest: int, block_bytes: int | None) -> bool:
+    """Whether files up to this size are one block each, however many there are."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return largest <= min(
+        block_bytes or conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()
+    )
+
+
 class _Block:
     """Cuts the lines of one block, which come in batches, into pieces."""
 
@@ -158,25 +163,42 @@ def _cut(batches: Iterator[pa.RecordBatch], inside: dict[str, np.ndarray],
 
 
 def csv_records(
-    spark: SparkSession, path: str, quoted: bool = True, block_bytes: int | None = None
+    spark: SparkSession,
+    path: str,
+    quoted: bool = True,
+    block_bytes: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """``(file, first, text)``: the records of all ``.csv`` files below ``path``.
 
     ``first`` marks the first record of each file that is not empty; later empty ones
     are left out. ``quoted=False`` spares the count of quotes, for files known to have
-    no line breaks inside quotes. The pieces are written once, so files are not read
-    again for what is made of the records.
+    no line breaks inside quotes; so does ``largest``, the size of the largest file, if
+    that is not cut. The pieces are written once, so files are not read again for what
+    is made of the records.
     """
     lines = _lines(spark, path, block_bytes)
-    inside = spark.sparkContext.broadcast(_open_blocks(lines) if quoted else {})
+    look = quoted and not (largest is not None and _unsplit(spark, largest, block_bytes))
+    inside = spark.sparkContext.broadcast(_open_blocks(lines) if look else {})
     cut = lines.mapInArrow(lambda batches: _cut(batches, inside.value, quoted), PIECES)
-    folder = fresh_folder(spark, "csv-pieces")
-    cut.write.parquet(folder)
+    # Written by the session that has the small blocks, read by the one that was given.
+    folder, seen = fresh_folder(spark, "csv-pieces"), Observation()
+    open_pieces = F.count_if(F.col("role") != WHOLE).alias("n")
+    cut.observe(seen, open_pieces).write.parquet(folder)
     pieces = spark.read.schema(PIECES).parquet(folder)
-    whole = pieces.where(F.col("role") == WHOLE).select("file", "first", "text")
-    # The pieces of a record: a tail, and the heads behind it up to the next tail.
+    records = pieces.where(F.col("role") == WHOLE).select("file", "first", "text")
+    if seen.get["n"]:
+        records = records.unionByName(_joined(pieces))
+    text = F.when(
+        F.endswith("text", F.lit("\r")), F.left("text", F.length("text") - 1)
+    ).otherwise(F.col("text"))
+    return records.select("file", "first", text.alias("text")).where(F.col("text") != "")
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """Records out of several blocks: a tail, and the heads behind it up to the next tail."""
     order = Window.partitionBy("file").orderBy("start", "role")
-    joined = (
+    whole = written(
         pieces.where(F.col("role") != WHOLE)
         .withColumn(
             "owner", F.last(F.when(F.col("role") == TAIL, F.col("start")), True).over(order)
@@ -186,14 +208,12 @@ def csv_records(
             F.max("first").alias("first"),
             F.array_sort(F.collect_list(F.struct("start", "role", "text"))).alias("parts"),
         )
-        .select("file", "first", F.array_join(F.col("parts.text"), "\n").alias("text"))
-    )
-    joined = written(joined, "csv-joined")
-    text = F.when(
-        F.endswith("text", F.lit("\r")), F.left("text", F.length("text") - 1)
-    ).otherwise(F.col("text"))
-    return (
-        whole.unionByName(joined)
-        .select("file", "first", text.alias("text"))
-        .where(F.col("text") != "")
+        .select("file", "first", F.array_join(F.col("parts.text"), "\n").alias("text")),
+        "csv-joined",
     )
+    broken = whole.where(_quotes("text") % 2 == 1).agg(F.min("file")).first()[0]
+    if broken:
+        raise ValueError(
+            f"{broken} has an odd number of quotes; read it with read_whole_csv, one task a file"
+        )
+    return whole
