@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.constants import MAX_ITEMS, MIN_SCORE
+from stockweave.functions.ranking import positions
 from stockweave.functions.vectors import round_half_up
 from stockweave.operators.request_index import RequestIndex, index_columns, parsed_filters
 from stockweave.session import written
@@ -34,6 +35,7 @@ BLOCK_BYTES = 64 << 20
 TILE_CELLS = 1 << 22
 PROBE_ROWS = 4096
 SALTS = 64
+MERGED_ROWS = 10_000
 SALT_ABOVE = 20
 
 # Columns of requests: filter text, and how many rows a request wants.
@@ -467,9 +469,15 @@ def pair_scores(pairs: DataFrame, vectors: DataFrame, requests: DataFrame) -> Da
 
 
 def top_k(scored: DataFrame, k: int = MAX_ITEMS) -> DataFrame:
-    """The ``k`` best rows of one request's scores."""
+    """The ``k`` best rows of one request's scores.
+
+    Beyond ``MERGED_ROWS`` they are ranked by tasks instead of merged at the driver.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if k > MERGED_ROWS:
+        placed = positions(scored, [F.desc("score"), F.asc("id")], name="_place")
+        return placed.where(F.col("_place") <= k).drop("_place")
     return scored.orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 

@@ -24,11 +24,22 @@ from stockweave.operators.filters import (
     filter_columns,
 )
 from stockweave.operators.project import product_records
-from stockweave.operators.score import candidates, ranked, thinned
+from stockweave.operators.deep_pages import deep_ranks
+from stockweave.operators.score import (
+    BROADCAST_BYTES,
+    candidates,
+    gather_requests,
+    ranked,
+    thinned,
+)
 from stockweave.operators.tables import latest_completed
 from stockweave.session import BROADCAST_ROWS, written, written_and_counted
 
 
+# Rows up to the end of a page that a search keeps per request and task.
+DEEP_ROWS = 2000
+
+
 def join_vectors(products: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
     """Attach each vector to its row by id; rows without a vector drop out.
 
@@ -326,32 +337,42 @@ def search_page(
 
     ``total`` counts every catalogue row that reaches the floor, so it is the
     number of rows that all pages show. The scan that finds the
-    best ``page * size`` rows counts those too, so one pass serves both.
+    best ``page * size`` rows counts those too, so one pass serves both. A page that
+    ends beyond ``DEEP_ROWS`` is found by counting scores (`deep_pages`): then no task
+    keeps the rows in front of it.
     """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
     settled = row_key is not None if settled is None else settled
     pool = filtered_vectors(catalog, vectors, mapping, filters or {}, row_key, settled)
-    found = candidates(pool, requests, page * size, floor, None, counts=True, **sizes)
-    best = Window.partitionBy("query_id").orderBy(
-        F.col("id").isNull(), F.desc("score"), F.asc("id")
-    )
-    totals = Window.partitionBy("query_id")
-    ranks = (
-        thinned(found.rows, page * size)
-        .withColumn("total", F.sum("passing").over(totals))
-        .withColumn("rank", F.row_number().over(best))
-        .where(
-            F.col("id").isNotNull()
-            & F.col("rank").between((page - 1) * size + 1, page * size)
+    first, last = (page - 1) * size + 1, page * size
+    ranks = n_items = None
+    if last > DEEP_ROWS:
+        asked = requests.select("query_id", "embedding")
+        most = sizes.get("broadcast_bytes", BROADCAST_BYTES)
+        matrix, _, requests = gather_requests(asked, None, 1, most)
+        if matrix is not None and matrix:
+            ranks = deep_ranks(pool.select("id", "embedding"), matrix, first, last, floor)
+            n_items = size * len(matrix[None][0])
+    if ranks is None:
+        found = candidates(pool, requests, last, floor, None, counts=True, **sizes)
+        n_items = found.n_items
+        best = Window.partitionBy("query_id").orderBy(
+            F.col("id").isNull(), F.desc("score"), F.asc("id")
         )
-        .select(
-            "query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"), "total",
-            F.ceil(F.col("total") / size).cast("bigint").alias("total_pages"),
-            F.lit(page).alias("page"),
+        totals = Window.partitionBy("query_id")
+        ranks = (
+            thinned(found.rows, last)
+            .withColumn("total", F.sum("passing").over(totals))
+            .withColumn("rank", F.row_number().over(best).cast("bigint"))
+            .where(F.col("id").isNotNull() & F.col("rank").between(first, last))
         )
+    ranks = ranks.select(
+        "query_id", "id", "score", "rank", "total",
+        F.ceil(F.col("total") / size).cast("bigint").alias("total_pages"),
+        F.lit(page).alias("page"),
     )
-    return attach_records(ranks, catalog, mapping, found.n_items, row_key=row_key).select(
+    return attach_records(ranks, catalog, mapping, n_items, row_key=row_key).select(
         "query_id", "page", "total", "total_pages", *RESULT_COLUMNS[1:]
     )
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.mapping import CustomColumn, SchemaMapping
+from stockweave.operators import deep_pages
 from stockweave.operators import score as score_module
 from stockweave.operators import search as search_module
 from stockweave.operators.embed import (
@@ -217,6 +218,55 @@ def test_pages_cover_the_list_once(shop):
     assert (first["total_pages"], first["page"]) == (3, 1)
 
 
+@pytest.mark.parametrize("kept", [40, 100_000])
+def test_deep_pages_are_those_of_the_plain_search(spark, monkeypatch, kept):
+    """Many ties, NaN and negative scores; bins cut finer until few rows are left."""
+    rng = np.random.default_rng(5)
+    at = rng.integers(-3, 4, (900, 2)) / 4 + rng.choice([0, 1e-6, 2e-6], (900, 1))
+    rows = [(f"s{i:03}", [float("nan") if i == 77 else float(a), float(b)])
+            for i, (a, b) in enumerate(at)]
+    vectors = spark.createDataFrame(rows, VECTORS).repartition(5)
+    goods = vectors.selectExpr("id AS sku", "id AS title")
+    shop = SchemaMapping("sku", "title")
+    asked = spark.createDataFrame(
+        [("a", [1.0, 0.25]), ("b", [-300.0, 2.0]), ("zero", [0.0, 0.0])], REQUESTS)
+    names = ("query_id", "rank", "id", "score", "total", "total_pages")
+    monkeypatch.setattr(deep_pages, "SORTED_ROWS", kept)
+    for page, size, floor in ((2, 7, 0.2), (9, 50, -1e9), (901, 1, None)):
+        def rows_of(df):
+            return sorted(str(tuple(r[n] for n in names)) for r in df.collect())
+
+        monkeypatch.setattr(search_module, "DEEP_ROWS", 10**9)
+        want = rows_of(search_page(goods, vectors, asked, shop, page, size, floor))
+        monkeypatch.setattr(search_module, "DEEP_ROWS", 0)
+        assert rows_of(search_page(goods, vectors, asked, shop, page, size, floor)) == want
+        assert page == 901 or want
+
+
+def test_a_deep_page_keeps_few_rows(spark, monkeypatch):
+    """Rows that leave the last scan are those of a few bins, not of all pages before."""
+    monkeypatch.setattr(deep_pages, "SORTED_ROWS", 50)
+    vectors = spark.range(20_000).selectExpr(
+        "cast(id AS string) AS id", "array(cast(id / 20000 AS float)) AS embedding")
+    matrix = {None: (np.array(["q"], object), np.array([[1.0]]), np.array([1]))}
+    ranks = deep_pages.deep_ranks(vectors, matrix, 10_001, 10_020, None)
+    got = sorted((r["rank"], int(r["id"])) for r in ranks.collect())
+    assert got == [(n, 20_000 - n) for n in range(10_001, 10_021)]
+    plan = ranks._jdf.queryExecution().optimizedPlan()
+    files = [f for f in ranks.inputFiles() if "positions" in f]
+    assert files and spark.read.parquet(*files).count() <= 100 and plan is not None
+
+
+def test_many_best_rows_are_ranked_by_tasks(spark, monkeypatch):
+    scored = spark.range(3000).selectExpr(
+        "cast(id AS string) AS id", "cast(id % 700 AS double) AS score").repartition(4)
+    want = sorted(((r["score"], r["id"]) for r in scored.collect()), key=lambda r: (-r[0], r[1]))
+    monkeypatch.setattr(score_module, "MERGED_ROWS", 10)
+    got = top_k(scored, 1234)
+    assert {(r["score"], r["id"]) for r in got.collect()} == set(want[:1234])
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_summary_of_a_request_without_hits(spark, shop):
     goods, vectors, asked = shop
     results = search(goods, vectors, asked, SHOP, k=3)
