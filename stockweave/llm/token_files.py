@@ -347,11 +347,12 @@ def read_token_files(files: DataFrame, digests_only: bool = False) -> DataFrame:
     frame by frame; nothing but one frame is held. With ``digests_only`` the ids
     are dropped after their checksum is taken.
     """
-    # One row per file: the running sum is over file sizes, not documents.
+    # One row per file: the running sum is over file sizes, not documents. The number
+    # of tasks is given, since rows as small as these would all be put into one.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(
         "shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
-    ).repartition("shard")
+    ).repartition(max(1, files.count()))
 
     def run(batches):
         for batch in batches:

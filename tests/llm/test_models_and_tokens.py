@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 
@@ -165,7 +166,7 @@ def test_overlaps(spark):
     want = brute.overlaps(known, [x for x in items if x[0] is not None])
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
     bad = {i for i, _ in want}
-    assert bad == {1, 2, 4, 8, 9, 10}
+    assert bad == {1, 2, 4, 8, 9, 10, 11}
     assert {r.doc_id for r in contaminated(df, bench).collect()} == bad
     left = decontaminate(df, bench)
     assert left.columns == df.columns
@@ -176,6 +177,48 @@ def test_overlaps(spark):
     assert contaminated(df, empty).collect() == [] == contaminated(df.limit(0), bench).collect()
 
 
+def test_short_items_are_sought_whole(spark):
+    items = [(1, "One two three four five six seven"), (2, "日本語のベンチマーク"), (3, "x"), (4, " . "),
+             (5, "a b"), (6, "a b")]
+    docs = [
+        (1, "so: one, two THREE four five six seven!"), (2, "one two three four nine six seven"),
+        (3, "これは 日本語のベンチマーク です"), (4, "x"), (5, "xx y b a"), (6, "b a b c"), (7, "..."),
+        (8, "one two three four five six"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "key long, text string")
+    found = find_overlaps(df, bench, item_id="key").collect()
+    want = brute.overlaps(docs, items)
+    assert sorted((r.doc_id, r.key) for r in found) == sorted(want)
+    assert {i for i, _ in want} == {1, 3, 4, 6}
+    rows = contaminated(df, bench, item_id="key").collect()
+    assert {r.doc_id: list(r.item_ids) for r in rows}[6] == [5, 6]
+
+
+def test_a_document_is_cut_into_tokens_once(spark):
+    """No text is split inside a lambda, where it would be split for every element."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    plan = find_overlaps(df, bench)._jdf.queryExecution().optimizedPlan().toString()
+    bodies = re.findall(r"lambdafunction\((.*)", plan)
+    assert bodies and not any("split(" in b for b in bodies)
+
+
+def test_token_files_are_read_by_many_tasks(spark):
+    model = tokenizer_file("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_token_files(
+            spark.read.parquet(f"{SF}/documents.parquet"), fresh_token_folder(spark), model)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = files.count()
+    assert n > 1
+    got = read_token_files(files, digests_only=True)
+    per_task = got.groupBy(F.spark_partition_id()).count().count()
+    assert per_task == n and got.rdd.getNumPartitions() == n
+
+
 @pytest.mark.parametrize(
     "name, label, least", [("op4_quality", "quality", 0.95), ("op5_toxicity", "toxic", 0.94)]
 )
