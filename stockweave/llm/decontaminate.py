@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.session import BROADCAST_ROWS, written_and_counted
+from stockweave.session import BROADCAST_ROWS, written, written_and_counted
 
 # A document holds an item if WINDOW consecutive tokens of the item (all of them
 # if it is shorter) stand in it at the same distances with at most MISMATCHES
-# substituted. Items of fewer than MIN_TOKENS tokens name nothing and are not
-# searched; those shorter than WINDOW may have one token substituted.
+# substituted. Items shorter than WINDOW may have one token substituted, those of
+# fewer than MIN_TOKENS tokens none.
 WINDOW = 13
 MISMATCHES = 2
 MIN_TOKENS = 10
@@ -37,8 +37,9 @@ def tokens(text: Column) -> Column:
 def _seeds(masks) -> list:
     """Functions from token hashes to the hashes of a mask at all places.
 
-    The mask's number is hashed along.
+    The mask's number is hashed along; ``masks`` may be a dictionary by number.
     """
+    numbered = masks.items() if isinstance(masks, dict) else enumerate(masks)
     return [
         lambda h, m=m, k=k: F.when(
             F.size(h) > m[-1],
@@ -49,7 +50,7 @@ def _seeds(masks) -> list:
                 ),
             ),
         ).otherwise(F.array().cast("array<bigint>"))
-        for k, m in enumerate(masks)
+        for k, m in numbered
     ]
 
 
@@ -62,8 +63,14 @@ def _seed_rows(df: DataFrame, words: Column, keys: list[str], masks) -> DataFram
     return per_mask.select(*keys, F.posexplode("_seeds").alias("_at", "_seed"))
 
 
-def _allowed(n: Column, window: int, mismatches: int) -> Column:
-    return F.when(n >= window, mismatches).otherwise(F.least(F.lit(1), F.lit(mismatches)))
+def _allowed(n: Column, window: int, mismatches: int, min_tokens: int) -> Column:
+    one = F.when(n >= min_tokens, F.least(F.lit(1), F.lit(mismatches))).otherwise(0)
+    return F.when(n >= window, mismatches).otherwise(one)
+
+
+def _once(value: Column) -> Column:
+    """A column that is computed once a row, also if lambdas above refer to it."""
+    return F.explode(F.array(value))
 
 
 def find_overlaps(
@@ -83,6 +90,9 @@ def find_overlaps(
     ``n_matched`` is the largest number of the item's tokens found on one
     diagonal. One row per document and item, however often it is held.
 
+    An item of fewer than ``min_tokens`` tokens is sought as a whole, by one seed over
+    all of them, and no token may differ; an item without tokens is held by nothing.
+
     Null texts hold nothing; rows with a null id of either table are left out.
     Repeated rows count once; rows that share a ``doc_id`` with other texts give
     what any of them holds. An empty table on either side gives no rows. Other
@@ -96,14 +106,22 @@ def find_overlaps(
             F.col(f"`{item_id}`").alias("_item"),
             tokens(F.col(f"`{item_text}`")).alias("_words"),
         )
-        .where(F.size("_words") >= min_tokens)
+        .where(F.size("_words") > 0)
         .distinct()
     )
-    wanted, n = written_and_counted(
-        _seed_rows(items, F.col("_words"), ["_item"], masks).distinct(), "seeds"
-    )
+    items = written(items, "items")
+    short = items.where(F.size("_words") < min_tokens)
+    # At most ``min_tokens`` lengths; each one in use is a mask of its own.
+    lengths = [r.n for r in short.select(F.size("_words").alias("n")).distinct().collect()]
+    whole = {n: tuple(range(n)) for n in sorted(lengths)}
+    seeds = _seed_rows(items.where(F.size("_words") >= min_tokens), F.col("_words"), ["_item"], masks)
+    for n, mask in whole.items():
+        own = short.where(F.size("_words") == n)
+        seeds = seeds.union(_seed_rows(own, F.col("_words"), ["_item"], {-n: mask}))
+    wanted, n = written_and_counted(seeds.distinct(), "seeds")
     wanted = wanted.withColumnRenamed("_at", "_place")
-    sought = _seed_rows(docs, tokens(F.col("_text")), ["_doc", "_hash"], masks)
+    every = dict(enumerate(masks)) | {-n: mask for n, mask in whole.items()}
+    sought = _seed_rows(docs, tokens(F.col("_text")), ["_doc", "_hash"], every)
     hits = (
         sought.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "_seed")
         .select("_doc", "_hash", "_item", (F.col("_at") - F.col("_place")).alias("_diagonal"))
@@ -111,23 +129,26 @@ def find_overlaps(
     )
     hits, n_hits = written_and_counted(hits, "hits")
     # Few documents hold anything: theirs are read again and not shuffled, unless
-    # the hits are too many to send to all tasks.
-    at = docs.join(F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits, ["_doc", "_hash"])
-    at = at.join(items, "_item").select(
-        "_doc", "_item", "_diagonal", "_words", tokens(F.col("_text")).alias("_own")
-    )
+    # the hits are too many to send to all tasks. A document is cut into tokens once.
+    few = n_hits <= BROADCAST_ROWS
+    with_hits = hits.select("_doc", "_hash").distinct()
+    own = docs.join(
+        F.broadcast(with_hits) if few else with_hits, ["_doc", "_hash"], "left_semi"
+    ).select("_doc", "_hash", _once(tokens(F.col("_text"))).alias("_own"))
+    at = own.join(F.broadcast(hits) if few else hits, ["_doc", "_hash"]).join(items, "_item")
     size = F.size("_words")
     same = F.transform(
         F.col("_words"),
         lambda w, j: F.coalesce(F.get(F.col("_own"), F.col("_diagonal") + j) == w, F.lit(False)),
     )
-    at = at.withColumn("_same", F.transform(same, lambda x: x.cast("int")))
+    same = F.transform(same, lambda x: x.cast("int"))
+    at = at.select("_doc", "_item", "_words", _once(same).alias("_same"))
     width = F.least(size, F.lit(window))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     found = F.exists(
         F.sequence(F.lit(0), size - width),
         lambda s: total(F.slice(F.col("_same"), s + 1, width))
-        >= width - _allowed(size, window, mismatches),
+        >= width - _allowed(size, window, mismatches, min_tokens),
     )
     return (
         at.where(found)
@@ -140,9 +161,10 @@ def find_overlaps(
 def contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """One row per document that holds an item: doc_id, n_items, item_ids, n_matched."""
     found = find_overlaps(df, benchmark, doc_id=doc_id, **how)
+    item = how.get("item_id", "item_id")
     return found.groupBy(doc_id).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+        F.array_sort(F.collect_set(item)).alias("item_ids"),
         F.max("n_matched").alias("n_matched"),
     )
 

@@ -136,14 +136,20 @@ FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 # Finds the same overlaps another way: two substitutions leave four equal tokens
-# in a row among any eleven of thirteen, so all runs of four are joined.
+# in a row among any eleven of thirteen, so all runs of four are joined. Items of
+# fewer than ten tokens must be there as they are.
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
     '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (
-  SELECT * FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
-    '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark) WHERE len(v) >= 10),
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+    '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
+b AS (SELECT * FROM items WHERE len(v) >= 10),
+whole AS (
+  SELECT doc_id, item_id, len(v) AS matched
+  FROM (SELECT * FROM items WHERE len(v) BETWEEN 1 AND 9) JOIN d
+    ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(v, ' ') || ' ')),
 dg AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)),
@@ -162,7 +168,7 @@ f AS (
       >= least(n, 13) - CASE WHEN n >= 13 THEN 2 ELSE 1 END)))
 SELECT doc_id, count(DISTINCT item_id) AS n_items,
   list_sort(list(DISTINCT item_id)) AS item_ids, CAST(max(matched) AS INTEGER) AS n_matched
-FROM f GROUP BY doc_id
+FROM (SELECT * FROM f UNION ALL SELECT * FROM whole) GROUP BY doc_id
 """
 
 OP8_SQL = r"""

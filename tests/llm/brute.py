@@ -115,10 +115,10 @@ def overlaps(docs, items, window=13, least=10):
         w = tokens(t)
         for item, text in items:
             v = tokens(text)
-            if len(v) < least:
+            if not v:
                 continue
             size = min(window, len(v))
-            wrong = 2 if len(v) >= window else 1
+            wrong = 2 if len(v) >= window else 1 if len(v) >= least else 0
             for d in range(-len(v) + 1, len(w)):
                 same = [0 <= d + j < len(w) and w[d + j] == v[j] for j in range(len(v))]
                 if any(sum(same[s : s + size]) >= size - wrong for s in range(len(v) - size + 1)):
