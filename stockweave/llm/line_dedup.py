@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.common import BLANKS, ascii_lower
+from stockweave.session import BROADCAST_ROWS, written_and_counted
 
 
 def line_key(line: Column) -> Column:
@@ -38,8 +39,9 @@ def dedup_lines(
     empty table gives an empty table. ``df`` may hold any other columns; those
     named ``n_lines`` or ``n_dropped`` are replaced.
 
-    A hot line is counted per task before it moves, and its places are split by
-    Spark's handling of skewed joins; the texts are joined by document.
+    A hot line is counted per task before it moves. The keys to drop are written:
+    few of them are sent to the lines, which stay; for many, the places of a hot line
+    are split by Spark's handling of skewed joins. The texts are joined by document.
     """
     rest = [c for c in df.columns if c not in (text, doc_id, "n_lines", "n_dropped")]
     docs = df.select(
@@ -64,8 +66,9 @@ def dedup_lines(
         .where(F.col("_n") >= min_docs)
         .select("_key", "_keeper")
     )
+    shared, n = written_and_counted(shared, "shared-lines")
     drops = (
-        lines.join(shared, "_key")
+        lines.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "_key")
         .where(F.col("_doc") != F.col("_keeper"))
         .groupBy("_doc", "_hash")
         .agg(F.array_sort(F.collect_set("_pos")).alias("_drop"))
