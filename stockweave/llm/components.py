@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.session import written_and_counted
+from stockweave.session import written, written_and_counted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not settled:
         # Large star: the larger neighbours of a node go to the least one it knows.
         around = stars.select("a", "b").union(stars.select(F.col("b"), F.col("a")))
-        least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Written, so that the join can split the links of a node that very many have.
+        least = written(
+            around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least"
+        )
         large = (
             around.join(least, "a")
             .where(F.col("b") > F.col("a"))

@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stockweave.functions.ranking import positions
 from stockweave.llm.components import components
 from stockweave.llm.hashing import U, mix, runs, word_hashes
 from stockweave.session import BROADCAST_ROWS, written, written_and_counted
@@ -313,7 +315,7 @@ def _texts(df: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
     texts = df.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "doc", "left_semi"
     )
-    # Rows that share an id are one document; the least of its texts stands for it.
+    # Rows that share an id have the same text here.
     return texts.groupBy("doc").agg(F.min("text").alias("text"))
 
 
@@ -349,6 +351,41 @@ def _verified(
     return written(checked.where(F.col("similarity") >= least - 1e-12), "links")
 
 
+def _told_apart(df: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with an id for each text, and which ids stand for further texts of a document.
+
+    An id with several texts keeps its own for one of them; the others get ids above all
+    there are, so that none of those is ever the smallest of a class. The second value
+    has them as links (``a``, ``b``), or is None if no id has two texts.
+    """
+    doc, own = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    seen = df.select(doc.alias("doc"), F.xxhash64(own).alias("h")).distinct()
+    several = seen.groupBy("doc").agg(F.min("h").alias("first"), F.count(F.lit(1)).alias("n"))
+    several, n = written_and_counted(several.where("n > 1"), "several-texts")
+    if not n:
+        return df, None
+    further = several.join(seen, "doc").where("h != first").select("doc", "h")
+    further, n = written_and_counted(further, "further-texts")
+    kind = df.schema[doc_id].dataType
+    if isinstance(kind, T.IntegralType):
+        top = df.agg(F.max(doc)).first()[0]
+        node = (F.lit(top) + F.col("_place")).cast(kind)
+    else:  # after every text that begins with an assigned character
+        node = F.concat(F.lit("\U0010ffff"), F.col("doc"), F.lit(" "), F.col("_place"))
+    placed = written(
+        positions(further, [F.col("doc"), F.col("h")], name="_place").select(
+            F.col("doc").alias("_doc"), F.col("h").alias("_h"), node.alias("_node")
+        ),
+        "text-ids",
+    )
+    same = (doc == F.col("_doc")) & (F.xxhash64(own) == F.col("_h"))
+    apart = df.join(F.broadcast(placed) if n <= BROADCAST_ROWS else placed, same, "left")
+    apart = apart.select(
+        F.coalesce("_node", doc).alias(doc_id), F.col(f"`{text}`").alias(text)
+    )
+    return apart, placed.select(F.col("_node").alias("a"), F.col("_doc").alias("b"))
+
+
 def near_duplicates(
     df: DataFrame,
     text: str = "text",
@@ -368,7 +405,8 @@ def near_duplicates(
     Texts with the same words in lower case are copies: one stands for all of
     them, so copies are never paired. A text of fewer words than a shingle is one
     shingle; texts without words (null, empty, blank) are copies of each other.
-    Rows that share a doc_id are one document and come out once. Rows with a null
+    Rows that share a doc_id are one document, linked by whatever any of its texts is
+    linked to, and come out once. Rows with a null
     doc_id come out once for each row, with a null class, kept. An empty table gives no rows.
     Other columns are not read.
 
@@ -377,24 +415,29 @@ def near_duplicates(
     text by text, block against block inside tasks, so no link that could join two
     classes of a bucket is missed.
     """
-    known = df.where(F.col(f"`{doc_id}`").isNotNull())
+    known, further = _told_apart(df.where(F.col(f"`{doc_id}`").isNotNull()), text, doc_id)
     docs = written(signed(known, text, doc_id, words, bands, rows), "signatures")
-    copies = docs.groupBy("key").agg(F.min("doc").alias("head"))
+    # Written, so that joins can split the documents of a key that very many share.
+    copies = written(docs.groupBy("key").agg(F.min("doc").alias("head")), "copies")
     heads = docs.join(copies, ["key"]).where(F.col("doc") == F.col("head"))
     heads = written(heads.dropDuplicates(["doc", "key"]).select("doc", "n", "bands"), "heads")
     pairs, large = _candidates(heads)
-    links = _verified(df, pairs, text, doc_id, words, similarity)
+    links = _verified(known, pairs, text, doc_id, words, similarity)
     links = links.select("a", "b")
     if not large.isEmpty():
         roots = written(components(links), "classes-so-far")
-        more = _rest(df, large, roots, text, doc_id, words, similarity)
+        more = _rest(known, large, roots, text, doc_id, words, similarity)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     # Rows of one document with other words, and copies, hang together too.
     own = docs.join(copies, "key").where("doc != head").select(
         F.col("doc").alias("a"), F.col("head").alias("b")
     )
-    roots = components(links.union(own))
+    links = links.union(own)
     ids = docs.select("doc").distinct()
+    if further is not None:
+        links = links.union(further)
+        ids = ids.join(further, ids["doc"] == further["a"], "left_anti")
+    roots = components(links)
     classed = ids.join(roots, ids["doc"] == roots["node"], "left").select(
         "doc", F.coalesce("root", "doc").alias("class_id")
     )

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from stockweave.llm import minhash, queries, suffix_dedup
+from stockweave.llm import line_dedup, minhash, queries, suffix_dedup
 from stockweave.llm.hashing import mix
 from stockweave.llm.line_dedup import dedup_lines
 from stockweave.llm.minhash import (
@@ -217,3 +217,46 @@ def test_native_modules_have_no_python_code_in_tasks(module):
     source = Path(queries.__file__).with_name(f"{module}.py").read_text()
     for word in ("pandas", "pyarrow", "InArrow", "InPandas", ".rdd", "udf"):
         assert word not in source
+
+
+def test_a_hot_line_is_split(spark, monkeypatch):
+    """Where the keys are too many to send, the join splits the places of a hot line."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 20_000, 1, 8).selectExpr(
+            "id AS doc_id", f"concat('{LINE}', '\\n', 'the line of document ', id) AS text")
+        kept = dedup_lines(docs)
+        frame = kept.agg({"n_dropped": "sum"})
+        assert frame.collect()[0][0] == 19_999
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_every_text_of_a_repeated_id_is_linked(spark):
+    rng = random.Random(11)
+    base = [words(100 + k, 80) for k in range(6)]
+    changed = lambda w: " ".join([*w[:40], "other", *w[41:]])
+    docs = [(1, " ".join(base[0])), (1, " ".join(base[1])), (1, " ".join(base[1])), (2, changed(base[1])),
+            (3, changed(base[0])), (4, " ".join(base[2])), (4, " ".join(base[3])), (5, " ".join(base[4])),
+            (5, None), (6, ""), (7, changed(base[3])), (8, changed(base[5])), (None, "x")]
+    rng.shuffle(docs)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 4, 8: 8}
+    for kind, name in (("long", int), ("string", str)):
+        df = spark.createDataFrame(
+            [(None if i is None else name(i), t) for i, t in docs], f"doc_id {kind}, text string")
+        rows = [r for r in near_duplicates(df).collect() if r.doc_id is not None]
+        assert {r.doc_id: r.class_id for r in rows} == {name(i): name(c) for i, c in want.items()}
+        assert len(rows) == 8
+        assert {r.doc_id: r.n_class for r in rows}[name(1)] == 3
