@@ -4,13 +4,20 @@ Vectors with equal labels are cut into shards around centres drawn from them; ea
 vector goes to its nearest centres, so shards overlap. A pruned graph is built on
 each shard, the lists of a vector from all its shards are united, and on each
 shard every vector searches from the medoid and on through all that is in range.
-Pairs are verified by their cosine in double precision, and recall is audited
-against brute force for a bounded sample. Where more overlap does not mend a low
-recall, all links are counted exactly, slice against slice.
+Pairs are verified by their cosine in double precision.
+
+Recall is measured where it can be lost. Each cut of a cell is tried on a sample of
+every piece: its links by brute force inside the cell, against those whose ends still
+share a piece. A cut that loses links is drawn again with more overlap, and a cell that
+no cut leaves whole (a ball of copies much larger than a shard, say) is not cut: its
+links are counted exactly, slice against slice. In the end a sample of all vectors is
+audited, and all links are counted exactly should the graphs have missed too many.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +39,17 @@ MARGIN = 0.08
 # Rows of a cell that one task places at a time.
 SLICE = 4000
 
-# Vectors whose links are counted by brute force, and the recall below which the
-# shards are drawn again with more overlap.
+# Vectors whose links are counted by brute force in the end, the recall that a cut must
+# keep, and how often a cell is cut anew, each time with more overlap.
 AUDIT, LEAST_RECALL, TRIES = 200, 0.97, 3
 
+# Vectors of each piece of a cut that are tried, on average; a piece that loses at
+# least LOST of their links must keep PIECE_RECALL of them.
+TRIED, LOST, PIECE_RECALL = 8, 10, 0.9
+
+# A cut whose largest piece is this share of the cell does not shrink it.
+SHRINK = 0.9
+
 # Vectors of a label that one task multiplies with as many others in the exact count.
 EXACT = 2000
 
@@ -59,17 +73,15 @@ def usable(embedding) -> F.Column:
     return F.coalesce(fine & F.exists(parts, lambda v: v != 0), F.lit(False))
 
 
-def _place(cells: DataFrame, overlap: int) -> DataFrame:
-    """One more level: rows of large cells go to their nearest centres."""
+def _cut(large: DataFrame, overlap: int) -> DataFrame:
+    """The rows of large cells, with the ``size`` of theirs, at their nearest centres."""
     margin = MARGIN * (overlap - 1)
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > 2 * SHARD).withColumn(
+    rows = large.withColumn(
         "fan", F.least(F.lit(FAN), F.ceil(F.col("size") * overlap / SHARD).cast("int"))
     )
-    rows = cells.join(large, "cell")
     # About twice as many rows as centres are drawn by hash, and the first kept.
     drawn = rows.where(
-        F.pmod(F.xxhash64("head", "cell"), F.lit(1 << 30)) * F.col("size")
+        F.pmod(F.xxhash64("head", "cell", F.lit(overlap)), F.lit(1 << 30)) * F.col("size")
         < F.col("fan") * F.lit(2.0 * (1 << 30))
     )
     centres = drawn.groupBy("cell", "size", "fan").agg(
@@ -87,8 +99,9 @@ def _place(cells: DataFrame, overlap: int) -> DataFrame:
 
     def nearest(key, rows: pa.Table, centres: pa.Table) -> pa.Table:
         cell = rows.column("cell").to_pylist()
-        if not centres.num_rows:
-            return rows.select(["cell", "head", "n", "x"])
+        if not centres.num_rows:  # none was drawn: the cell is its only piece
+            only = pa.array([f"{c}/0" for c in cell], pa.string())
+            return rows.select(["head", "n", "x"]).add_column(0, "cell", only)
         x = _rows(rows.column("x"))
         c = np.array(centres.column("centres")[0].as_py(), float)
         c /= np.linalg.norm(c, axis=1, keepdims=True)
@@ -105,27 +118,138 @@ def _place(cells: DataFrame, overlap: int) -> DataFrame:
         return out.add_column(0, "cell", pa.array(names, pa.string()))
 
     asked, offered = rows.groupBy("cell", "slice"), centres.groupBy("of_cell", "of_slice")
-    cut = asked.cogroup(offered).applyInArrow(
+    return asked.cogroup(offered).applyInArrow(
         nearest, "cell string, head long, n long, x array<double>"
     )
-    return cut.union(cells.join(large.select("cell"), "cell", "left_anti").select(*cut.columns))
 
 
-def shards(classes: DataFrame, overlap: int) -> DataFrame:
-    """(cell, head, n, x): each vector in the cells it belongs to."""
+def _shared(lists: list[list[str]]) -> np.ndarray:
+    """Names as numbers in their order, a row per list, filled up with -1."""
+    number = {c: i for i, c in enumerate(sorted({c for row in lists for c in row}))}
+    out = np.full((len(lists), max([1, *map(len, lists)])), -1)
+    for i, row in enumerate(lists):
+        out[i, : len(row)] = [number[c] for c in row]
+    return out
+
+
+def _least_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least number that rows of two arrays of `_shared` have in common, or a large one."""
+    none = np.iinfo(np.int64).max
+    best = np.full(len(left), none)
+    for a in range(left.shape[1]):
+        for b in range(right.shape[1]):
+            same = (left[:, a] == right[:, b]) & (left[:, a] >= 0)
+            best = np.where(same, np.minimum(best, left[:, a]), best)
+    return best
+
+
+def _lossy(large: DataFrame, cut: DataFrame, least: float) -> DataFrame:
+    """``cell`` of the cells whose cut loses links of a sample, or does not shrink them."""
+    parent = F.regexp_replace("cell", "/[^/]*$", "")
+    placed = cut.select(parent.alias("of"), F.col("cell").alias("piece"), "head")
+    pieces = written(placed.groupBy("of", "piece").agg(F.count(F.lit(1)).alias("m")), "pieces")
+    drawn = placed.join(pieces, ["of", "piece"]).where(
+        F.pmod(F.xxhash64("head", "piece"), F.lit(1 << 30)) * F.col("m")
+        < F.lit(float(TRIED << 30))
+    )
+    tried = drawn.select(F.col("of").alias("cell"), "head").distinct()
+    kids = placed.groupBy(F.col("of").alias("cell"), "head").agg(
+        F.sort_array(F.collect_set("piece")).alias("kids")
+    )
+    rows = written(large.join(kids, ["cell", "head"]), "tried-cells")
+    n_slices = F.ceil(F.col("size") / SLICE).cast("int")
+    asks = (
+        rows.join(tried, ["cell", "head"], "left_semi")
+        .groupBy("cell", "size")
+        .agg(F.collect_list(F.struct("head", "x", "kids")).alias("asks"))
+        .select(
+            F.col("cell").alias("of_cell"), "asks",
+            F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("of_slice"),
+        )
+    )
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("head"), n_slices).cast("int"))
+
+    def count(key, rows: pa.Table, asks: pa.Table) -> pa.Table:
+        out = {"cell": [], "home": [], "true": [], "kept": []}
+        if rows.num_rows and asks.num_rows:
+            asked = asks.column("asks")[0].as_py()
+            lists = rows.column("kids").to_pylist()
+            names = _shared(lists + [q["kids"] for q in asked])
+            mine, theirs = names[: len(lists)], names[len(lists) :]
+            q = np.array([a["x"] for a in asked], float)
+            q /= np.abs(q).max(axis=1, keepdims=True)
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            heads = rows.column("head").to_numpy()
+            i, j = np.nonzero(_rows(rows.column("x")) @ q.T >= least)
+            other = heads[i] != np.array([a["head"] for a in asked])[j]
+            i, j = i[other], j[other]
+            n = rows.column("n").to_numpy()[i]
+            stay = _least_shared(mine[i], theirs[j]) < np.iinfo(np.int64).max
+            for k in np.unique(j).tolist():
+                at = j == k
+                out["cell"].append(key[0].as_py())
+                out["home"].append(asked[k]["kids"][0])
+                out["true"].append(int(n[at].sum()))
+                out["kept"].append(int(n[at & stay].sum()))
+        return pa.table(
+            [pa.array(out["cell"], pa.string()), pa.array(out["home"], pa.string()),
+             pa.array(out["true"], pa.int64()), pa.array(out["kept"], pa.int64())],
+            names=list(out),
+        )
+
+    counted = rows.select("cell", "slice", "head", "n", "x", "kids").groupBy("cell", "slice")
+    by_piece = (
+        counted.cogroup(asks.groupBy("of_cell", "of_slice"))
+        .applyInArrow(count, "cell string, home string, true long, kept long")
+        .groupBy("cell", "home")
+        .agg(F.sum("true").alias("true"), F.sum("kept").alias("kept"))
+    )
+    torn = (F.col("true") - F.col("kept") >= LOST) & (F.col("kept") < PIECE_RECALL * F.col("true"))
+    losing = (
+        by_piece.groupBy("cell")
+        .agg(F.sum("true").alias("t"), F.sum("kept").alias("k"), F.max(torn).alias("torn"))
+        .where(F.col("torn") | (F.col("k") < LEAST_RECALL * F.col("t")))
+        .select("cell")
+    )
+    sizes = large.select(F.col("cell").alias("of"), "size").distinct()
+    stuck = (
+        pieces.groupBy("of").agg(F.max("m").alias("m")).join(sizes, "of")
+        .where(F.col("m") >= SHRINK * F.col("size"))
+        .select(F.col("of").alias("cell"))
+    )
+    return losing.union(stuck).distinct()
+
+
+def shards(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(cell, head, n, x) of the cells that were cut small, and of those that cannot be."""
+    columns = ["cell", "head", "n", "x"]
     cells = classes.select(F.col("label").cast("string").alias("cell"), "head", "n", "x")
-    largest = None
-    for _ in range(LEVELS):
-        cells = written(cells, "shards")
-        top = cells.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-        # A cell that no longer shrinks holds one direction only: it stays whole.
-        if top <= 2 * SHARD or top == largest:
+    small, whole = [], []
+    for level in range(LEVELS + 1):
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+        sized = written(cells.join(written(sizes, "cell-sizes"), "cell"), "shards")
+        small.append(sized.where(F.col("size") <= 2 * SHARD).select(*columns))
+        large, n = written_and_counted(sized.where(F.col("size") > 2 * SHARD), "large-cells")
+        if not n:
             break
-        largest = top
-        cells = _place(cells, overlap)
-    else:
-        cells = written(cells, "shards")
-    return cells
+        pieces = []
+        for more in range(TRIES if level < LEVELS else 0):
+            cut = written(_cut(large, OVERLAP + more), "cuts")
+            lossy, n = written_and_counted(_lossy(large, cut, least), "lossy-cells")
+            parent = F.regexp_replace("cell", "/[^/]*$", "")
+            fine = cut.withColumn("of", parent).join(
+                lossy.withColumnRenamed("cell", "of"), "of", "left_anti"
+            )
+            pieces.append(fine.select(*columns))
+            if not n:
+                break
+            large = written(large.join(lossy, "cell", "left_semi"), "large-cells")
+        if n:
+            whole.append(large.select(*columns))
+        if not pieces:
+            break
+        cells = reduce(DataFrame.union, pieces)
+    return reduce(DataFrame.union, small), reduce(DataFrame.union, whole) if whole else None
 
 
 def _built(table: pa.Table) -> pa.Table:
@@ -138,6 +262,12 @@ def _built(table: pa.Table) -> pa.Table:
     )
 
 
+def _first_here(cells: list[list[str]], cell: str, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs count in this cell: it is the first of those that both are in."""
+    names = _shared([*cells, [cell]])
+    return _least_shared(names[i], names[j]) == names[-1, 0]
+
+
 def _searched(least: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("head")
@@ -153,12 +283,7 @@ def _searched(least: float):
         # Rounding decides nothing here: pairs are verified as the contract has it.
         real = np.einsum("ij,ij->i", x[i], x[j]) >= least
         i, j = i[real], j[real]
-        # A pair counts in the first of the cells that both are in.
-        cells = [set(c) for c in table.column("cells").to_pylist()]
-        several = np.array([len(c) > 1 for c in cells])
-        own = np.ones(len(i), bool)
-        for k in np.flatnonzero(several[i] & several[j]).tolist():
-            own[k] = min(cells[i[k]] & cells[j[k]]) == cell
+        own = _first_here(table.column("cells").to_pylist(), cell, i, j)
         n = table.column("n").to_numpy()
         links = np.zeros(len(head), np.int64)
         np.add.at(links, i[own], n[j[own]])
@@ -180,18 +305,24 @@ def _searched(least: float):
     return run
 
 
-def _linked(classes: DataFrame, least: float, overlap: int) -> DataFrame:
-    """head, links (vectors of other classes linked to it) and roots, one row per shard."""
-    cells = shards(classes, overlap)
+def _linked(classes: DataFrame, least: float) -> DataFrame:
+    """head, links (vectors of other classes linked to it) and roots, one row per cell."""
+    cells, whole = shards(classes, least)
+    cells = written(cells, "cells")
     lists = cells.groupBy("cell").applyInArrow(_built, "head long, near array<long>")
     united = lists.groupBy("head").agg(
         F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")
     )
-    member_of = cells.groupBy("head").agg(F.collect_set("cell").alias("cells"))
-    whole = cells.join(united, "head").join(member_of, "head")
-    found = whole.groupBy("cell").applyInArrow(
-        _searched(least), "head long, links long, root long"
+    every = cells if whole is None else cells.union(whole)
+    member_of = written(
+        every.groupBy("head").agg(F.sort_array(F.collect_set("cell")).alias("cells")), "members"
     )
+    found = (
+        cells.join(united, "head").join(member_of, "head").groupBy("cell")
+        .applyInArrow(_searched(least), "head long, links long, root long")
+    )
+    if whole is not None:
+        found = found.union(exact_links(whole.join(member_of, "head"), least, "cell"))
     return written(found, "vector-links")
 
 
@@ -212,9 +343,14 @@ def _multiplied(least: float):
         # Inside one slice a pair stands on both sides of the diagonal.
         real &= (i < j) if first[0] == second[0] else (i != j)
         i, j = i[real], j[real]
+        here = slice(None)
+        if "cells" in table.column_names:
+            here = _first_here(
+                table.column("cells").to_pylist(), table.column("cell")[0].as_py(), i, j
+            )
         links = np.zeros(len(head), np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
+        np.add.at(links, i[here], n[j[here]])
+        np.add.at(links, j[here], n[i[here]])
         order = np.argsort(head, kind="stable")
         place = np.empty(len(head), np.int64)
         place[order] = np.arange(len(head))
@@ -235,24 +371,25 @@ def _multiplied(least: float):
     return run
 
 
-def exact_links(classes: DataFrame, least: float) -> DataFrame:
-    """head, links and roots as the search gives them, from all pairs of each label.
+def exact_links(rows: DataFrame, least: float, group: str = "label") -> DataFrame:
+    """head, links and roots as the search gives them, from all pairs of each group.
 
-    The vectors of a label are dealt into slices; each pair of slices is multiplied
-    once, in a task of its own, and no pairs leave it.
+    The vectors of a group are dealt into slices; each pair of slices is multiplied
+    once, in a task of its own, and no pairs leave it. Rows with ``cells`` count a pair
+    in the first cell that both are in.
     """
-    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("size")), "group-sizes")
     k = F.ceil(F.col("size") / EXACT).cast("int")
-    rows = classes.join(sizes, "label").select(
-        "label", "head", "n", "x", F.pmod(F.xxhash64("head"), k).cast("int").alias("slice"),
-        k.alias("k"),
+    carried = [group, "head", "n", "x", *(["cells"] if "cells" in rows.columns else [])]
+    rows = rows.join(sizes, group).select(
+        *carried, F.pmod(F.xxhash64("head"), k).cast("int").alias("slice"), k.alias("k")
     )
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     rows = rows.select(
-        "label", F.least("slice", "other").alias("q"), F.greatest("slice", "other").alias("d"),
-        "slice", "head", "n", "x",
+        *carried, F.least("slice", "other").alias("q"), F.greatest("slice", "other").alias("d"),
+        "slice",
     )
-    found = rows.groupBy("label", "q", "d").applyInArrow(
+    found = rows.groupBy(group, "q", "d").applyInArrow(
         _multiplied(least), "head long, links long, root long"
     )
     return written(found, "exact-links")
@@ -330,11 +467,8 @@ def near_vectors(
         good.groupBy("label", "x").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("n")),
         "classes",
     )
-    for more in range(TRIES):
-        links = _linked(classes, least, OVERLAP + more)
-        if audit(classes, links, least) >= LEAST_RECALL:
-            break
-    else:
+    links = _linked(classes, least)
+    if audit(classes, links, least) < LEAST_RECALL:
         links = exact_links(classes, least)
     roots = components(
         links.where("head != root").select(F.col("head").alias("a"), F.col("root").alias("b"))

@@ -358,6 +358,57 @@ def test_vectors_of_a_large_ball(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
 
 
+def linked(x, least=0.93):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    return near
+
+
+def vectors_of(spark, x):
+    return spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+
+
+def test_a_small_ball_that_cells_would_cut(spark, monkeypatch):
+    """A ball of 300 among 2,100 others, far from the final audit, which is turned off."""
+    monkeypatch.setattr(vector_dedup, "SHARD", 40)
+    monkeypatch.setattr(vector_dedup, "audit", lambda *a: 1.0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 16))
+    x[1000:1300] = x[0] + rng.normal(0, 0.12, (300, 16))
+    near = linked(x)
+    rows = near_vectors(vectors_of(spark, x)).collect()
+    got = {r.vec_id: r.n_links for r in rows}
+    assert all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.97 * near.sum()
+    assert len({r.component_id for r in rows if 1000 <= r.vec_id < 1300}) == 1
+
+
+def test_a_ball_of_ten_shards_with_the_usual_constants(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "audit", lambda *a: 1.0)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 8))
+    x[:10_000] = x[0] + rng.normal(0, 0.2, (10_000, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = sum(int((u[k : k + 1000] @ u.T >= 0.93).sum()) for k in range(0, len(u), 1000)) - len(u)
+    rows = near_vectors(vectors_of(spark, x)).collect()
+    assert 0.97 * true <= sum(r.n_links for r in rows) <= true
+
+
+def test_parallel_vectors_are_counted_exactly(spark, monkeypatch):
+    """Scaled copies of a few vectors: no cut parts them, other cells are cut all the same."""
+    monkeypatch.setattr(vector_dedup, "SHARD", 20)
+    monkeypatch.setattr(vector_dedup, "EXACT", 50)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(500, 16))
+    x[:300] = x[0] * 2.0 ** (np.arange(300)[:, None] % 150 - 75)
+    near = linked(x)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(vectors_of(spark, x)).collect()}
+    assert all(got[i] == (299, 0) for i in range(300))
+    assert all(got[i][0] == near[i].sum() for i in got)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
