@@ -446,26 +446,53 @@ def search_vectors(
     return ranked(found.rows, k)
 
 
-def pair_scores(pairs: DataFrame, vectors: DataFrame, requests: DataFrame) -> DataFrame:
+def pair_scores(
+    pairs: DataFrame, vectors: DataFrame, requests: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """(query_id, id, score) of the given pairs of a request and a vector.
 
     The result is as long as ``pairs``; pairs whose request or vector is missing or
-    null are left out. Joins only; which side is small is left to the optimiser.
+    null are left out. Request vectors are sent to the tasks if they are few, else
+    joined; which side of a join is small is left to the optimiser. Products are taken
+    for a batch of pairs at a time.
     """
-    asked = requests.select("query_id", F.col("embedding").alias("_q"))
-    known = vectors.select("id", F.col("embedding").alias("_v"))
-    product = F.aggregate(
-        F.zip_with("_q", "_v", lambda a, b: a.cast("double") * b.cast("double")),
-        F.lit(0.0),
-        lambda total, x: total + x,
-    )
-    return (
-        pairs.select("query_id", "id")
-        .join(known, "id")
-        .join(asked, "query_id")
-        .where(F.col("_q").isNotNull() & F.col("_v").isNotNull())
-        .select("query_id", "id", (F.round(product, DIGITS) + F.lit(0.0)).alias("score"))
-    )
+    known = vectors.select("id", F.col("embedding").alias("_v")).where(F.col("_v").isNotNull())
+    asked = requests.select("query_id", "embedding")
+    matrix, _, asked = gather_requests(asked, None, 1, broadcast_bytes)
+    pairs = pairs.select("query_id", "id")
+    table = None if matrix is None else matrix.get(None)
+    if table is not None and len(set(table[0])) == len(table[0]):
+        place = {q: i for i, q in enumerate(table[0].tolist())}
+        shipped = asked.sparkSession.sparkContext.broadcast((place, table[1]))
+        rows = pairs.join(known, "id").select("query_id", "id", "_v")
+    else:
+        shipped = None
+        own = asked.select("query_id", F.col("embedding").alias("_q")).where("_q IS NOT NULL")
+        rows = pairs.join(known, "id").join(own, "query_id").select("query_id", "id", "_v", "_q")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shipped is not None:
+                place, requests = shipped.value
+                at = np.array([place.get(q, -1) for q in batch.column(0).to_pylist()], int)
+                there = np.flatnonzero(at >= 0)
+                batch = batch.take(pa.array(there))
+            if not batch.num_rows:
+                continue
+            v = dense(batch.column(2))
+            q = dense(batch.column(3)) if shipped is None else requests[at[there]]
+            if q.shape != v.shape:
+                raise ValueError(
+                    f"request vectors have {q.shape[1]} components, catalogue vectors {v.shape[1]}"
+                )
+            score = round_half_up(np.einsum("ij,ij->i", q, v), DIGITS) + 0.0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score, from_pandas=False)],
+                schema=_SCORE_SCHEMA,
+            )
+
+    return rows.mapInArrow(multiply, SCORES)
 
 
 def top_k(scored: DataFrame, k: int = MAX_ITEMS) -> DataFrame:

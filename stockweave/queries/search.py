@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockweave.mapping import text_col
 from stockweave.operators.answers import answer_requests
+from stockweave.operators.cells import publish_cells, search_cells
 from stockweave.operators.embed import (
     HashEncoder,
     embed_column,
@@ -157,6 +158,17 @@ ranks AS (SELECT query_id, id, score,
 ORACLE["e6_top_k_per_query"] = f"WITH {SQL_LABEL_RANKS} SELECT * FROM ranks WHERE rank <= 10"
 
 
+@query
+def e6_search_cells(spark, d):
+    """The same ranks from vectors stored in cells, of which only some are read."""
+    root = fresh_folder(spark, "cells")
+    publish_cells(part_vectors(spark, d), root, cells=24)
+    return search_cells(spark, root, label_requests(spark, d), 10, floor=None).rows
+
+
+ORACLE["e6_search_cells"] = ORACLE["e6_top_k_per_query"]
+
+
 @query
 def f4_min_score(spark, d):
     """The floor after the cut: fewer than k rows may be left."""
