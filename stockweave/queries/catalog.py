@@ -111,9 +111,13 @@ def s1_read_quoted_csv(spark, d):
 
 @query
 def s1_read_split_csv(spark, d):
-    """All documents in one quoted file, cut into records by many tasks."""
+    """All documents in large quoted files, cut into records by many tasks.
+
+    A file is what one task of the scan reads: one for small tables, never all of a
+    large one.
+    """
     path = fresh_folder(spark, "one-csv")
-    export_catalog_csv(table(spark, d, "documents").coalesce(1), path)
+    export_catalog_csv(table(spark, d, "documents"), path)
     read = read_catalog_csv(spark, path, block_bytes=1 << 17)
     return read.withColumn("text", F.md5("text"))
 
