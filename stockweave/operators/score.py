@@ -48,6 +48,9 @@ SLICE_ROWS = 1 << 14
 SINGLE_NORM = 1e15
 EXACT_PAIRS = 1 << 14
 SPARSE = 8
+# Rows that are kept before they are cut to the best; sparse vectors that a task scores
+# in full before it knows a score to look others up by (then four times as many).
+KEPT_PAIRS, FIRST_ROWS = 1 << 16, 1 << 10
 # Blocks of a side beyond which blocks grow, up to BLOCK_BYTES; tasks of a grid.
 MANY_BLOCKS = 64
 GRID_TASKS = 256
@@ -166,19 +169,37 @@ class _Best:
     """The best rows per request seen so far by one task, ``k`` of each request's own.
 
     Products are first taken in single precision, whose error has a bound; only what
-    could count within that bound is scored in double precision.
+    could count within that bound is scored in double precision. Requests with the same
+    vector are one request here that wants as many rows as any of them.
     """
 
     def __init__(self, k: np.ndarray, floor: float | None, counts: bool = True):
-        self.k = k
+        self.k = self.wants = k
         self.floor = -np.inf if floor is None else floor
         self.counts = counts
-        self.kth = np.full(len(k), -np.inf)
-        self.passing = np.zeros(len(k), dtype=np.int64)
         self.limit = max(2 * int(k.sum()), 1 << 18)
         self.size = 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.asked: np.ndarray | None = None
+        self.given: np.ndarray | None = None
+
+    def _share(self, requests: np.ndarray) -> None:
+        self.given = requests
+        self.asked, self.member = requests, np.arange(len(requests))
+        if requests.size:
+            rows = np.ascontiguousarray(requests)
+            rows = rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+            _, first, member = np.unique(rows, return_index=True, return_inverse=True)
+            if len(first) < len(rows):
+                self.asked, self.member = requests[first], member
+                self.k = np.zeros(len(first), np.int64)
+                np.maximum.at(self.k, member, self.wants)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", self.asked, self.asked))
+        self.single = self.asked.astype(np.float32)
+        self.kth = np.full(len(self.k), -np.inf)
+        self.passing = np.zeros(len(self.k), dtype=np.int64)
+        # The last row kept of a request that has all it wants: what comes after it in
+        # the final order is left out, so that very many equal scores are not kept.
+        self.last = np.full(len(self.k), -np.inf), np.full(len(self.k), "", object)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, requests: np.ndarray) -> None:
         if vectors.shape[1] != requests.shape[1]:
@@ -186,24 +207,34 @@ class _Best:
                 f"request vectors have {requests.shape[1]} components, "
                 f"catalogue vectors {vectors.shape[1]}"
             )
-        if self.asked is not requests:
-            self.asked = requests
-            self.norms = np.sqrt(np.einsum("ij,ij->i", requests, requests))
-            self.single = requests.astype(np.float32)
+        if self.given is None:
+            self._share(requests)
         norm = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)).max())
         if not (norm < SINGLE_NORM and (self.norms < SINGLE_NORM).all()):
-            self._add_double(ids, vectors, requests)
+            self._add_double(ids, vectors, self.asked)
         else:
             # Both roundings and the sum; twice the bound of either order of adding.
             slack = 2.0**-22 * (vectors.shape[1] + 4) * norm * self.norms + 1e-30
             self._add_single(ids, vectors, vectors.astype(np.float32), norm, slack)
-        if self.size > self.limit:
+        self._cut()
+
+    def _cut(self) -> None:
+        """Cut what is kept to the best, once that halves it at least."""
+        if self.size > min(self.limit, max(2 * int(self.k.sum()), KEPT_PAIRS)):
             self._prune()
 
     def _add_single(self, ids: np.ndarray, vectors: np.ndarray, single: np.ndarray,
                     norm: float, slack: np.ndarray) -> None:
         half, n = 0.5 * 10.0**-DIGITS, len(vectors)
         shared = None if self.counts else _Postings.of(single)
+        if shared is not None and n > FIRST_ROWS and (self.kth == -np.inf).all():
+            at, size = 0, FIRST_ROWS
+            while at < n:
+                end = min(n, at + size)
+                self._add_single(ids[at:end], vectors[at:end], single[at:end], norm, slack)
+                self._cut()
+                at, size = end, 4 * size
+            return
         step = max(1, TILE_CELLS // n)
         stretch = step if shared is None else max(step, SLICE_ROWS)
         for start in range(0, len(self.k), stretch):
@@ -267,10 +298,14 @@ class _Best:
                 self._put(ids, vectors, w, r, np.einsum("ij,ij->i", self.asked[w], vectors[r]))
             return
         fine = exact >= np.fmax(self.floor - half, self.kth[which] - 2 * half)
+        which, row, score = which[fine], row[fine], round_half_up(exact[fine], DIGITS)
+        level, last = self.last[0][which], self.last[1]
+        fine = ~(score < level)
+        tied = np.flatnonzero(score == level)
+        fine[tied] = ids[row[tied]].astype(str) <= last[which[tied]].astype(str)
         if fine.any():
-            which, row = which[fine], row[fine]
-            self.parts.append((which, ids[row], round_half_up(exact[fine], DIGITS)))
-            self.size += len(which)
+            self.parts.append((which[fine], ids[row[fine]], score[fine]))
+            self.size += np.count_nonzero(fine)
 
     def _add_double(self, ids: np.ndarray, vectors: np.ndarray, requests: np.ndarray) -> None:
         half = 0.5 * 10.0**-DIGITS
@@ -310,26 +345,38 @@ class _Best:
         self.parts, self.size = [(which, ids, scores)], len(which)
         last = np.append(which[1:] != which[:-1], True)
         full = last & (np.bincount(which, minlength=len(self.kth)) >= self.k)[which]
-        self.kth[which[full]] = np.where(
-            np.isnan(scores[full]), np.inf, scores[full]
-        )
+        known = np.where(np.isnan(scores[full]), np.inf, scores[full])
+        self.kth[which[full]] = self.last[0][which[full]] = known
+        self.last[1][which[full]] = ids[full]
+
+    def _each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is kept, for each of the requests with the same vector."""
+        if not self.parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, object), np.zeros(0)
+        which, ids, scores = self.parts[0]
+        if len(self.k) == len(self.wants):
+            return which, ids, scores
+        n = np.bincount(which, minlength=len(self.k))
+        start = (np.cumsum(n) - n)[self.member]
+        n = np.minimum(n[self.member], self.wants)
+        row = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(n)), n), ids[row], scores[row]
 
     def batch(self, query_ids: np.ndarray, counts: bool) -> pa.RecordBatch:
         self._prune()
-        if self.parts:
-            which, ids, scores = self.parts[0]
-        else:
-            which, ids, scores = np.zeros(0, dtype=np.int64), [], np.zeros(0)
+        which, ids, scores = self._each()
         q = query_ids[which]
         passing = np.zeros(len(q), dtype=np.int64)
         ids = list(ids)
-        items = self.k[which]
+        items = self.wants[which]
         if counts:
             # One row per request that only carries the count.
             q = np.concatenate([q, query_ids])
             ids += [None] * len(query_ids)
-            items = np.concatenate([items, self.k])
-            passing = np.concatenate([passing, self.passing])
+            items = np.concatenate([items, self.wants])
+            own = self.passing[self.member] if self.given is not None \
+                else np.zeros(len(query_ids), np.int64)
+            passing = np.concatenate([passing, own])
         score = pa.array(scores, pa.float64(), from_pandas=False)
         if counts:
             score = pa.concat_arrays([score, pa.nulls(len(query_ids), pa.float64())])
