@@ -593,7 +593,9 @@ def _grid(vectors: DataFrame, requests: DataFrame, rows: int, most: int) -> Data
     deal = F.xxhash64(requests.columns[0], "embedding")
     n_parts = max(1, -(-n // size(n)))
     right = _packed(requests.repartition(n_parts, deal), size(n))
-    left = written(_packed(vectors, size(vectors.count())), "vector-blocks")
+    n_left = size(vectors.count())
+    # A file is read thousands of rows at a time, so it has no more than a large block.
+    left = written(_packed(vectors, n_left), "vector-blocks", max(1, most // n_left))
     left = left.coalesce(max(1, -(-GRID_TASKS // n_parts)))
     return left.select(F.col("data").alias("vectors")).hint("shuffle_replicate_nl").crossJoin(
         right.select("block", F.col("data").alias("requests"))

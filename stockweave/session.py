@@ -47,15 +47,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage and survives the loss of executors, and columns from
-    nondeterministic expressions keep the values they had when written.
+    nondeterministic expressions keep the values they had when written. Files have at
+    most ``file_rows`` rows (0: any number); Spark reads thousands of rows at a time, so
+    rows of many megabytes need files of their own.
     """
     spark = df.sparkSession
     path = fresh_folder(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
