@@ -309,6 +309,15 @@ def test_jvm_and_python_hash_agree(spark):
         assert np.allclose(HashEncoder(32)([r["t"] or ""])[0], counts / norm)
 
 
+def test_words_end_at_ascii_blanks_alone(monkeypatch):
+    """Bytes are split once; other white space belongs to a word."""
+    seen = []
+    encode = HashEncoder()
+    monkeypatch.setattr(type(encode.bucket), "__missing__", lambda self, w: seen.append(w) or 0)
+    encode(["Ab\u3000c\x1cd\x85e  f\x0bg\x0ch\t\r\n", ""])
+    assert seen == ["ab\u3000c\x1cd\x85e".encode(), b"f", b"g", b"h"]
+
+
 def test_embedding_batches_and_encoder_once_per_task(spark):
     df = spark.createDataFrame([(i, TEXTS[i % 5]) for i in range(103)], "i int, t string")
     got = {r["i"]: r["embedding"] for r in embed_column(df, "t", HashEncoder, batch=8).collect()}
