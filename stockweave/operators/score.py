@@ -29,7 +29,7 @@ from stockweave.constants import MAX_ITEMS, MIN_SCORE
 from stockweave.functions.ranking import positions
 from stockweave.functions.vectors import round_half_up
 from stockweave.operators.request_index import RequestIndex, index_columns, parsed_filters
-from stockweave.session import written
+from stockweave.session import written, written_and_counted
 
 DIGITS = 6
 BROADCAST_BYTES = 16 << 20
@@ -131,6 +131,13 @@ def _places(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(eights[which] * 8 + place, keep.shape[1])
 
 
+def _set_per_row(keep: np.ndarray) -> np.ndarray:
+    """``np.count_nonzero`` of each row, eight places at a time where that is possible."""
+    if keep.shape[1] % 8:
+        return np.count_nonzero(keep, axis=1)
+    return np.bitwise_count(keep.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 class _Postings:
     """For sparse vectors, the rows that have each component.
 
@@ -300,8 +307,9 @@ class _Best:
             # Rows that reach the floor once rounded; those near it are scored exactly.
             level = self.floor - half
             sure = scores > _up(level + own)[:, None]
-            self.passing[cols] += np.count_nonzero(sure, axis=1)
-            near = sure != (scores >= _down(level - own)[:, None])
+            self.passing[cols] += _set_per_row(sure)
+            near = scores >= _down(level - own)[:, None]
+            near ^= sure
             for which, row, exact in self._exact(vectors, cols, near):
                 np.add.at(self.passing, cols[which[exact >= level]], 1)
 
@@ -522,7 +530,8 @@ def gather_requests(
 
     A first look shows the vector length and so how many rows fit; at most one
     row more than that is ever asked for, never the whole table. Requests that one
-    look does not show are written, so that an encoder in front of them runs once.
+    look does not show, or that do not fit, are written, so that an encoder in front of
+    them runs once.
     """
     table = requests.limit(PROBE_ROWS + 1).toArrow()
     known = with_vectors(table)
@@ -530,9 +539,9 @@ def gather_requests(
         return {}, 0, requests
     dim = len(known.column("embedding")[0]) if known.num_rows else 0
     fits = max(1, max_bytes // (8 * max(1, dim)))
-    if table.num_rows > PROBE_ROWS:
+    if table.num_rows > min(fits, PROBE_ROWS):
         requests = written(requests, "requests")
-        if fits > PROBE_ROWS:
+        if PROBE_ROWS < min(fits, table.num_rows):
             table = requests.limit(fits + 1).toArrow()
     if table.num_rows > fits:
         return None, dim, requests
@@ -582,8 +591,9 @@ def candidates(
         vectors = _only(vectors, "id", group)
     if matrix is None:
         rows, most = (max(1, n // (8 * max(1, dim))) for n in (block_bytes, BLOCK_BYTES))
-        grid = _grid_candidates(vectors, requests, k, floor, group, columns, counts, rows, most)
-        return Candidates(grid, None)
+        asked, members = _different(requests, k, group)
+        grid = _grid_candidates(vectors, asked, k, floor, group, columns, counts, rows, most)
+        return Candidates(grid if members is None else _of_members(grid, members), None)
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
     if group is not None and not filtered:
         # Only partitions some request asks for are read.
@@ -596,6 +606,58 @@ def candidates(
     return Candidates(vectors.mapInArrow(scan, CANDIDATES), n_items)
 
 
+def _different(
+    requests: DataFrame, k: int, group: str | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Requests that differ in vector, group or filters, and which requests each stands
+    for; the requests as they are (and None) if that would not halve them.
+
+    One that stands for others wants as many rows as any of them. A key is 128 bits of
+    hash of the vector next to the group and filters; a vector with null components, which
+    the hash passes over, is spelt out.
+    """
+    shared = [c for c in (group, FILTERS) if c is not None and c in requests.columns]
+    vector = F.col("embedding")
+    key = F.concat_ws(
+        "|", F.xxhash64(vector), F.xxhash64(F.lit(1), vector),
+        F.to_json(F.struct(*shared)) if shared else F.lit(""),
+        F.when(F.exists(vector, F.isnull), vector.cast("string")),
+    )
+    items = F.col(ITEMS) if ITEMS in requests.columns else F.lit(k).cast("bigint")
+    keyed = requests.where("embedding IS NOT NULL").withColumn("_key", key)
+    first = [F.any_value(c).alias(c) for c in ("embedding", *shared)]
+    different, n = written_and_counted(
+        keyed.groupBy("_key").agg(*first, F.max(items).alias(ITEMS))
+        .withColumnRenamed("_key", "query_id"),
+        "different-requests",
+    )
+    if 2 * n > requests.count():
+        return requests, None
+    return different, keyed.select("_key", "query_id", items.alias("_own"))
+
+
+def _of_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidates of each request out of those of the requests that stand for them.
+
+    They are first cut to what is wanted, and counts summed up, so that a vector that
+    very many requests share brings each of them no more rows than it wants. Neither side
+    is broadcast: both may be long, however small their compressed files are.
+    """
+    counted = F.col("id").isNull()
+    best = Window.partitionBy("query_id", counted).orderBy(*_order())
+    kept = (
+        thinned(found, None)
+        .withColumn("passing", F.sum("passing").over(Window.partitionBy("query_id")))
+        .withColumn("_n", F.row_number().over(best))
+        .where(F.when(counted, F.col("_n") == 1).otherwise(F.col("_n") <= F.col(ITEMS)))
+        .select(F.col("query_id").alias("_key"), "id", "score", "_n",
+                F.when(counted, F.col("passing")).otherwise(0).alias("passing"))
+    )
+    return kept.hint("merge").join(members, "_key").where(counted | (F.col("_n") <= F.col("_own"))).select(
+        "query_id", "id", "score", "passing", F.col("_own").alias(ITEMS)
+    )
+
+
 def _packed(df: DataFrame, rows: int) -> DataFrame:
     """The rows that have a vector as blocks of at most ``rows``, in Arrow's own format,
     compressed."""
